@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, gif, line_dedup, mixing, toxicity
+from tessera.llm import chat, exact_dedup, gif, line_dedup, lm, mixing, packing, toxicity
+
+
+def public_tokenizer(name: str = packing.TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -52,6 +62,10 @@ FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.pos = c.pos GROUP BY l.doc_id
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizer())
+
+
 def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.read_column(gif.store_column(_documents(spark, sf_dir)))
 
@@ -78,9 +92,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_chat_formatting": op2_chat_formatting,
         "op5_mixing": op5_mixing,
         "op6_line_dedup": op6_line_dedup,
+        "op7_packing": op7_packing,
         "op8_gif": op8_gif,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_toxicity": op10_toxicity,
