@@ -76,10 +76,10 @@ class Ids:
         total = np.add.reduceat(length, np.concatenate([[0], ends[:-1] + 1])) if len(n) else np.zeros(0, np.int64)
         ids = flat[np.arange(length.sum()) - np.repeat(starts_of(length)[:-1] - where[:-1][order], length)]
         odd = np.flatnonzero(np.any([pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False) for s in self.special], axis=0)) if self.special else []
-        if odd:
+        if len(odd):
             parts = np.split(ids, starts_of(total)[1:-1])
-            for k in odd:
-                parts[k] = np.append(self.of([texts[k].as_py()])[0], np.int32(END))
+            for k in map(int, odd):
+                parts[k] = np.append(self.of([texts[int(k)].as_py()])[0], np.int32(END))
             ids, total = np.concatenate(parts), np.array([len(p) for p in parts])
         return ids, total
 
