@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, gif, line_dedup, lm, mixing, packing, toxicity
+from tessera.llm import chat, exact_dedup, gif, line_dedup, lm, mixing, packing, substring_dedup, toxicity
 
 
 def public_tokenizer(name: str = packing.TOKENIZER) -> str:
@@ -31,6 +31,24 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(own)))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS words FROM documents),
+n AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM d WHERE len(words) >= 13),
+w AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY md5(array_to_string(words[pos:pos + 12], ' '))) AS least FROM n),
+c AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(pos, pos + 13))))) AS gone FROM w WHERE least < doc_id GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed, words, gone FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
+u AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM k),
+g AS (SELECT doc_id, unnest(gone) AS pos FROM c),
+t AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.pos) AS kept FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.pos = g.pos
+      WHERE g.pos IS NULL GROUP BY u.doc_id)
+SELECT k.doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN t ON k.doc_id = t.doc_id
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_documents(spark, sf_dir))
     return plan.select(
@@ -94,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op2_chat_formatting": op2_chat_formatting,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_mixing": op5_mixing,
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
@@ -104,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
