@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, gif, line_dedup, lm, mixing, packing, substring_dedup, toxicity
+from tessera.llm import chat, exact_dedup, gif, line_dedup, lm, mixing, near_dedup, packing, substring_dedup, toxicity
 
 
 def public_tokenizer(name: str = packing.TOKENIZER) -> str:
@@ -49,6 +49,10 @@ SELECT k.doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 F
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_documents(spark, sf_dir))
     return plan.select(
@@ -113,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_near_dedup": op4_near_dedup,
         "op5_mixing": op5_mixing,
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
