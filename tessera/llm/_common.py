@@ -85,12 +85,10 @@ def n_words(c: Column) -> Column:
 
 
 def column(batch, name: str) -> pa.Array:
+    """A column as one array that starts at the head of its buffers: string kernels go wrong on slices of a batch."""
     c = batch.column(name)
-    if isinstance(c, pa.ChunkedArray):
-        c = c.combine_chunks()
-        if isinstance(c, pa.ChunkedArray):  # no chunk at all, or several
-            c = pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
-    return c
+    chunks = c.chunks if isinstance(c, pa.ChunkedArray) else [c]
+    return pa.concat_arrays([*chunks, pa.array([], c.type)])
 
 
 def longs(batch, name: str, null: int = 0) -> np.ndarray:
