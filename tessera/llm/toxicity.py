@@ -35,6 +35,8 @@ from tessera.llm._common import column, coded_words, slices, small_batches, spli
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 5, 0
+#: Labels that are broadcast to the texts, at most.
+BROADCAST_LABELS = 2_000_000
 #: Smoothed log-odds from which a word enters tier 0, 1, 2; words of a lexicon at most.
 TIERS, LEXICON = (1.5, 2.5, 3.5), 20_000
 LEAST_DOCS = 4
@@ -336,9 +338,13 @@ def score_rows(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, toxic`` of the labelled rows outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_LABELS) -> DataFrame:
+    """``text, toxic`` of the labelled rows outside the held-out fold.
+
+    Up to ``most`` labels (16 bytes each) go to the texts; more meet them in a shuffle."""
     own = labels.select(F.col("doc_id").alias("_l_id"), F.col("toxic").alias("_l_toxic")).where("_l_toxic is not null").where(~F.coalesce(_fold("_l_id") == HELD_OUT, F.lit(False)))
+    if own.limit(most + 1).count() <= most:
+        own = F.broadcast(own)
     return docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_l_id")).select("text", F.col("_l_toxic").alias("toxic"))
 
 
