@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +60,8 @@ def hash_embed(df: DataFrame, tokens: str, dim: int = 256, name: str = "vector")
                 if t not in known:
                     known[t] = bucket(t, dim)
             at = np.array([known[t] for t in names]).reshape(-1, 2)[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros((0, 2))
-            rows = np.repeat(np.arange(b.num_rows), [0 if x is None else len(x) for x in lists])
-            out = np.bincount(rows * dim + at[:, 0].astype(np.int64), at[:, 1], b.num_rows * dim).reshape(b.num_rows, dim)
+            rows = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            out = np.bincount(rows * dim + at[:, 0].astype(np.int64), at[:, 1], b.num_rows * dim).astype(np.float64).reshape(b.num_rows, dim)
             out /= np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), EPS)
             values = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(out.reshape(-1), pa.float32()))
             yield pa.RecordBatch.from_arrays([*b.columns, values], [*b.schema.names, name])
