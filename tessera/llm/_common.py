@@ -113,12 +113,15 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
-    flat = lists.flatten()
-    real = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    at = lists.offsets.to_numpy().astype(np.int64)
-    before = np.concatenate([[0], np.cumsum(real)])
-    return flat.filter(pa.array(real)), before[at[1:] - at[0]] - before[at[:-1] - at[0]]
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+    flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    at -= at[0]
+    size = pc.binary_length(flat)
+    if pc.min(size).as_py() != 0:
+        return flat, np.diff(at)
+    real = pc.not_equal(size, 0)  # a text without words gives one empty word
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real), before[at[1:]] - before[at[:-1]]
 
 
 def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -20,6 +20,7 @@ read; an empty table gives no piece.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,58 +31,88 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import coded_words, column, partitions, slices, small_batches, starts_of, text_bytes
+from tessera.llm._common import column, partitions, slices, small_batches, split_words, starts_of, text_bytes
 
 WINDOW, END = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 16 << 20
 #: Words of a seed that query the index, rarest first, and neighbours looked at.
 QUERY_WORDS, NEIGHBOURS = 12, 16
 K1, B = 1.2, 0.75
 LEAST = 32
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
 
 
 class Ids:
-    """Token ids of texts, by a file of the ``tokenizers`` library."""
+    """Token ids of words, by a file of the ``tokenizers`` library."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel unit
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's with an end id behind, and the number of ids of each text."""
-        codes, words, n = coded_words(texts)
-        words = words.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self.known.update(zip(part, self.of(part), strict=True))
-        table = [self.known[w] for w in words] + [np.array([END], np.int32)]
-        size = np.array([len(x) for x in table])
-        where, flat = starts_of(size), np.concatenate(table)
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content: k for k, t in special.items()}
+        # a special token that strips nothing beside it may stand between words
+        self.between = next((t.content for t in special.values() if not (t.lstrip or t.rstrip or t.single_word)), None)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order, and where each word's begin (and the last one's end)."""
+        parts, sizes = [], []
+        for k in range(0, len(words), 1024):
+            some = words[k : k + 1024]
+            joined = self.between.join(some) if self.between else ""
+            if self.between and all(joined.count(s) == (len(some) - 1) * (s == self.between) for s in self.special):
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+                cut = np.flatnonzero(ids == self.special[self.between])
+                if len(cut) == len(some) - 1:
+                    sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                    parts.append(np.delete(ids, cut))
+                    continue
+            each = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes.append(np.array([len(x) for x in each]))
+            parts += each
+        return np.concatenate([np.zeros(0, np.int32), *parts]), starts_of(np.concatenate([np.zeros(0, np.int64), *sizes]))
+
+    def spell(self, codes: np.ndarray, n: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts given as word numbers, an end id behind each, and their number for each text."""
+        flat, where = self.table(words)
+        flat, size = np.append(flat, np.int32(END)), np.append(np.diff(where), 1)
         ends = starts_of(n)[1:] + np.arange(len(n))
         order = np.full(len(codes) + len(n), len(words), np.int64)
         order[np.delete(np.arange(len(order)), ends)] = codes
         length = size[order]
         total = np.add.reduceat(length, np.concatenate([[0], ends[:-1] + 1])) if len(n) else np.zeros(0, np.int64)
-        ids = flat[np.arange(length.sum()) - np.repeat(starts_of(length)[:-1] - where[:-1][order], length)]
-        odd = np.flatnonzero(np.any([pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False) for s in self.special], axis=0)) if self.special else []
-        if len(odd):
-            parts = np.split(ids, starts_of(total)[1:-1])
-            for k in map(int, odd):
-                parts[k] = np.append(self.of([texts[int(k)].as_py()])[0], np.int32(END))
-            ids, total = np.concatenate(parts), np.array([len(p) for p in parts])
-        return ids, total
+        out = np.empty(int(length.sum()), np.int32)
+        done = 0
+        for k in range(0, len(order), 1 << 20):
+            some, m = where[order[k : k + (1 << 20)]], length[k : k + (1 << 20)]
+            at = np.arange(int(m.sum())) - np.repeat(starts_of(m)[:-1] - some, m)
+            out[done : done + len(at)] = flat[at]
+            done += len(at)
+        return out, total
+
+
+#: Marks that, behind a letter or digit, are a piece of their own for this tokenizer.
+ENDS = (".", ",")
+
+
+def split_ends(words: pa.Array, special: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Fewer words to tokenize: for each word the number of its stem, its end (0: none, else of ``ENDS``), and the stems.
+
+    ASCII words lose their case, as the tokenizer drops it, unless that makes a special string;
+    an end is cut only behind a letter or digit of ASCII or Latin-1, where the tokenizer cuts too."""
+    low, plain = pc.ascii_lower(words), pc.string_is_ascii(words)
+    for s in special:
+        plain = pc.and_(plain, pc.invert(pc.match_substring(low, s)))
+    low = pc.if_else(plain, low, words)
+    cut = pc.match_substring_regex(low, "[A-Za-z0-9À-ÖØ-öø-ÿ][.,]$")
+    coded = pc.if_else(cut, pc.utf8_slice_codeunits(low, 0, -1), low).dictionary_encode()
+    dot = pc.and_(cut, pc.ends_with(low, ENDS[0])).to_numpy(zero_copy_only=False)
+    end = np.where(cut.to_numpy(zero_copy_only=False), np.where(dot, 1, 2), 0)
+    return coded.indices.to_numpy().astype(np.int64), end, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -89,6 +120,36 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+def texts_to_ids(encode: Ids, parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of all texts: ids, their number for each text, lower-cased word numbers, their number for each text, distinct words."""
+    flat, n, odd, before = [pa.array([], pa.large_string())], [], [], 0
+    for texts in parts:
+        own, k = split_words(texts)
+        flat.append(own)
+        n.append(k)
+        for s in encode.special:
+            hit = np.flatnonzero(pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False))
+            odd += [(before + int(h), texts[int(h)].as_py()) for h in hit]
+        before += len(texts)
+    n, coded = np.concatenate(n), pa.concat_arrays(flat).dictionary_encode()
+    del flat
+    codes = coded.indices.to_numpy()
+    stem, end, stems = split_ends(coded.dictionary, list(encode.special))
+    each = 1 + (end[codes] > 0)
+    units = np.repeat(stem[codes], each)
+    last = np.cumsum(each)[each > 1] - 1
+    units[last] = len(stems) - 1 + end[codes][each > 1]
+    ids, total = encode.spell(units, np.diff(np.concatenate([[0], np.cumsum(each)])[starts_of(n)]), [*stems, *ENDS])
+    del units, last, each
+    if odd:  # a special string may stand inside a word or across words
+        own = np.split(ids, starts_of(total)[1:-1])
+        for k, text in odd:
+            own[k] = np.append(encode.whole(text), np.int32(END))
+        ids, total = np.concatenate(own), np.array([len(x) for x in own])
+    low = pc.ascii_lower(coded.dictionary).dictionary_encode()
+    return ids, total, low.indices.to_numpy()[codes] if len(codes) else codes, n, len(low.dictionary)
+
+
 class Index:
     """BM25 over the words of some documents, as postings sorted by word."""
 
@@ -126,8 +187,11 @@ class Index:
         return docs[np.lexsort((docs, -score))]
 
 
-def pack_shard(length: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """Pieces ``(document, start, length, sequence, offset)`` of documents of so many ids."""
+def pack_shard(length: np.ndarray, index: Index, window: int = WINDOW, twins: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
+    """Pieces ``(document, start, length, sequence, offset)`` of documents of so many ids.
+
+    Documents of one number in ``twins`` are copies: they are not sought as each other's neighbours."""
+    twins = np.arange(len(length)) if twins is None else twins
     pieces: list[tuple[int, int, int, int, int]] = []
     used = np.zeros(len(length), bool)
     sequence, filled, following = 0, 0, 0
@@ -157,6 +221,7 @@ def pack_shard(length: np.ndarray, index: Index, window: int = WINDOW) -> list[t
         put(seed)
         while filled:
             near = index.neighbours(seed, used)
+            near = near[twins[near] != twins[seed]]
             if not len(near):
                 break
             room = window - filled
@@ -200,30 +265,23 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
 
     def packed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = key[0].as_py()
-        encode = ids_of(tokenizer)
-        doc_ids, ids, length, words, n_words = [], [], [], [], []
-        table: dict[str, int] = {}
+        doc_ids: list[int | None] = []
+        parts: list[pa.Array] = []
         for batch in batches:
             for part in slices(batch):
-                texts = column(part, "text")
-                some, k = encode(texts)
-                codes, names, w = coded_words(texts, lower=True)
-                number = np.array([table.setdefault(x, len(table)) for x in names.to_pylist()], np.int64)
                 doc_ids += column(part, "doc_id").to_pylist()
-                ids.append(some)
-                length.append(k)
-                words.append(number[codes].astype(np.int32) if len(codes) else codes.astype(np.int32))
-                n_words.append(w)
-        ids, length = np.concatenate(ids), np.concatenate(length)
+                parts.append(column(part, "text"))
+        ids, length, words, n_words, distinct = texts_to_ids(ids_of(tokenizer), parts)
+        del parts
         # order that does not hang on how rows arrived: longest first, then by content
         at = starts_of(length)
-        crc = np.array([zlib.crc32(ids[at[k] : at[k + 1]].astype("<u4").tobytes()) for k in range(len(length))])
+        crc = np.array([zlib.crc32(ids[at[k] : at[k + 1]].astype("<u4").tobytes()) for k in range(len(length))], np.int64)
+        twins = np.unique(crc << 32 | length, return_inverse=True)[1]
         order = np.lexsort((np.array([-1 if x is None else x for x in doc_ids]), crc, -length))
-        n_words = np.concatenate(n_words)
-        words, where = np.concatenate(words), starts_of(n_words)
-        index = Index(np.concatenate([words[where[k] : where[k + 1]] for k in order]).astype(np.int64), n_words[order], len(table))
-        del words, table
-        pieces = pack_shard(length[order], index, window)
+        where = starts_of(n_words)
+        index = Index(np.concatenate([words[where[k] : where[k + 1]] for k in order]).astype(np.int64), n_words[order], distinct)
+        del words
+        pieces = pack_shard(length[order], index, window, twins[order])
         for k in range(0, len(pieces), 20_000):
             some = pieces[k : k + 20_000]
             spans = [(at[order[d]] + s, at[order[d]] + s + m) for d, s, m, _, _ in some]
