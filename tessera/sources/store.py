@@ -6,6 +6,7 @@ the table as it was."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import reduce
@@ -28,9 +29,17 @@ def scratch(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to shared storage and read back, for results that must not change between uses."""
-    path = f"{scratch(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Store:
