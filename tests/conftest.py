@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, f"{ROOT}/tests"]
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 
