@@ -1,7 +1,11 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, key long, score double, kept boolean, comp long"
 VOCAB = [a + b for a in ("ta", "re", "mi", "zo", "Ka", "ü", "é") for b in ("n", "ll", "st", "x.", "r,", "que", "")]
 
