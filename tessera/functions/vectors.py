@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 EPS = 1e-12
 
@@ -46,26 +47,58 @@ def bucket(token: str, dim: int) -> tuple[int, float]:
     return int.from_bytes(h[:4], "little") % dim, 1.0 if h[4] & 1 else -1.0
 
 
+class _Buckets:
+    """Buckets and signs of tokens, remembered per worker up to a bound."""
+
+    def __init__(self, dim: int, most: int = 500_000):
+        self.dim, self.most = dim, most
+        self.words: dict[str, list[tuple[int, float]]] = {}
+
+    def word(self, w: str) -> list[tuple[int, float]]:
+        """Of a word and, from three letters on, of its trigrams between borders."""
+        found = self.words.get(w)
+        if found is None:
+            grams = [f"c:{p[k : k + 3]}" for p in (f"#{w}#",) for k in range(len(w))] if len(w) >= 3 else []
+            found = [bucket(g, self.dim) for g in (w, *grams)]
+            if len(self.words) < self.most:
+                self.words[w] = found
+        return found
+
+
 def hash_embed(df: DataFrame, tokens: str, dim: int = 256, name: str = "vector") -> DataFrame:
-    """``df`` with signed feature hashing of the token arrays in ``tokens``; no built-in has this hash."""
-    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+    """``df`` with signed feature hashing of the words in ``tokens``, their bigrams and character trigrams.
+
+    The features are those of :func:`tessera.functions.text.hash_tokens`; each distinct word of a
+    batch is hashed once.  No built-in function has this hash."""
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, float]] = {}
-        for b in batches:
-            lists = b.column(tokens)
-            flat = lists.flatten().dictionary_encode()
-            names = flat.dictionary.to_pylist()
-            for t in names:
-                if t not in known:
-                    known[t] = bucket(t, dim)
-            at = np.array([known[t] for t in names]).reshape(-1, 2)[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros((0, 2))
-            rows = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            out = np.bincount(rows * dim + at[:, 0].astype(np.int64), at[:, 1], b.num_rows * dim).astype(np.float64).reshape(b.num_rows, dim)
-            out /= np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), EPS)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(out.reshape(-1), pa.float32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, values], [*b.schema.names, name])
-            if len(known) > 1_000_000:
-                known.clear()
+        known = _Buckets(dim)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                b = whole.slice(k, 512)
+                yield pa.RecordBatch.from_arrays([*b.columns, _embedded(b.column(tokens), known)], [*b.schema.names, name])
 
     return df.mapInArrow(embed, StructType([*df.schema.fields, StructField(name, ArrayType(FloatType()))]))
+
+
+def _embedded(lists: pa.Array, known: _Buckets) -> pa.Array:
+    dim, rows = known.dim, len(lists)
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(rows), n)
+    parts = [known.word(w) for w in names]
+    size = np.array([len(p) for p in parts], np.int64)
+    flat = np.array([x for p in parts for x in p]).reshape(-1, 2)
+    where, each = np.concatenate([[0], np.cumsum(size)]), size[codes]
+    at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each - where[codes], each)
+    cell = np.repeat(doc, each) * dim + flat[at, 0].astype(np.int64)
+    out = np.bincount(cell, flat[at, 1], rows * dim)
+    inside = np.flatnonzero(doc[1:] == doc[:-1])
+    pairs, back = np.unique(codes[inside] * np.int64(max(len(names), 1)) + codes[inside + 1], return_inverse=True)
+    hashed = np.array([bucket(f"{names[p // len(names)]}_{names[p % len(names)]}", dim) for p in pairs.tolist()]).reshape(-1, 2)
+    out += np.bincount(doc[inside] * dim + hashed[back, 0].astype(np.int64), hashed[back, 1], rows * dim)
+    out = out.astype(np.float64).reshape(rows, dim)
+    out /= np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), EPS)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * dim, pa.int32()), pa.array(out.reshape(-1), pa.float32()))

@@ -25,11 +25,26 @@ def key_edges(papers: DataFrame, key: Column, id_: str = "arxiv_id") -> DataFram
     return keyed.join(least, "k").where("a <> b").select("a", "b")
 
 
-@F.pandas_udf(DoubleType())
-def title_ratio(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff/Obershelp similarity; not symmetric, so the order of the arguments counts."""
-    for x, y in a:
-        yield pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+def title_ratio(least: float = 0.0):
+    """A column function of two strings: their Ratcliff/Obershelp similarity, 0 where it is under ``least``.
+
+    It is not symmetric, so the order of the arguments counts.  Two upper bounds, by
+    lengths and by letters, settle most pairs before the costly comparison."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        m = difflib.SequenceMatcher(None)
+        for x, y in batches:
+            out = []
+            for p, q in zip(x, y, strict=True):
+                if m.b != q:
+                    m.set_seq2(q)
+                m.set_seq1(p)
+                near = m.real_quick_ratio() >= least and m.quick_ratio() >= least
+                out.append(m.ratio() if near else 0.0)
+            yield pd.Series(out, dtype="float64")
+
+    return ratio
 
 
 def fuzzy_pairs(papers: DataFrame, threshold: float, id_: str = "arxiv_id") -> DataFrame:
@@ -52,7 +67,7 @@ def fuzzy_pairs(papers: DataFrame, threshold: float, id_: str = "arxiv_id") -> D
 
 def fuzzy_edges(papers: DataFrame, threshold: float, id_: str = "arxiv_id") -> DataFrame:
     pairs = materialize(fuzzy_pairs(papers, threshold, id_))  # cheap conditions first
-    return pairs.where(title_ratio("ta", "tb") >= threshold).select("a", "b")
+    return pairs.where(title_ratio(threshold)("ta", "tb") >= threshold).select("a", "b")
 
 
 def clusters(papers: DataFrame, threshold: float, id_: str = "arxiv_id") -> DataFrame:

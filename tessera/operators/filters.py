@@ -13,8 +13,9 @@ from tessera.functions import text as X
 
 def keyword_prefilter(df: DataFrame, text: Column, config: Config) -> DataFrame:
     """``df`` with ``passed, score, matched``: any exclude term fails a text, else one include term passes it."""
-    hay = X.normalize(text)
-    df = df.withColumns({"_inc": X.matched_terms(hay, [*config.include_keywords, *config.taxonomy_terms]), "_exc": X.matched_terms(hay, config.exclude_keywords)})
+    hay = F.col("_hay")  # a column of its own, so that a text is normalised once and not once per term
+    df = df.withColumn("_hay", X.normalize(text))
+    df = df.withColumns({"_inc": X.matched_terms(hay, [*config.include_keywords, *config.taxonomy_terms]), "_exc": X.matched_terms(hay, config.exclude_keywords)}).drop("_hay")
     bad, n = F.size("_exc") > 0, F.size("_inc")
     return df.withColumns(
         {

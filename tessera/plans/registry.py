@@ -454,7 +454,7 @@ def txt_html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vec_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.hash_tokens("text").alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokens("text").alias("tokens"))
     out = V.hash_embed(docs, "tokens", CONFIG.embedding.hashing_dim)
     return out.select("doc_id", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
 

@@ -77,9 +77,9 @@ class Pipeline:
     def filter(self, inputs: Inputs) -> int:
         papers = self.store.read("papers").where(F.col("status") == schemas.SEEN)
         text = X.title_and_abstract("title", "abstract")
-        embedded = materialize(V.hash_embed(papers.withColumn("_t", X.hash_tokens(text)), "_t", self.config.embedding.hashing_dim).drop("_t"))
+        embedded = materialize(V.hash_embed(papers.withColumn("_t", X.tokens(text)), "_t", self.config.embedding.hashing_dim).drop("_t"))
         self.store.upsert("embeddings", embedded.select(F.col("arxiv_id").alias("paper_id"), F.lit("hashing").alias("model"), F.size("vector").alias("dim"), "vector"))
-        problem = V.hash_embed(self.store.spark.range(1).select(X.hash_tokens(F.lit(self.config.problem_statement)).alias("_t")), "_t", self.config.embedding.hashing_dim).select("vector")
+        problem = V.hash_embed(self.store.spark.range(1).select(X.tokens(F.lit(self.config.problem_statement)).alias("_t")), "_t", self.config.embedding.hashing_dim).select("vector")
         seeds = self.store.spark.createDataFrame([(s,) for s in self.config.seed_papers], "paper_id string")
         seeds = problem.unionByName(joins.seed_vectors(self.store.read("embeddings"), seeds).select("vector"))
         reqs = recorded.requests(embedded, recorded.JUDGEMENT, F.col("arxiv_id"), recorded.relevance_prompt(self.config.problem_statement))
