@@ -41,6 +41,8 @@ MINIMA = BANDS * BAND_ROWS
 SLACK = 0.2
 #: Documents of a candidate component that one task links, and documents of one probe.
 LOCAL, PROBE = 4000, 1024
+#: Candidates that are broadcast to the texts, at most.
+BROADCAST = 1_000_000
 _A, _B = odd_numbers(MINIMA, 21), odd_numbers(MINIMA, 22)
 
 
@@ -328,7 +330,9 @@ def near_groups(docs: DataFrame, local: int = LOCAL, probe: int = PROBE) -> Data
     candidate = stored(components(stars).withColumnRenamed("root", "comp"), "candidates")
     sizes = candidate.groupBy("comp").agg(F.count("*").alias("n"))
     large = stored(sizes.where(F.col("n") > local).select("comp"), "large")
-    members = candidate.join(rows.select(F.col("key").alias("node"), "text"), "node").dropDuplicates(["node"]).select("comp", "node", "text")
+    # up to BROADCAST candidates (two numbers each) go to the texts, so that only theirs move; more meet them in a shuffle
+    few = candidate.limit(BROADCAST + 1).count() <= BROADCAST
+    members = (F.broadcast(candidate) if few else candidate.hint("merge")).join(rows.select(F.col("key").alias("node"), "text"), "node").dropDuplicates(["node"]).select("comp", "node", "text")
     if large.isEmpty():
         label = _local_links(members)
     else:
