@@ -20,6 +20,7 @@ read; an empty table gives no piece.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zlib
 from collections.abc import Iterator
@@ -151,31 +152,44 @@ def texts_to_ids(encode: Ids, parts: list[pa.Array]) -> tuple[np.ndarray, np.nda
 
 
 class Index:
-    """BM25 over the words of some documents, as postings sorted by word."""
+    """BM25 over the words of some documents, as postings sorted by word; documents taken out leave it."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, n_words: int):
         docs = np.repeat(np.arange(len(n)), n)
         pairs, tf = np.unique(docs * np.int64(max(n_words, 1)) + codes, return_counts=True)
-        self.doc, self.word = pairs // max(n_words, 1), pairs % max(n_words, 1)
+        doc, self.word = pairs // max(n_words, 1), pairs % max(n_words, 1)
         self.df = np.bincount(self.word, minlength=n_words)
-        self.idf = np.log1p((len(n) - self.df + 0.5) / (self.df + 0.5))
+        idf = np.log1p((len(n) - self.df + 0.5) / (self.df + 0.5))
         norm = K1 * (1 - B + B * n / max(n.mean(), 1)) if len(n) else n
-        weight = self.idf[self.word] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.first = np.searchsorted(self.doc, np.arange(len(n) + 1))
+        weight = idf[self.word] * tf * (K1 + 1) / (tf + norm[doc])
+        self.first = np.searchsorted(doc, np.arange(len(n) + 1))
         by_word = np.argsort(self.word, kind="stable")
-        self.at, self.posting, self.weight = starts_of(self.df), self.doc[by_word].astype(np.int32), weight[by_word].astype(np.float32)
+        self.at, self.posting, self.weight = starts_of(self.df), doc[by_word].astype(np.int32), weight[by_word].astype(np.float32)
+        #: Documents that were taken out, and how many that were not hold each word.
+        self.used, self.live = np.zeros(len(n), bool), self.df.copy()
+        self.gone = 0
+
+    def take(self, doc: int) -> None:
+        """Takes ``doc`` out; postings are rewritten each time half of them are gone."""
+        words = self.word[self.first[doc] : self.first[doc + 1]]
+        self.used[doc] = True
+        self.live[words] -= 1
+        self.gone += len(words)
+        if 2 * self.gone > len(self.posting):
+            keep = ~self.used[self.posting]
+            self.at, self.posting, self.weight, self.gone = starts_of(self.live), self.posting[keep], self.weight[keep], 0
 
     def neighbours(self, doc: int, used: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
-        """Unused documents that share the rarest words of ``doc``, best first."""
+        """Unused documents that share the rarest words of ``doc`` that others still hold, best first."""
         words = self.word[self.first[doc] : self.first[doc + 1]]
-        words = words[self.df[words] > 1]
+        words = words[self.live[words] > (not self.used[doc])]
         if not len(words):
             return words
         if len(words) > QUERY_WORDS:
             words = words[np.argpartition(self.df[words], QUERY_WORDS)[:QUERY_WORDS]]
         found = np.concatenate([self.posting[self.at[w] : self.at[w + 1]] for w in words])
         weight = np.concatenate([self.weight[self.at[w] : self.at[w + 1]] for w in words])
-        free = ~used[found]
+        free = ~used[found] & (found != doc)
         found, weight = found[free], weight[free]
         if not len(found):
             return found
@@ -190,23 +204,28 @@ class Index:
 def pack_shard(length: np.ndarray, index: Index, window: int = WINDOW, twins: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` of documents of so many ids.
 
-    Documents of one number in ``twins`` are copies: they are not sought as each other's neighbours."""
+    Documents of one number in ``twins`` are copies and one entry of ``index``, that of this number:
+    they are not sought as each other's neighbours, and a neighbour is its first unused copy."""
     twins = np.arange(len(length)) if twins is None else twins
+    copies, n_copies = np.argsort(twins, kind="stable"), np.bincount(twins, minlength=1)
+    first, taken = starts_of(n_copies), np.zeros(len(n_copies), np.int64)
     pieces: list[tuple[int, int, int, int, int]] = []
     used = np.zeros(len(length), bool)
     sequence, filled, following = 0, 0, 0
     n = len(length)
-    done = np.zeros(n, np.int64)
 
     def put(doc: int) -> None:
-        """Ids of ``doc`` from where it stands, over as many sequences as it takes."""
+        """Ids of ``doc``, over as many sequences as it takes."""
         nonlocal sequence, filled
         used[doc] = True
-        left = int(length[doc] - done[doc])
+        taken[twins[doc]] += 1
+        if taken[twins[doc]] == n_copies[twins[doc]]:
+            index.take(int(twins[doc]))
+        done, left = 0, int(length[doc])
         while left:
             k = min(left, window - filled)
-            pieces.append((doc, int(done[doc]), k, sequence, filled))
-            done[doc] += k
+            pieces.append((doc, done, k, sequence, filled))
+            done += k
             left -= k
             filled += k
             if filled == window:
@@ -220,10 +239,10 @@ def pack_shard(length: np.ndarray, index: Index, window: int = WINDOW, twins: np
         seed = following
         put(seed)
         while filled:
-            near = index.neighbours(seed, used)
-            near = near[twins[near] != twins[seed]]
+            near = index.neighbours(int(twins[seed]), index.used)
             if not len(near):
                 break
+            near = copies[first[near] + taken[near]]
             room = window - filled
             fits = near[length[near] <= room]
             if not len(fits):
@@ -236,6 +255,15 @@ def pack_shard(length: np.ndarray, index: Index, window: int = WINDOW, twins: np
     return _powers(pieces, sequence, filled) if filled else pieces
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys as numbers in order of first appearance, and where each number appears first."""
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    by_place = np.argsort(first)
+    number = np.empty(len(first), np.int64)
+    number[by_place] = np.arange(len(first))
+    return number[which], first[by_place]
+
+
 def _powers(pieces: list, sequence: int, filled: int, least: int = LEAST) -> list:
     """The last, unfilled sequence as sequences of powers of two, largest first."""
     last = [p for p in pieces if p[3] == sequence]
@@ -275,13 +303,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
         del parts
         # order that does not hang on how rows arrived: longest first, then by content
         at = starts_of(length)
-        crc = np.array([zlib.crc32(ids[at[k] : at[k + 1]].astype("<u4").tobytes()) for k in range(len(length))], np.int64)
-        twins = np.unique(crc << 32 | length, return_inverse=True)[1]
+        crc, twins, seen = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), {}
+        for k in range(len(length)):
+            own = ids[at[k] : at[k + 1]].astype("<u4").tobytes()
+            crc[k], twins[k] = zlib.crc32(own), seen.setdefault(hashlib.blake2b(own, digest_size=16).digest(), len(seen))
         order = np.lexsort((np.array([-1 if x is None else x for x in doc_ids]), crc, -length))
-        where = starts_of(n_words)
-        index = Index(np.concatenate([words[where[k] : where[k + 1]] for k in order]).astype(np.int64), n_words[order], distinct)
+        # copies are one entry of the index, numbered in that order
+        twins, entries = numbered(twins[order])
+        entries, where = order[entries], starts_of(n_words)
+        index = Index(np.concatenate([words[where[k] : where[k + 1]] for k in entries]).astype(np.int64), n_words[entries], distinct)
         del words
-        pieces = pack_shard(length[order], index, window, twins[order])
+        pieces = pack_shard(length[order], index, window, twins)
         for k in range(0, len(pieces), 20_000):
             some = pieces[k : k + 20_000]
             spans = [(at[order[d]] + s, at[order[d]] + s + m) for d, s, m, _, _ in some]

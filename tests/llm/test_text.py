@@ -160,6 +160,43 @@ def test_neighbours_share_words():
     assert index.neighbours(3, np.zeros(4, bool)).tolist() == [] and index.neighbours(0, np.ones(4, bool)).tolist() == []
 
 
+def together(pieces):
+    by_sequence = defaultdict(set)
+    for doc, _, _, sequence, _ in pieces:
+        by_sequence[sequence].add(doc)
+    return by_sequence
+
+
+def test_copies_do_not_hide_neighbours():
+    # 21 copies of one text (0-20), one unrelated longer text (21), one text that shares a word with the copies (22)
+    texts = [[*range(14)], [*range(20, 40)], [13, 50]]
+    twins = np.array([0] * 21 + [1, 2])
+    index = packing.Index(np.array([w for t in texts for w in t]), np.array([len(t) for t in texts]), 60)
+    by_sequence = together(packing.pack_shard(np.array([60] * 21 + [50, 40]), index, 100, twins))
+    assert by_sequence[0] == {0, 22}
+
+
+def test_copies_do_not_hide_neighbours_in_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "partitions", lambda *_: 1)
+    say = lambda stem, n: " ".join(f"{stem}{chr(97 + k)}" for k in range(n))
+    texts = [say("grove", 20) + " lantern"] * 21 + [say("pixel", 10)] * 3 + ["lantern " + say("mossy", 4)]
+    ids = packing.Ids(public_tokenizer())
+    size = [len(ids.whole(t)) + 1 for t in texts]
+    assert size[0] > size[21] and size[0] > size[24]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pieces = packing.pack(df, public_tokenizer(), size[0] + size[24]).collect()
+    assert {p["doc_id"] for p in pieces if p["sequence_id"] == 0} == {0, 24}
+
+
+def test_neighbours_beyond_the_rarest_words():
+    # 0 shares its 12 rarest words with 1 only and a commoner one with 2 and 3
+    texts = [[*range(13)], [*range(12)], [12, 20], [12, 21]]
+    index = packing.Index(np.array([w for t in texts for w in t]), np.array([len(t) for t in texts]), 30)
+    index.take(0)
+    index.take(1)
+    assert sorted(index.neighbours(0, index.used).tolist()) == [2, 3]
+
+
 # ------------------------------------------------------------------ mixing
 
 
