@@ -4,9 +4,11 @@ A source's target is its share of all words by weight, at most ``repeats`` times
 its own size, the excess shared again by weight.  A target of q whole passes and
 a rest takes every document q times; the rest is fitted by length alone: the
 documents of a source are counted by exact word length, each length gives its
-share of the rest, what is then missing is filled greedily and, below ``EXACT``
-words, by a bounded-knapsack dynamic program over the counts.  Of the documents
-of one length the seeded hash order decides, in two steps (whole hash buckets,
+share of the rest, what is then missing is filled greedily down to ``EXACT``
+words or as far as documents fit, then by a bounded-knapsack dynamic program over
+the counts left.  If that misses, the program runs over all counts, or, where its
+table would pass ``CELLS`` bits, over exchanges of one document for others, which
+comes near but need not find the nearest sum.  Of the documents of one length the seeded hash order decides, in two steps (whole hash buckets,
 then the order inside one bucket), so that no task sorts a whole hot length.
 
 Defined cases: null text has size 0; a null source is a source, the last;
@@ -15,6 +17,8 @@ of rows equal in id and text any may be the ones that are taken once more; empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +28,10 @@ from tessera.llm._common import n_words, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 SEED = 20240501
-#: Words of rest that the dynamic program settles; a bit set of so many bits.
+#: Words of rest at which greedy filling ends, and the dynamic program over what is left begins.
 EXACT = 1 << 14
+#: Bits of the table over all choices of a source, kept if that step missed; beyond, exchanges are searched.
+CELLS = 1 << 31
 BUCKETS = 256
 
 
@@ -48,7 +54,7 @@ def targets(sizes: list[int], weights: list[float], repeats: float = REPEATS) ->
     return out
 
 
-def fit(counts: dict[int, int], budget: int, exact: int = EXACT) -> dict[int, int]:
+def fit(counts: dict[int, int], budget: int, exact: int = EXACT, cells: int = CELLS) -> dict[int, int]:
     """How many documents of each length to take so that their words come nearest to ``budget``."""
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
     size = sum(n * c for n, c in counts.items())
@@ -62,25 +68,63 @@ def fit(counts: dict[int, int], budget: int, exact: int = EXACT) -> dict[int, in
         take[n] = min(counts[n], carried // (n * size))
         carried -= take[n] * n * size
     rest = budget - sum(n * c for n, c in take.items())
-    for n in sorted(counts, reverse=True):  # greedily, until the rest is small enough for the exact step
+    for n in sorted(counts, reverse=True):  # greedily, until the rest is small
         if rest <= exact:
             break
         k = min(counts[n] - take[n], rest // n)
         take[n] += k
         rest -= k * n
-    if 0 < rest <= exact:
-        for n, k in knapsack({n: counts[n] - take[n] for n in counts}, rest).items():
-            take[n] += k
+    # a rest above `exact` is less than any length left, so this step is never wide
+    take = _changed(take, knapsack({n: counts[n] - take[n] for n in counts}, rest))
+    if _words(take) != budget:
+        take = min(_nearer(counts, take, budget, size, cells), key=lambda t: abs(_words(t) - budget))
     return {n: k for n, k in take.items() if k}
 
 
+def _words(take: dict[int, int]) -> int:
+    return sum(n * k for n, k in take.items())
+
+
+def _changed(take: dict[int, int], by: dict[int, int], sign: int = 1) -> dict[int, int]:
+    return {n: k + sign * by.get(n, 0) for n, k in take.items()}
+
+
+def _nearer(counts: dict[int, int], take: dict[int, int], budget: int, size: int, cells: int) -> Iterator[dict[int, int]]:
+    """``take``, and what may come nearer to ``budget``: the best of all choices where its table has at most
+    ``cells`` cells, else the excess taken out, and one more document of some length with others out for it, or the other way round."""
+    yield take
+    part = min(budget, size - budget)  # choosing what stays out is the same problem
+    top = part + min(max(counts), part)
+    if top * sum(min(c, top // n).bit_length() for n, c in counts.items()) <= cells:
+        best = knapsack(counts, part)
+        yield {n: best.get(n, 0) for n in counts} if part == budget else {n: c - best.get(n, 0) for n, c in counts.items()}
+        return
+    off = _words(take) - budget
+    if off > 0:
+        new = _changed(take, knapsack(take, off), -1)
+        yield new
+        if _words(new) == budget:
+            return
+    for n in sorted(counts):
+        for sign in (1, -1):  # one more in and others out; one out and others in
+            left = counts[n] - take[n] if sign > 0 else take[n]
+            excess = n + sign * off
+            if left and excess >= 0:
+                others = {m: (take[m] if sign > 0 else counts[m] - take[m]) for m in counts if m != n}
+                new = _changed(_changed(take, {n: 1}, sign), knapsack(others, excess), -sign)
+                yield new
+                if _words(new) == budget:
+                    return
+
+
 def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     """Bounded knapsack: numbers per length whose sum comes nearest to ``budget``.
 
     A bit set holds the sums that are reachable; each length enters as bundles of
-    1, 2, 4, ... documents.  The sum may pass the budget by up to one short document."""
-    short = min((n for n, c in counts.items() if c), default=0)
-    top = budget + short
+    1, 2, 4, ... documents.  The nearest sum passes the budget by less than one
+    document, and by no more than the budget, as the empty sum misses that much."""
+    longest = max((n for n, c in counts.items() if c), default=0)
+    top = budget + min(longest, budget)
     mask, reach, steps = (1 << (top + 1)) - 1, 1, []
     for n in sorted(counts):
         left, size = min(counts[n], top // n), 1

@@ -219,6 +219,29 @@ def test_knapsack_is_exact():
         assert abs(got - budget) == min(abs(s - budget) for s in sums if s <= budget + min(counts))
 
 
+@pytest.mark.parametrize(
+    "counts, budget, want",
+    [({1000: 60, 40_000: 1}, 90_000, 90_000), ({100_000: 3}, 190_000, 200_000), ({1: 1, 100: 1}, 60, 100), ({20_000: 7, 30_001: 3, 170_000: 2}, 300_001, 300_001)],
+)
+@pytest.mark.parametrize("cells", [mixing.CELLS, 0])
+def test_fit_with_long_documents(counts, budget, want, cells):
+    got = mixing.fit(counts, budget, cells=cells)
+    assert all(0 < k <= counts[n] for n, k in got.items())
+    assert sum(n * k for n, k in got.items()) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 90), st.integers(1, 4), min_size=1, max_size=6), st.floats(0, 1))
+def test_fit_is_nearest_above_exact(counts, share):
+    counts = {n * 1000 + n % 7: c for n, c in counts.items()}
+    budget = round(share * sum(n * c for n, c in counts.items()))
+    sums = {0}
+    for n, c in counts.items():
+        sums = {s + n * k for s in sums for k in range(c + 1)}
+    got = sum(n * k for n, k in mixing.fit(counts, budget).items())
+    assert abs(got - budget) == min(abs(s - budget) for s in sums)
+
+
 def plain_targets(sizes, weights):
     goal, free, left = [0.0] * len(sizes), [k for k, s in enumerate(sizes) if s], float(sum(sizes))
     while free:
