@@ -38,16 +38,20 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    """A new folder below ``spark.checkpoint.dir``; a machine-local one only on a local master, where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later reads survive lost executors."""
+    """Write ``df`` to the shared folder and read it back: later reads survive lost executors.
+
+    Folders go at exit, or before by ``dropped``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
@@ -55,6 +59,13 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*done: DataFrame) -> None:
+    """Remove stored tables that no plan in use reads any more."""
+    for df in done:
+        for file in df.inputFiles()[:1]:
+            _remove(df.sparkSession, file.rsplit("/", 1)[0])
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return
@@ -73,6 +84,28 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def row_keys(first: str = "_k1", second: str = "_k2") -> list[Column]:
+    """128 bits that name a row by id and text, never null."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), text).alias(first), F.xxhash64(text, F.lit(1), F.col("doc_id"), F.col("doc_id").isNull()).alias(second)]
+
+
+def with_columns(rows: DataFrame, names: list[str], **more: Column) -> DataFrame:
+    """The fields ``names`` of the column ``row``, and the columns ``more``, which replace fields of these names."""
+    taken = {name.lower() for name in more}
+    return rows.select(*[F.col("row").getField(name).alias(name) for name in names if name.lower() not in taken], *[c.alias(name) for name, c in more.items()])
+
+
+def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose keys ``_k1, _k2`` stand in ``kept``, with their columns; of rows equal in id and text, one.
+
+    Texts move once: the copies of a row are found in the partition of its keys."""
+    names = kept.select(F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2"))
+    rows = docs.select(F.struct("*").alias("row"), *row_keys()).hint("merge")
+    found = rows.join(names, (rows["_k1"] == names["_n1"]) & (rows["_k2"] == names["_n2"]), "left_semi").dropDuplicates(["_k1", "_k2"])
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -5,9 +5,9 @@ Texts are equal when they are identical after every character of
 content says so (a punctuation mark before a letter of the first half of the
 alphabet or any character beyond ASCII), so a chunk keeps its borders wherever
 it stands.  A chunk moves once, to the group of its SHA-256 digest, where its
-text is compared with all others of that digest: only then is the digest its
-identifier.  Documents are compared by their ordered lists of identifiers, a
-fraction of their size, so long documents don't move again.
+text is compared with all others of that digest: only when no digest has two texts
+are digests identifiers.  Documents are compared by their ordered lists of
+identifiers, a fraction of their size, so long documents don't move again.
 
 Defined cases: null text counts as empty; all empty texts are equal; rows equal
 in ``doc_id`` and text are one document, repeated, and share a verdict; a null
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import stored
+from tessera.llm._common import keep_named, row_keys, stored
 
 #: Least and most characters of a chunk.
 CHUNK = (256, 4096)
@@ -33,66 +33,37 @@ def chunk_pattern(least: int, most: int) -> str:
 
 
 def exact_groups(docs: DataFrame, chunk: tuple[int, int] = CHUNK) -> DataFrame:
-    """One row per document row: ``doc_id, keep_id, group_size, kept, text_sha256, text_key``.
+    """One row per document row: ``doc_id, keep_id, group_size, kept, text_sha256`` and ``_k1, _k2``.
 
     The row with the most code points in its original text stays, then the
-    smallest ``doc_id``.  ``text_key`` is a hash of the original text; with
-    ``doc_id`` it names the document."""
+    smallest ``doc_id``.  ``_k1, _k2`` name the document by id and original text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    plain = F.translate(text, SPACES, "")
     pattern = F.lit(chunk_pattern(*chunk))
-    pieces = docs.select("doc_id", text.alias("text"), plain.alias("plain"))
-    occurrences = pieces.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_key"),
-        F.char_length("text").alias("chars"),
-        F.sha2("plain", 256).alias("sha"),
-        F.posexplode_outer(F.regexp_extract_all("plain", pattern, F.lit(0))).alias("pos", "chunk"),
-    ).withColumn("digest", F.unhex(F.sha2("chunk", 256)))
-    clashes = (
-        occurrences.where("digest is not null")
-        .groupBy("digest")
-        .agg(F.min("chunk").alias("a"), F.max("chunk").alias("b"))
-        .where("a <> b")
-        .select("digest", F.lit(True).alias("clash"))
-    )
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    verified = F.when(F.col("clash"), F.raise_error(F.lit("two chunks share a SHA-256 digest"))).otherwise(F.col("digest"))
-    recipes = stored(
-        occurrences.drop("chunk")
-        .join(clashes, "digest", "left")
-        .groupBy("doc_id", "text_key", "chars")
-        .agg(
-            F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", verified.alias("id"))))).alias("listed"),
-            F.max(F.when(first, F.col("sha"))).alias("text_sha256"),
-            F.count_if(first).alias("copies"),
-        )
-        .select("doc_id", "text_key", "chars", "text_sha256", "copies", F.transform("listed", lambda x: x["id"]).alias("recipe")),
-        "recipes",
-    )
+    pieces = docs.select("doc_id", *row_keys(), F.char_length(text).alias("chars"), F.translate(text, SPACES, "").alias("plain"))
+    cut = pieces.select("doc_id", "_k1", "_k2", "chars", F.sha2("plain", 256).alias("text_sha256"), F.regexp_extract_all("plain", pattern, F.lit(0)).alias("chunks"))
+    chunks = cut.select(F.explode("chunks").alias("chunk")).select("chunk", F.unhex(F.sha2("chunk", 256)).alias("digest"))
+    if not chunks.groupBy("digest").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").isEmpty():
+        raise RuntimeError("two chunks share a SHA-256 digest")
+    # every digest is now the identifier of one chunk: a recipe is made where its document lies
+    recipe = F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256)))
+    recipes = stored(cut.select("doc_id", "_k1", "_k2", "chars", "text_sha256", recipe.alias("recipe")), "recipes")
     groups = stored(
         recipes.groupBy("recipe")
-        .agg(F.min(F.struct((-F.col("chars")).alias("c"), "doc_id", "text_key")).alias("keep"), F.sum("copies").alias("group_size"))
+        .agg(F.min(F.struct((-F.col("chars")).alias("c"), "doc_id", "_k1", "_k2")).alias("keep"), F.count("*").alias("group_size"))
         .select("recipe", "keep", "group_size"),
         "groups",
     )
-    return (
-        recipes.join(groups, "recipe")
-        .select(
-            "doc_id",
-            F.col("keep.doc_id").alias("keep_id"),
-            "group_size",
-            (F.struct("doc_id", "text_key") == F.struct("keep.doc_id", "keep.text_key")).alias("kept"),
-            "text_sha256",
-            "text_key",
-            F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-        )
-        .drop("copy")
+    return recipes.join(groups, "recipe").select(
+        "doc_id",
+        F.col("keep.doc_id").alias("keep_id"),
+        "group_size",
+        (F.struct("_k1", "_k2") == F.struct("keep._k1", "keep._k2")).alias("kept"),
+        "text_sha256",
+        "_k1",
+        "_k2",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of rows equal in id and text, one."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (key == kept["_key"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return keep_named(docs, exact_groups(docs).where("kept"))

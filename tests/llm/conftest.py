@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, key long, score double, kept boolean, comp long"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, key long, score double, kept boolean, comp long, _m_size long, mix_size long, n_lines string, _ld_id long, _k1 long, row long, bucket int"
 VOCAB = [a + b for a in ("ta", "re", "mi", "zo", "Ka", "ü", "é") for b in ("n", "ll", "st", "x.", "r,", "que", "")]
 
 
@@ -31,7 +31,7 @@ def corpus():
         rows.append([k, t, rng.choice(["en", "de"]), rng.choice(["src1", "src10", "src2", "hot", "hot", "hot", None])])
     rows += [[100, None, None, None], [101, "", "en", "hot"], [102, " \n\t", "en", "hot"], [103, say(6000), "en", "long"], [None, base[0], "en", "hot"]]
     rows += [rows[3], rows[3], [104, base[0].upper(), "en", "src2"], [105, "a\x0bb\x0cc\x1cd\xa0e " + base[1], "en", "src2"], [106, "one\n\n\n\n\n\ntwo\n\n\n\n", "en", "hot"]]
-    return [(*r, len(r[1] or ""), 1, 2, 3.0, True, 4) for r in rows]
+    return [(*r, len(r[1] or ""), 1, 2, 3.0, True, 4, 5, 6, "seven", 8, 9, 10, 11) for r in rows]
 
 
 @pytest.fixture(scope="session")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
+from tessera.llm import _common, exact_dedup, line_dedup, near_dedup, substring_dedup
 from tessera.llm._common import column, pack, slices, split_words, unpack
 
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -59,9 +60,24 @@ def test_exact(docs, corpus, nothing):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
-def test_exact_is_native(docs):
-    plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans that an operator writes on its way."""
+    seen = []
+
+    def noting(df, name="t"):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return _common.stored(df, name)
+
+    monkeypatch.setattr(exact_dedup, "stored", noting)
+    monkeypatch.setattr(line_dedup, "stored", noting)
+    return seen
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.exact_groups, exact_dedup.drop_copies, line_dedup.dedup_lines])
+def test_native(docs, plans, operator):
+    plans.append(operator(docs)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 1 and not any(re.search("Python|Pandas|Arrow|RDD", p.replace("Scan ExistingRDD", "")) for p in plans)
 
 
 # ------------------------------------------------------------------ lines
@@ -92,8 +108,23 @@ def test_lines(docs, corpus, nothing):
         text = want[r["doc_id"], r["text"] or ""]
         assert r["kept_text"] == text or (text == "" and r["kept_text"] == "")
         assert r["n_lines"] == len((r["text"] or "").split("\n"))
+        assert (r["_ld_id"], r["_k1"], r["row"]) == (8, 9, 10)
     assert line_dedup.dedup_lines(nothing).count() == 0
-    assert not re.search("Python|Pandas|Arrow", line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_lines_of_long_documents(spark):
+    """Work is linear in lines: four times as many take less than eight times as long."""
+    took = []
+    for n in (16_000, 64_000):
+        rows = [(k, "\n".join(f"line {j} {k if j % 9 == 4 else ''}" for j in range(n))) for k in range(2)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).cache()
+        df.count()
+        began = time.perf_counter()
+        out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+        took.append(time.perf_counter() - began)
+        want = plain_lines(rows)
+        assert all(out[k]["kept_text"] == want[k, t] for k, t in rows) and out[1]["n_removed"] > n / 2
+    assert took[1] < 8 * took[0]
 
 
 # ------------------------------------------------------------------ substrings
