@@ -12,12 +12,14 @@ comes near but need not find the nearest sum.  Of the documents of one length th
 then the order inside one bucket), so that no task sorts a whole hot length.
 
 Defined cases: null text has size 0; a null source is a source, the last;
-of rows equal in id and text any may be the ones that are taken once more; empty input gives an empty result; other columns pass unread.
+of rows equal in id and text any may be the ones that are taken once more; empty input
+gives an empty result; other columns pass unread, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -147,75 +149,83 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     return out
 
 
-def _order(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """What the plan needs of each row: ``source``, words, seeded order and its bucket, and the columns ``more``."""
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    return docs.select("source", n_words("text").alias("size"), order.alias("order"), F.pmod(order, F.lit(BUCKETS)).cast("int").alias("bucket"), *more)
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``mix_size, mix_source_size, mix_target, mix_times`` added: each row is to be taken ``mix_times`` times."""
-    rows = docs.withColumn("_m_size", n_words("text")).withColumn("_m_hash", _order(seed)).withColumn("_m_bucket", F.pmod(F.col("_m_hash"), F.lit(BUCKETS)).cast("int"))
-    by_bucket = stored(rows.groupBy("source", "_m_size", "_m_bucket").agg(F.count("*").alias("n")), "lengths")
+def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
+    """Equality of the named columns, null sources being equal."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) if k == "source" else a[k] == b[k] for k in names])
+
+
+CELL = ("source", "size", "bucket")
+
+
+def _limits(sized: DataFrame, weights: tuple[float, ...], repeats: int) -> DataFrame:
+    """Per source, size and bucket: how often all its rows are taken, and up to which order one time more."""
+    by_bucket = stored(sized.groupBy(*CELL).agg(F.count("*").alias("n")), "lengths")
     # One row per source reaches the driver: its name and its words.
-    sources = [tuple(r) for r in by_bucket.groupBy("source").agg(F.sum(F.col("_m_size") * F.col("n"))).collect()]
+    sources = [tuple(r) for r in by_bucket.groupBy("source").agg(F.sum(F.col("size") * F.col("n"))).collect()]
     sources.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
-    sizes = [s for _, s in sources]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], repeats)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(name, size, t) for (name, size), t in zip(sources, goal, strict=True)], "source string, source_size long, target double")
+    words = [s for _, s in sources]
+    goal = targets(words, [weights[i % len(weights)] for i in range(len(sources))], repeats)
+    plan = sized.sparkSession.createDataFrame([(name, w, t) for (name, w), t in zip(sources, goal, strict=True)], "source string, source_size long, target double")
 
     def fitted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-        passes = min(int(target // size), repeats) if size else 0
-        extra = fit(dict(zip(pdf["_m_size"].tolist(), pdf["n"].tolist(), strict=True)), round(target) - passes * size) if size else {}
-        return pd.DataFrame({"source": pdf["source"], "_m_size": pdf["_m_size"], "passes": passes, "wanted": [extra.get(n, 0) for n in pdf["_m_size"].tolist()]})
-
-    small = F.broadcast if len(sources) <= 10_000 else lambda x: x
-    same = lambda a, b, *ks: [a[k].eqNullSafe(b[k]) for k in ks]
-    lengths = by_bucket.groupBy("source", "_m_size").agg(F.sum("n").alias("n"))
+        words, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
+        passes = min(int(target // words), repeats) if words else 0
+        extra = fit(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), round(target) - passes * words) if words else {}
+        return pd.DataFrame({**{k: pdf[k] for k in ("source", "size", "source_size", "target")}, "passes": passes, "wanted": [extra.get(n, 0) for n in pdf["size"].tolist()]})
+
+    lengths = by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n"))
     # A task sees the lengths of one source: as many rows as it has distinct lengths.
-    fits = lengths.join(small(plan), same(lengths, plan, "source")).drop(plan["source"]).groupBy("source").applyInPandas(fitted, "source string, _m_size long, passes int, wanted long")
-    before = F.sum("n").over(Window.partitionBy("source", "_m_size").orderBy("_m_bucket")) - F.col("n")  # over BUCKETS rows
-    got = F.least(F.col("n"), F.greatest(F.lit(0), F.col("wanted") - F.col("before")))
-    counted = by_bucket.withColumn("before", before)
-    shares = stored(
-        counted.join(fits, same(counted, fits, "source", "_m_size")).select(counted["source"], counted["_m_size"], "_m_bucket", "passes", got.alias("extra"), "n"),
-        "shares",
-    )
-    cut = shares.where("extra > 0 and extra < n").select("source", "_m_size", "_m_bucket", "extra")
-    ranks = (
-        rows.select("source", "_m_size", "_m_bucket", "_m_hash")
-        .join(cut, same(rows, cut, "source", "_m_size", "_m_bucket"), "left_semi")
-        .groupBy("source", "_m_size", "_m_bucket", "_m_hash")
-        .agg(F.count("*").alias("same"))
+    fits = (
+        lengths.join(plan, _same(lengths, plan, "source"))
+        .drop(plan["source"])
+        .groupBy("source")
+        .applyInPandas(fitted, "source string, size long, source_size long, target double, passes int, wanted long")
     )
-    inside = Window.partitionBy("source", "_m_size", "_m_bucket").orderBy("_m_hash")
-    taken = ranks.withColumn("before", F.sum("same").over(inside) - F.col("same"))
-    # Of a cut bucket: rows with a hash under `edge` are taken, and `some` of those at it.
-    limits = (
-        taken.join(cut, same(taken, cut, "source", "_m_size", "_m_bucket"))
+    before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket")) - F.col("n")  # over BUCKETS rows
+    counted = by_bucket.withColumn("before", before)
+    got = F.least(F.col("n"), F.greatest(F.lit(0), F.col("wanted") - F.col("before")))
+    shares = stored(counted.join(fits, _same(counted, fits, "source", "size")).select(*[counted[k] for k in CELL], "source_size", "target", "passes", got.alias("extra"), "n"), "shares")
+    cut = shares.where("extra > 0 and extra < n").select(*CELL, "extra")
+    ranks = sized.join(cut, _same(sized, cut, *CELL), "left_semi").groupBy(*CELL, "order").agg(F.count("*").alias("same"))
+    taken = ranks.withColumn("before", F.sum("same").over(Window.partitionBy(*CELL).orderBy("order")) - F.col("same"))
+    # Of a cut bucket: rows of an order under `edge` are taken, and `some` of those at it.
+    edges = (
+        taken.join(cut, _same(taken, cut, *CELL))
         .where("before <= extra")
-        .groupBy(taken["source"], taken["_m_size"], taken["_m_bucket"])
-        .agg(F.max(F.struct(F.col("_m_hash"), (F.col("extra") - F.col("before")).alias("some"))).alias("edge"))
-        .select("source", "_m_size", "_m_bucket", F.col("edge._m_hash").alias("edge"), F.col("edge.some").alias("some"))
-    )
-    whole = shares.withColumn("all", F.col("extra") >= F.col("n"))
-    keys = whole.join(limits, same(whole, limits, "source", "_m_size", "_m_bucket"), "left").select(whole["*"], "edge", "some")
-    keys = keys.join(small(plan), same(keys, plan, "source")).select(keys["*"], "source_size", "target")
-    keys = stored(keys.select(*[F.col(c).alias(f"_k_{c}") for c in keys.columns]), "keys")
-    joined = rows.join(keys, [rows["source"].eqNullSafe(keys["_k_source"]), rows["_m_size"] == keys["_k__m_size"], rows["_m_bucket"] == keys["_k__m_bucket"]])
-    number = F.row_number().over(Window.partitionBy("source", "_m_size", "_m_bucket", "_m_hash").orderBy("_m_hash"))  # over 1 for repeated rows only
-    at_edge = (F.col("_m_hash") == F.col("_k_edge")) & (F.col("_m_nr") <= F.col("_k_some"))
-    extra = F.when(F.col("_k_all"), 1).when((F.col("_m_hash") < F.col("_k_edge")) | at_edge, 1).otherwise(0)
-    return joined.withColumn("_m_nr", number).select(
-        *[rows[c] for c in docs.columns],
-        F.col("_m_size").alias("mix_size"),
-        F.col("_k_source_size").alias("mix_source_size"),
-        F.col("_k_target").alias("mix_target"),
-        (F.col("_k_passes") + F.coalesce(extra, F.lit(0))).cast("long").alias("mix_times"),
+        .groupBy(*[taken[k] for k in CELL])
+        .agg(F.max(F.struct(F.col("order"), (F.col("extra") - F.col("before")).alias("some"))).alias("at"))
     )
+    whole = shares.join(edges, _same(shares, edges, *CELL), "left")
+    names = [shares[k].alias(f"_k_{k}") for k in CELL]
+    return stored(whole.select(*names, "source_size", "target", "passes", (F.col("extra") >= F.col("n")).alias("every"), F.col("at.order").alias("edge"), F.col("at.some").alias("some")), "limits")
+
+
+def _times(sized: DataFrame, limits: DataFrame) -> DataFrame:
+    """``sized`` with ``source_size``, ``target`` and ``times``."""
+    joined = sized.join(limits, [sized["source"].eqNullSafe(limits["_k_source"]), sized["size"] == limits["_k_size"], sized["bucket"] == limits["_k_bucket"]])
+    nr = F.row_number().over(Window.partitionBy(*CELL, "order").orderBy("order"))  # over 1 for repeated rows only
+    more = F.when(F.col("every") | (F.col("order") < F.col("edge")) | ((F.col("order") == F.col("edge")) & (F.col("nr") <= F.col("some"))), 1).otherwise(0)
+    return joined.withColumn("nr", nr).withColumn("times", (F.col("passes") + more).cast("long"))
+
+
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """``doc_id, mix_size, mix_source_size, mix_target, mix_times`` of every row: it is to be taken ``mix_times`` times.
+
+    The texts are read once; all later steps work on four numbers a row."""
+    sized = stored(_sized(docs, seed, F.col("doc_id")), "sizes")
+    plan = _times(sized, _limits(sized, weights, repeats))
+    return plan.select("doc_id", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("times").alias("mix_times"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the plan takes it."""
-    plan = mix_plan(docs, **options).where("mix_times > 0")
-    return plan.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))).alias("_time")).drop("_time")
+    limits = _limits(stored(_sized(docs, seed), "sizes"), weights, repeats)
+    taken = _times(_sized(docs, seed, F.struct("*").alias("row")), limits).where("times > 0")
+    repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"))
+    return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
