@@ -5,12 +5,15 @@ codes and deferred clears, global and local palettes, interlacing, transparency
 and the disposal rules (keep, clear, restore what was there before).  Frames come
 as composed RGBA canvases with their time; columns hold colour histograms.
 
-``store`` keeps bytes as palette numbers of a 256-grey GIF, ``WIDTH`` samples a
-row and at most ``ROWS`` rows a frame, so that any payload is kept without loss.
+``store`` keeps bytes as palette numbers of a GIF whose palette spreads them over
+red, green and blue, ``WIDTH`` samples a row and at most ``ROWS`` rows a frame, each
+frame cleared behind it.  Reading goes through the composed canvases: the opaque
+pixels of a frame are its part of the payload, and their colours, turned back into
+palette numbers, its bytes.
 
 Defined cases: null text counts as empty and becomes one row of padding; null or
-malformed GIF bytes give null frames; equal bytes give equal columns; other
-columns are not read.
+malformed GIF bytes, and canvases of colours that stand for no byte, give nulls;
+equal bytes give equal columns; other columns are not read.
 """
 
 from __future__ import annotations
@@ -308,18 +311,31 @@ def decode_column(media: DataFrame, name: str = "media") -> DataFrame:
 
 # ------------------------------------------------------------------ payloads
 
-GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+_K = np.arange(256)
+#: Three bits of a byte for red, three for green, two for blue; each channel's parts are those of ``histogram``.
+COLOURS = np.stack([(_K >> 5) * 36, (_K >> 2 & 7) * 36, (_K & 3) * 85], axis=1).astype(np.uint8)
 
 
 def store(payload: bytes) -> bytes:
     """A payload of whole rows as a GIF."""
     step = WIDTH * ROWS
-    frames = [Frame(0, 0, WIDTH, len(part) // WIDTH, part, GREYS, -1, 1, 100) for part in (payload[k : k + step] for k in range(0, len(payload), step))]
-    return encode(frames, WIDTH, max(f.height for f in frames), GREYS)
+    frames = [Frame(0, 0, WIDTH, len(part) // WIDTH, part, COLOURS, -1, 2, 100) for part in (payload[k : k + step] for k in range(0, len(payload), step))]
+    return encode(frames, WIDTH, max(f.height for f in frames), COLOURS)
 
 
-def grey_histogram(samples: bytes, bins: int = 16) -> np.ndarray:
-    return np.bincount(np.frombuffer(samples, np.uint8) >> 4, minlength=bins)
+def read(data: bytes) -> tuple[bytes, np.ndarray, list[int]]:
+    """Payload, colour histogram and start of each frame of a stored GIF, from its composed canvases."""
+    gif = decode(data)
+    parts, counts, starts = [], np.zeros(BINS**3, np.int64), []
+    for at, canvas in canvases(gif):
+        seen = canvas[canvas[..., 3] > 0][:, :3]
+        number = (seen[:, 0] // 36 << 5) + (seen[:, 1] // 36 << 2) + seen[:, 2] // 85
+        if (COLOURS[number] != seen).any():
+            raise ValueError("a colour stands for no byte")
+        parts.append(number.tobytes())
+        counts += histogram(canvas)
+        starts.append(at)
+    return b"".join(parts), counts, starts
 
 
 def pad(data: bytes) -> bytes:
@@ -341,19 +357,24 @@ def store_column(docs: DataFrame) -> DataFrame:
 
 
 def read_column(media: DataFrame) -> DataFrame:
-    """What the stored GIFs hold, decoded: payload digests and the feature, sixteen grey shares in per mille of the frames."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the stored GIFs hold: payload digests, and the feature, shares of the colour histogram in per mille of the pixels."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, last_ms long"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 8
+        own = (len(data), hashlib.sha256(data).hexdigest())
+        try:
+            payload, counts, starts = read(data)
+        except ValueError:
+            return (None, None, None, *own, None, None, None)
+        feature = ",".join(map(str, (counts * 1000 // max(len(payload), 1)).tolist()))
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *own, feature, len(starts), starts[-1])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, n, data in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist(), strict=True):
-                gif = decode(data)
-                payload = b"".join(f.samples for f in gif.frames)
-                counts = grey_histogram(payload)
-                feature = ",".join(map(str, counts * 1000 // max(len(payload), 1)))
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(gif.frames)))
+            rows = [(doc, n, *one(data)) for doc, n, data in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return media.mapInArrow(read, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(digests, schema)
