@@ -8,9 +8,12 @@ punctuation, repeated characters and obfuscation (digits or symbols inside a
 word, and lexicon words that appear only once these are undone).  Labels,
 language, source and id are no inputs.
 
-The trees are fitted on at most ``SAMPLE`` labelled rows, chosen by hash, on the
-driver; the counts behind the lexicon cover all labelled training rows; scoring
-reads every whole text in Arrow batches.
+The classifier is fitted on a bounded sample of the labelled training rows, and one
+plan serves every size: labels are drawn by a hash of their id, about ``LABELLED``
+of them (all, where there are fewer), and go to the texts, whose labelled rows are
+written once.  All of these make the lexicon, without a bound on its words; the
+trees are fitted on about ``SAMPLE`` of them, drawn by a hash of id and text, whose
+features alone reach the driver.  Scoring reads every whole text in Arrow batches.
 
 Defined cases: a null text counts as empty and gets the score of the empty text;
 several labels of one id count once each, conflicting ones too; without labelled
@@ -30,16 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm._common import column, coded_words, slices, small_batches, split_words, starts_of
+from tessera.llm._common import column, coded_words, slices, small_batches, split_words, starts_of, stored
 
-#: Labelled rows that the trees are fitted on, at most.
-SAMPLE = 20_000
+#: Labelled rows that the classifier is fitted on, about, and those of them that its trees see.
+LABELLED, SAMPLE = 500_000, 20_000
 FOLDS, HELD_OUT = 5, 0
-#: Labels that are broadcast to the texts, at most.
-BROADCAST_LABELS = 2_000_000
-#: Smoothed log-odds from which a word enters tier 0, 1, 2; words of a lexicon at most.
-TIERS, LEXICON = (1.5, 2.5, 3.5), 20_000
-LEAST_DOCS = 4
+#: Smoothed log-odds from which a word enters tier 0, 1, 2.
+TIERS = (1.5, 2.5, 3.5)
+#: Toxic documents that hold a lexicon word, at least, and its log-likelihood ratio, at least: chance passes one word in 100,000.
+LEAST_DOCS, LEAST_RATIO = 4, 19.5
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»„“”‚‘’…"
 # Second-person words, and the letters that symbols stand for.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer sie tu toi te vous votre vos ton ta tes tú usted ustedes vosotros tuyo vuestro os".split())
@@ -262,7 +264,7 @@ class Model:
 def lexicon_of(labelled: DataFrame, least: int = LEAST_DOCS) -> dict[str, float]:
     """Words and their log-odds, from document counts over all of ``labelled`` (``text, toxic``).
 
-    At most ``LEXICON`` words reach the driver, the strongest."""
+    Every word that is evidence of toxicity beyond chance enters; rows of ``labelled`` bound how many there can be."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,20 +289,26 @@ def lexicon_of(labelled: DataFrame, least: int = LEAST_DOCS) -> dict[str, float]
         return {}
     counts = labelled.mapInArrow(words, "word string, bad long, good long").where("word <> ''").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.1) / (sizes[0] + 0.2)) - F.log((F.col("good") + 0.1) / (sizes[1] + 0.2))
-    # a document count that chance could give at this contrast is no evidence
-    found = counts.withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") >= TIERS[0]))
-    found = found.orderBy(F.col("bad").desc(), F.col("odds").desc(), "word").limit(LEXICON)
+    found = counts.withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") >= TIERS[0]) & (_ratio("bad", "good", *sizes) >= LEAST_RATIO))
     return {w: float(o) for w, o in found.select("word", "odds").collect()}
 
 
+def _ratio(bad: str, good: str, n_bad: int, n_good: int) -> Column:
+    """Log-likelihood ratio of a word's two document counts against one rate for both kinds."""
+    with_word, total = F.col(bad) + F.col(good), n_bad + n_good
+    cell = lambda c, row, col: F.when(c > 0, c * F.log(c * float(total) / (row * col))).otherwise(0.0)
+    held = cell(F.col(bad), with_word, F.lit(n_bad)) + cell(F.col(good), with_word, F.lit(n_good))
+    return 2 * (held + cell(n_bad - F.col(bad), total - with_word, F.lit(n_bad)) + cell(n_good - F.col(good), total - with_word, F.lit(n_good)))
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
-    """Fit lexicon, trees and calibration on ``labelled`` (``text, toxic``)."""
-    labelled = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    """Fit lexicon, trees and calibration on ``labelled`` (``doc_id, text, toxic``)."""
+    labelled = labelled.select(
+        F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")
+    ).where("toxic in (0, 1)")
+    labelled = stored(labelled, "labelled")
     lexicon = lexicon_of(labelled)
-    n = labelled.count()
-    kept = labelled.withColumn("h", F.xxhash64(F.lit(seed), "text"))
-    if n > sample:
-        kept = kept.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * sample / n)).limit(2 * sample)
+    kept = _drawn(labelled, "h", labelled.count(), sample)
     fields = ", ".join(f"f{k} double" for k in range(len(FEATURES)))
     shared = labelled.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -310,7 +318,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
                 x = features(column(part, "text"), shared.value)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), column(part, "toxic"), column(part, "h")], [*(f"f{k}" for k in range(x.shape[1])), "toxic", "h"])
 
-    table = kept.mapInArrow(rows, f"{fields}, toxic int, h long").toPandas().sort_values(["h", *(f"f{k}" for k in range(len(FEATURES)))])
+    table = kept.mapInArrow(rows, f"{fields}, toxic int, h long").toPandas().sort_values(["h", "toxic", *(f"f{k}" for k in range(len(FEATURES)))])
     y = table["toxic"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
@@ -324,6 +332,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     return Model(lexicon, Trees().fit(x, y), isotonic(margins, y), float(y.mean()))
 
 
+def _drawn(rows: DataFrame, h: str, n: int, most: int) -> DataFrame:
+    """About ``most`` of ``n`` rows by their hash; all, where there are no more."""
+    parts = 1 << 30
+    return rows.where(F.pmod(F.col(h), F.lit(parts)) < int(min(1.0, most / max(n, 1)) * parts))
+
+
 def score_rows(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with the column ``name`` added (replaced, if there)."""
     docs = docs.drop(name)
@@ -338,14 +352,13 @@ def score_rows(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_LABELS) -> DataFrame:
-    """``text, toxic`` of the labelled rows outside the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = 5) -> DataFrame:
+    """``doc_id, text, toxic`` of the labelled rows outside the held-out fold, about ``most`` of them.
 
-    Up to ``most`` labels (16 bytes each) go to the texts; more meet them in a shuffle."""
-    own = labels.select(F.col("doc_id").alias("_l_id"), F.col("toxic").alias("_l_toxic")).where("_l_toxic is not null").where(~F.coalesce(_fold("_l_id") == HELD_OUT, F.lit(False)))
-    if own.limit(most + 1).count() <= most:
-        own = F.broadcast(own)
-    return docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_l_id")).select("text", F.col("_l_toxic").alias("toxic"))
+    The labels are drawn before they meet the texts, so what is broadcast is bounded by ``most`` (16 bytes each)."""
+    own = labels.select(F.col("doc_id").alias("_l_id"), F.col("toxic").alias("_l_toxic")).where("_l_toxic is not null and _l_id is not null").where(_fold("_l_id") != HELD_OUT)
+    drawn = _drawn(own.withColumn("_l_h", F.xxhash64(F.lit(seed), "_l_id", "_l_toxic")), "_l_h", own.count(), most)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_l_id")).select("doc_id", "text", F.col("_l_toxic").alias("toxic"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
