@@ -1,18 +1,20 @@
 """MinHash near-deduplication with exact links and connected components.
 
 A document's set holds the hashes of its distinct five-word shingles.  Documents
-of equal sets form a class and its smallest id stands for it.  Signatures of
-``BANDS * BAND_ROWS`` universal hash minima are cut into bands; representatives
-that share a band are in one candidate component (star edges, alternating
-large-star and small-star).  A true link is missed with probability
-``(1 - J ** BAND_ROWS) ** BANDS``, about 1e-6 at J = 0.75.
-
-Inside a candidate component, signatures are compared in blocks; pairs whose
-estimate is within ``SLACK`` of the threshold are confirmed on the full sets,
-unless they are already in one component.  A component that holds more than
-``LOCAL`` documents is never brought together: blocks of its documents, few at
-first, are broadcast and probed against all its members where these lie, until
-each document is in the largest component or has been probed itself.
+of equal sets (128 bits of hash) form a class and one row of the smallest id stands
+for it.  Signatures of ``BANDS * BAND_ROWS`` universal hash minima are cut into
+bands; classes that share a band are in one bucket.  A true link is in no bucket
+with probability ``(1 - J ** BAND_ROWS) ** BANDS``, about 1e-6 at J = 0.75.
+
+Only edges are verified, on the full sets, in two rounds whose tasks are bounded
+in bytes.  First, every member of a bucket against the bucket's hub: the members'
+sets stream past that of the hub, a hot hub's in several salted streams.  The links
+found make components.  Then buckets that still hold several components: their
+members outside the bucket's largest component meet all its members, block against
+block; pairs whose estimate is within ``SLACK`` of the threshold, and that no link
+has joined yet, are verified.  Members of one component are not compared, so a
+group of near copies costs its size, not the square of it.  Components come from
+alternating large-star and small-star over the links of each round.
 
 Defined cases: texts without words, or null, have an empty set and are linked
 with nothing; texts of one to four words have one shingle, the whole sequence;
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import U64, coded_words, column, hash_words, mix, odd_numbers, slices, small_batches, starts_of, stored, window_hash
+from tessera.llm._common import U64, coded_words, column, hash_words, keep_named, mix, odd_numbers, partitions, row_keys, slices, small_batches, starts_of, stored, window_hash
 
 SHINGLE = 5
 SHARE = (75, 100)
@@ -39,10 +41,8 @@ BANDS, BAND_ROWS = 36, 4
 MINIMA = BANDS * BAND_ROWS
 #: How far an estimate may lie under the threshold: more than five standard deviations.
 SLACK = 0.2
-#: Documents of a candidate component that one task links, and documents of one probe.
-LOCAL, PROBE = 4000, 1024
-#: Candidates that are broadcast to the texts, at most.
-BROADCAST = 1_000_000
+#: Bytes of sets in one side of a block comparison, and in one stream past a hub.
+BLOCK_BYTES, STREAM_BYTES = 4 << 20, 12 << 20
 _A, _B = odd_numbers(MINIMA, 21), odd_numbers(MINIMA, 22)
 
 
@@ -84,15 +84,16 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         column(part, "doc_id"),
-                        column(part, "key"),
+                        column(part, "_k1"),
+                        column(part, "_k2"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "key", "n_shingles", "set_hash", "signature"],
+                    ["doc_id", "_k1", "_k2", "n_shingles", "set_hash", "signature"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, key long, n_shingles long, set_hash binary, signature binary")
+    return docs.mapInArrow(sign, "doc_id long, _k1 long, _k2 long, n_shingles long, set_hash binary, signature binary")
 
 
 def _bands(signed: DataFrame) -> DataFrame:
@@ -174,16 +175,17 @@ def linked(x: np.ndarray, y: np.ndarray, share: tuple[int, int] = SHARE) -> bool
     return share[1] * both >= share[0] * (len(x) + len(y) - both)
 
 
-def likely(block: np.ndarray, signatures: np.ndarray, sizes: np.ndarray, others: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of ``block``, row of ``signatures``) whose estimate comes near the share."""
+def likely(block: np.ndarray, sizes: np.ndarray, table: np.ndarray, others: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``block``, row of ``table``), low bytes of minima, whose estimate comes near the share."""
     least = int((share[0] / share[1] - SLACK) * MINIMA)
-    step = max(1, (1 << 22) // max(1, len(signatures)))
-    rows, cols = [], []
+    step = max(1, (1 << 21) // max(1, len(table)))
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    columns = np.ascontiguousarray(table.T)
     for k in range(0, len(block), step):
         part = block[k : k + step]
-        same = np.zeros((len(part), len(signatures)), np.uint16)
+        same = np.zeros((len(part), len(table)), np.uint8)
         for j in range(MINIMA):
-            same += part[:, j, None] == signatures[None, :, j]
+            same += part[:, j, None] == columns[j]
         a, b = sizes[k : k + step, None], others[None, :]
         r, c = np.nonzero((same >= least) & (np.minimum(a, b) * share[1] >= share[0] * np.maximum(a, b)))
         rows.append(r + k)
@@ -191,169 +193,146 @@ def likely(block: np.ndarray, signatures: np.ndarray, sizes: np.ndarray, others:
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def link_all(sets: list[np.ndarray]) -> np.ndarray:
-    """Component (its least position) of each set, by confirmed links."""
-    n = len(sets)
-    union = Union(n)
-    if n == 2:
-        if linked(*sets):
-            union.join(0, 1)
-        return union.roots()
-    signatures, sizes = np.stack([signature(s) for s in sets]), np.array([len(s) for s in sets])
-    step = 256
-    for k in range(0, n, step):
-        r, c = likely(signatures[k : k + step], signatures, sizes[k : k + step], sizes)
-        for x, y in zip((r + k).tolist(), c.tolist(), strict=True):
-            if x < y and union.root(x) != union.root(y) and linked(sets[x], sets[y]):
-                union.join(x, y)
-    return union.roots()
+def _described(members: DataFrame) -> DataFrame:
+    """``node, mini, hashes, n_bytes`` of ``node, signature, text``: low bytes of the minima, the set, its size."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = [x.tobytes() for x in shingle_sets(column(part, "text"))]
+                minis = [s[::4] for s in part.column("signature").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array(minis, pa.binary()), pa.array(sets, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], ["node", "mini", "hashes", "n_bytes"]
+                )
 
+    return members.mapInArrow(describe, "node long, mini binary, hashes binary, n_bytes long")
 
-def _local_links(members: DataFrame) -> DataFrame:
-    """``node, root`` inside candidate components, each whole in one task; rows come as ``comp, node, text``."""
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: list[int] = []
-        sets: list[np.ndarray] = []
-        comp = None
-        out: list[tuple[int, int]] = []
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-        def settle() -> None:
-            order = np.argsort(nodes)
-            roots = link_all([sets[k] for k in order])
-            own = np.array(nodes)[order]
-            out.extend(zip(own.tolist(), own[roots].tolist(), strict=True))
 
-        for batch in batches:
-            for part in slices(batch):
-                for c, node, own in zip(part.column("comp").to_pylist(), part.column("node").to_pylist(), shingle_sets(column(part, "text")), strict=True):
-                    if c != comp:
-                        if nodes:
-                            settle()
-                        nodes, sets, comp = [], [], c
-                    nodes.append(node)
-                    sets.append(own)
-            if len(out) > 10_000:
-                yield rows(out)
-                out = []
-        if nodes:
-            settle()
-        if out:
-            yield rows(out)
-
-    def rows(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["node", "root"])
-
-    spark = members.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(n, "comp").sortWithinPartitions("comp", "node").mapInArrow(link, "node long, root long")
-
-
-def _probe_links(members: DataFrame, signed: DataFrame, probe: int = PROBE) -> DataFrame:
-    """``a, b`` confirmed links of candidate components too large for one task.
-
-    Any link of a document outside its candidate component's largest component is
-    found, since each such document is probed against all members."""
-    spark = members.sparkSession
+def _hub_links(stars: DataFrame, sets: DataFrame, n: int, stream: int) -> DataFrame:
+    """``a, b``: the hubs and nodes of ``stars`` that are linked; each stream begins with its hub's set."""
+    spread = lambda c, k: F.pmod(F.xxhash64(c), k).cast("int")
+    theirs = stars.join(sets.select("node", "n_bytes"), "node")
+    streams = theirs.groupBy("hub").agg((F.sum("n_bytes") / stream + 1).cast("int").alias("streams"))
+    members = stars.join(streams, "hub").select("hub", spread(F.col("node"), F.col("streams")).alias("salt"), F.lit(1).alias("place"), "node")
+    heads = streams.select("hub", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("salt"), F.lit(0).alias("place"), F.col("hub").alias("node"))
+    dealt = members.unionByName(heads).join(sets.select("node", "hashes").hint("merge"), "node").repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "place", "node")
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, U64)
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("comp"), part.column("node"), pa.array([s.tobytes() for s in shingle_sets(column(part, "text"))], pa.binary())], ["comp", "node", "hashes"])
-
-    sets = stored(members.mapInArrow(describe, "comp long, node long, hashes binary").join(signed.select("node", "signature"), "node").select("comp", "node", "signature", "hashes"), "sets")
-    probed = sets.select("node").limit(0)
-    links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    roots = sets.select("comp", "node", F.col("node").alias("root"))
-    block = 16
-    while True:
-        sizes = roots.groupBy("comp", "root").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("comp").agg(F.max(F.struct("n", (-F.col("root")).alias("r"))).alias("m")).select("comp", (-F.col("m.r")).alias("main"), F.col("m.n").alias("n"))
-        left = roots.join(main, "comp").where((F.col("root") != F.col("main")) | (F.col("n") == 1)).join(probed, "node", "left_anti")
-        chosen = left.select("node", F.xxhash64("node").alias("o")).orderBy("o", "node").limit(block)
-        found = sets.join(F.broadcast(chosen.select("node")), "node").select("comp", "node", "signature", "hashes").collect()  # `probe` sets at most
-        if not found:
-            break
-        shared = spark.sparkContext.broadcast(
-            ([r[0] for r in found], [r[1] for r in found], np.stack([np.frombuffer(r[2], np.uint32) for r in found]), [np.frombuffer(r[3], U64) for r in found])
-        )
-
-        def probing(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            comps, nodes, block, own = shared.value
-            comps, sizes = np.array(comps), np.array([len(s) for s in own])
-            for batch in batches:
-                for part in slices(batch, "hashes"):
-                    table = np.stack([np.frombuffer(x, np.uint32) for x in part.column("signature").to_pylist()])
-                    theirs = [np.frombuffer(x, U64) for x in part.column("hashes").to_pylist()]
-                    named, root = part.column("node").to_pylist(), part.column("root").to_pylist()
-                    comp = part.column("comp").to_numpy()
-                    r, c = likely(block, table, sizes, np.array([len(s) for s in theirs]))
-                    keep = comps[r] == comp[c]
-                    out, done = [], set()
-                    for x, y in zip(r[keep].tolist(), c[keep].tolist(), strict=True):
-                        # one link to a component is enough
-                        if (x, root[y]) not in done and nodes[x] != named[y] and linked(own[x], theirs[y]):
-                            done.add((x, root[y]))
-                            out.append((nodes[x], named[y]))
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
-
-        new = sets.join(roots.select("node", "root"), "node").mapInArrow(probing, "a long, b long")
-        links = stored(links.unionByName(new), "links")
-        probed = stored(probed.unionByName(spark.createDataFrame([(r[1],) for r in found], "node long")), "probed")
-        label = components(links)
-        roots = stored(sets.select("comp", "node").join(label, "node", "left").select("comp", "node", F.coalesce("root", "node").alias("root")), "roots")
-        block = min(probe, 4 * block)
-    return links
+            out = []
+            for hub, place, node, hashes in zip(*(batch.column(k).to_pylist() for k in ("hub", "place", "node", "hashes")), strict=True):
+                x = np.frombuffer(hashes, U64)
+                if not place:
+                    own = x
+                elif linked(own, x):
+                    out.append((hub, node))
+            yield _pairs(out)
+
+    return dealt.select("hub", "place", "node", "hashes").mapInArrow(compare, "a long, b long")
+
+
+def _block_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, n: int, block: int) -> DataFrame:
+    """``a, b``: roots that a link joins, from the buckets of ``shared`` (``band, node``) that hold several."""
+    named = stored(shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "named")
+    mixed = named.groupBy("band").agg(
+        F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
+    )
+    # a bucket of two was settled with its hub; of buckets with the same members one is enough
+    open_ = mixed.where("m > 2 and low < high").groupBy("m", "x", "y").agg(F.min("band").alias("band")).select("band")
+    rows = named.join(open_, "band").join(sets.select("node", "n_bytes"), "node")
+    by_root = rows.groupBy("band", "root").agg(F.count("*").alias("m"), F.sum("n_bytes").alias("n_bytes"))
+    per = by_root.groupBy("band").agg(F.max(F.struct("m", "root", "n_bytes")).alias("main"), F.sum("n_bytes").alias("n_bytes"))
+    per = per.select(
+        "band",
+        F.col("main.root").alias("main"),
+        (F.col("n_bytes") / block + 1).cast("int").alias("blocks"),
+        ((F.col("n_bytes") - F.col("main.n_bytes")) / block + 1).cast("int").alias("chunks"),
+    )
+    rows = stored(rows.join(per, "band").select("band", "node", "root", (F.col("root") != F.col("main")).alias("outside"), "blocks", "chunks"), "open")
+    spread = lambda salt, k: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    members = rows.select("band", "node", "root", "outside", spread(1, "blocks").alias("block"), each("chunks").alias("chunk"), F.lit(1).alias("place"))
+    probes = rows.where("outside").select("band", "node", "root", "outside", each("blocks").alias("block"), spread(2, "chunks").alias("chunk"), F.lit(0).alias("place"))
+    dealt = probes.unionByName(members).join(sets.select("node", "mini", "hashes").hint("merge"), "node")
+    dealt = dealt.repartition(n, "band", "block", "chunk").sortWithinPartitions("band", "block", "chunk", "place", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])  # probes and members of one unit
+        unit = None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for band, at, chunk, place, *row in zip(*(batch.column(k).to_pylist() for k in ("band", "block", "chunk", "place", "node", "root", "outside", "mini", "hashes")), strict=True):
+                if (band, at, chunk) != unit:
+                    out += settle(*held)
+                    held, unit = ([], []), (band, at, chunk)
+                held[place].append(row)
+            yield _pairs(out)
+        yield _pairs(settle(*held))
+
+    def settle(probes: list, members: list) -> list[tuple[int, int]]:
+        if not probes or not members:
+            return []
+        numbers = {r: k for k, r in enumerate(sorted({x[1] for x in probes} | {x[1] for x in members}))}
+        names, union, out = list(numbers), Union(len(numbers)), []
+        table = lambda rows: np.stack([np.frombuffer(x[3], np.uint8) for x in rows])
+        size = lambda rows: np.array([len(x[4]) for x in rows])
+        for i, j in zip(*(x.tolist() for x in likely(table(probes), size(probes), table(members), size(members))), strict=True):
+            a, b = probes[i], members[j]
+            x, y = numbers[a[1]], numbers[b[1]]
+            if b[2] and b[0] <= a[0] or union.root(x) == union.root(y):
+                continue  # of two probes the pair comes twice
+            if linked(np.frombuffer(a[4], U64), np.frombuffer(b[4], U64)):
+                union.join(x, y)
+                out.append((names[x], names[y]))
+        return out
+
+    return dealt.select("band", "block", "chunk", "place", "node", "root", "outside", "mini", "hashes").mapInArrow(compare, "a long, b long")
 
 
 # ------------------------------------------------------------------ the operator
 
 
-def near_groups(docs: DataFrame, local: int = LOCAL, probe: int = PROBE) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept`` and ``text_key``, a hash of id and text."""
+def near_groups(docs: DataFrame, block: int = BLOCK_BYTES, stream: int = STREAM_BYTES) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept`` and ``_k1, _k2``, which name the row by id and text."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row_keys())
     signed = stored(_signatures(rows), "signatures")
-    # one node per class of equal sets: the key of its row with the least id
+    # one node per class of equal sets: its row with the least id
     classes = stored(
         signed.where("set_hash is not null")
         .groupBy("set_hash")
-        .agg(F.min(F.struct(F.col("doc_id").alias("id"), "key", "signature")).alias("x"))
-        .select("set_hash", F.col("x.id").alias("least"), F.col("x.key").alias("node"), F.col("x.signature").alias("signature")),
+        .agg(F.min(F.struct(F.col("doc_id").alias("id"), "_k1", "_k2", "signature")).alias("x"))
+        .select(F.monotonically_increasing_id().alias("node"), "set_hash", F.col("x.id").alias("least"), "x._k1", "x._k2", F.col("x.signature").alias("signature")),
         "classes",
     )
     bands = _bands(classes)
-    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
-    stars = bands.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    candidate = stored(components(stars).withColumnRenamed("root", "comp"), "candidates")
-    sizes = candidate.groupBy("comp").agg(F.count("*").alias("n"))
-    large = stored(sizes.where(F.col("n") > local).select("comp"), "large")
-    # up to BROADCAST candidates (two numbers each) go to the texts, so that only theirs move; more meet them in a shuffle
-    few = candidate.limit(BROADCAST + 1).count() <= BROADCAST
-    members = (F.broadcast(candidate) if few else candidate.hint("merge")).join(rows.select(F.col("key").alias("node"), "text"), "node").dropDuplicates(["node"]).select("comp", "node", "text")
-    if large.isEmpty():
-        label = _local_links(members)
-    else:
-        label = _local_links(members.join(large, "comp", "left_anti"))
-        label = label.unionByName(components(_probe_links(members.join(large, "comp", "left_semi"), classes, probe)))
-    label = label.where("node <> root")
-    linked_classes = classes.join(label, "node", "left").select("set_hash", "least", F.coalesce("root", "node").alias("root"))
+    buckets = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
+    shared = stored(bands.join(buckets.hint("merge"), "band").select("band", "node", "hub"), "buckets")
+    stars = stored(shared.where("node <> hub").select("hub", "node").distinct(), "stars")
+    members = classes.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "node", "signature")
+    # one plan at every size: all texts meet the members' keys in a shuffle, in which the copies of a row fall together
+    found = rows.select("_k1", "_k2", "text").join(members.hint("merge"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).dropDuplicates(["_k1", "_k2"])
+    sets = stored(_described(found.select("node", "signature", "text")), "sets")
+    n = partitions(spark, sets.agg(F.sum("n_bytes")).first()[0] or 0)
+    roots = stored(components(stored(_hub_links(stars, sets, n, stream), "links")), "roots")
+    joined = components(stored(_block_links(shared.select("band", "node"), roots, sets, n, block), "links"))
+    joined = joined.select(F.col("node").alias("first"), F.col("root").alias("root2"))
+    label = classes.join(roots, "node", "left").withColumn("first", F.coalesce("root", "node")).join(joined, "first", "left")
+    linked_classes = label.select("set_hash", "least", F.coalesce("root2", "first").alias("root"))
     first = linked_classes.groupBy("root").agg(F.min(F.struct("least")).alias("x")).select("root", F.col("x.least").alias("component_id"))
-    named = stored(linked_classes.join(first, "root").select("set_hash", "component_id"), "named")
-    own = signed.select("doc_id", "key", "n_shingles", "set_hash")
+    named = stored(linked_classes.join(first, "root").select("set_hash", "component_id"), "components")
+    own = signed.select("doc_id", "_k1", "_k2", "n_shingles", "set_hash")
     alone = own.where("set_hash is null").withColumn("component_id", F.col("doc_id"))
     grouped = own.where("set_hash is not null").join(named, "set_hash")
-    return (
-        alone.unionByName(grouped)
-        .select("doc_id", "n_shingles", "component_id", F.col("key").alias("text_key"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    return alone.unionByName(grouped).select("doc_id", "n_shingles", "component_id", "_k1", "_k2").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one of each group; of rows equal in id and text, one."""
-    kept = near_groups(docs).where("kept").select(F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(kept, key == kept["_key"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return keep_named(docs, near_groups(docs).where("kept"))

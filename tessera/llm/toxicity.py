@@ -40,8 +40,8 @@ LABELLED, SAMPLE = 500_000, 20_000
 FOLDS, HELD_OUT = 5, 0
 #: Smoothed log-odds from which a word enters tier 0, 1, 2.
 TIERS = (1.5, 2.5, 3.5)
-#: Toxic documents that hold a lexicon word, at least, and its log-likelihood ratio, at least: chance passes one word in 100,000.
-LEAST_DOCS, LEAST_RATIO = 4, 19.5
+#: Toxic documents that hold a lexicon word, at least, and its log-likelihood ratio, at least: chance passes one word in 10,000.
+LEAST_DOCS, LEAST_RATIO = 4, 15.1
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»„“”‚‘’…"
 # Second-person words, and the letters that symbols stand for.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer sie tu toi te vous votre vos ton ta tes tú usted ustedes vosotros tuyo vuestro os".split())

@@ -1,6 +1,7 @@
 """Exact, substring, line and near deduplication against plain versions."""
 
 import hashlib
+import random
 import re
 import time
 from collections import Counter, defaultdict
@@ -8,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import _common, exact_dedup, line_dedup, near_dedup, substring_dedup
@@ -221,10 +224,28 @@ def chain(spark):
     return rows
 
 
-@pytest.mark.parametrize("local", [4000, 3])
-def test_near_chains(spark, chain, local):
+@pytest.mark.parametrize("size", [4 << 20, 1500])
+def test_near_chains(spark, chain, size):
+    """Streams and blocks of a few sets change nothing."""
     df = spark.createDataFrame(chain, "doc_id long, text string")
-    assert collected(near_dedup.near_groups(df, local=local, probe=16), *NEAR) == plain_near(chain)
+    assert collected(near_dedup.near_groups(df, block=size, stream=size), *NEAR) == plain_near(chain)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(0, 10**6))
+def test_near_mixed_groups(spark, seed):
+    """Groups whose members lie around the threshold, so that hubs settle few of them."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(70)]
+        for k in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(6)}"
+            rows.append((rng.randrange(10**6), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(near_dedup.near_groups(df, block=6000, stream=6000), *NEAR) == plain_near(rows)
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
