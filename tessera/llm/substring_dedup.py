@@ -3,18 +3,19 @@
 A window is ``WIDTH`` consecutive words of one text.  A word goes if a window
 covers it whose word sequence also starts in a document with a smaller id.
 
-First pass: each partition sketches its windows in ``DEPTH`` rows of cells that
-count up to two.  Sketches are sparse, cut into ranges of cells, and merged range
-by range; the merged sketch overestimates, so a window whose cells all say two
-may be repeated and every other window is not.  Second pass: only windows so
-estimated are grouped, exactly, by 96 bits of hash.  A chunk of documents sends,
-for each such window, its occurrences in the smallest id of the chunk; larger ids
-are repeats already.  So a window that stands in a third of all documents moves
-once per chunk, not once per document.  Last, the marks meet their documents.
-
-The sketch has ``CELLS_PER_WINDOW`` cells per window in all, up to ``MOST_CELLS``
-a row (one bit each where workers hold it): past that size it lets more windows
-through to the exact step, and loses none.
+First pass: each group of documents sketches its windows in ``DEPTH`` rows of cells
+that count up to two.  Sketches are sparse, cut into ranges of cells, and merged
+range by range; the merged sketch overestimates, so a window whose cells all say
+two may be repeated and every other window is not.  A range answers each group
+with one bit for each cell that the group asked about, so no task, and not the
+driver, ever holds the whole sketch, whose cells grow with the windows:
+``CELLS_PER_WINDOW`` a row, at every size.  Second pass: only windows so estimated
+are grouped, exactly, by 96 bits of hash.  A group sends, for each such window,
+its occurrences in the smallest id of the group; larger ids are repeats already.
+So a window that stands in a third of all documents moves once per group, not once
+per document.  Last, the marks meet their documents.
+
+All three passes read the texts from one shuffle by group.
 
 Defined cases: null text has no words; texts of fewer than ``WIDTH`` words stay;
 rows of one id are one document that does not repeat itself, whatever their
@@ -36,11 +37,9 @@ from tessera.llm._common import U64, coded_words, column, hash_words, longs, mix
 
 WIDTH = 13
 DEPTH = 2
-CELLS_PER_WINDOW, LEAST_CELLS, MOST_CELLS = 2, 1 << 16, 1 << 30
-#: Cells of one range of a sketch row, a merge task's share.
-RANGE = 1 << 21
-#: Windows that a partition sketches, and candidates that it groups, at once.
-SKETCHED, GROUPED = 1 << 21, 1 << 20
+CELLS_PER_WINDOW, LEAST_CELLS = 4, 1 << 16
+#: Cells of one range of a sketch row, and bytes of text behind one bucket of candidates: tasks' shares, by volume and not by number of groups.
+RANGE, BUCKET_BYTES = 1 << 27, 128 << 20
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -55,101 +54,105 @@ def _windows(part, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return one, two, doc, first - starts_of(n)[:-1][doc]
 
 
-def _rows(name: str, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], [name, "packed"])
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def _table(schema: str, batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches([*batches, _batch(schema, [])])
 
 
 def cells_of(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(h + U64(row * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> U64(64 - bits)).astype(np.int64)
 
 
-def _sketches(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Per partition chunk, sketch row and range: the cells that count one, and those that count two."""
+def _asked(h: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of windows, ascending, and whether more than one window stands in each."""
+    cells = np.sort(cells_of(h, row, bits))
+    at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    return cells[at], np.diff(np.append(at, len(cells))) > 1
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for part in slices(batch):
-                held.append(_windows(part, width)[0])
-                size += len(held[-1])
-                if size >= SKETCHED:
-                    yield from emit(np.concatenate(held))
-                    held, size = [], 0
-        if size:
-            yield from emit(np.concatenate(held))
-
-    def emit(h: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+SKETCH = "place long, g long, packed binary"
+
+
+def _sketches(docs: DataFrame, width: int, bits: int, size: int) -> DataFrame:
+    """Per sketch row and range (``place``) and group: the cells asked about, and those that count two."""
+
+    def sketch(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([_windows(part, width)[0] for batch in batches for part in slices(batch)])
+        if not len(h):
+            return
         for row in range(DEPTH):
-            cells = np.sort(cells_of(h, row, bits))
-            new = np.concatenate([[True], cells[1:] != cells[:-1]])
-            at = np.flatnonzero(new)
-            twice = np.diff(np.append(at, len(cells))) > 1
-            cells = cells[at]
-            ranges = cells // RANGE
+            cells, twice = _asked(h, row, bits)
+            ranges = cells // size
             cut = np.flatnonzero(np.diff(ranges)) + 1
-            parts = list(zip(np.split(cells, cut), np.split(twice, cut), strict=True))
-            yield _rows("range", [(row << 32 | int(c[0] // RANGE), pack(np.diff(c % RANGE, prepend=0).astype(np.uint32), np.packbits(t))) for c, t in parts])
+            parts = zip(np.split(cells, cut), np.split(twice, cut), strict=True)
+            yield _batch(SKETCH, [(row << 32 | int(c[0] // size), key[0].as_py(), pack(np.diff(c % size, prepend=0).astype(np.uint32), np.packbits(t))) for c, t in parts])
 
-    return docs.select("text").mapInArrow(sketch, "range long, packed binary")
+    return docs.groupBy("g").applyInArrow(sketch, SKETCH)
 
 
-def _merged(sketches: DataFrame, size: int) -> DataFrame:
-    """Per range: bits of the cells that count two or more."""
+def _replies(sketches: DataFrame, size: int) -> DataFrame:
+    """To each group, for each of its ranges: one bit a cell that it asked about, set if the merged sketch counts two."""
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size, bool), np.zeros(size, bool)
+        counts, asked = np.zeros(size, np.uint8), []
         for batch in batches:
-            for packed in batch.column("packed").to_pylist():
+            for g, packed in zip(batch.column("g").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 steps, more = unpack(packed)
                 cells = np.cumsum(steps, dtype=np.int64)
-                twice[cells] |= once[cells] | np.unpackbits(more, count=len(cells)).astype(bool)
-                once[cells] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([pack(np.packbits(twice))], pa.binary())], ["range", "bits"])
+                counts[cells] = np.minimum(counts[cells] + 1 + np.unpackbits(more, count=len(cells)), 2)
+                asked.append((g, packed))
+        for k in range(0, len(asked), 64):
+            out = []
+            for g, packed in asked[k : k + 64]:
+                cells = np.cumsum(unpack(packed)[0], dtype=np.int64)
+                out.append((key[0].as_py(), g, pack(np.packbits(counts[cells] > 1), np.array([len(cells)]))))
+            yield _batch(SKETCH, out)
 
-    return sketches.groupBy("range").applyInArrow(merge, "range long, bits binary")
+    return sketches.groupBy("place").applyInArrow(merge, SKETCH)
 
 
-def repeated_cells(docs: DataFrame, width: int, n_bytes: int) -> tuple[np.ndarray, int]:
-    """The merged sketch as one bit per cell, DEPTH rows of them: at most DEPTH * MOST_CELLS / 8 bytes."""
-    wanted = n_bytes / 6 * CELLS_PER_WINDOW / DEPTH
-    bits = int(min(max(wanted, LEAST_CELLS), MOST_CELLS) - 1).bit_length()
-    size = min(RANGE, 1 << bits)
-    out = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
-    for name, packed in _merged(_sketches(docs, width, bits), size).toLocalIterator():
-        at = (name & 0xFFFFFFFF) * (size // 8)
-        out[name >> 32, at : at + size // 8] = unpack(packed)[0]
-    return out, bits
+FOUND = "bucket long, packed binary"
 
 
-def _candidates(docs: DataFrame, width: int, cells: np.ndarray, bits: int, buckets: int) -> DataFrame:
-    """Packed occurrences by bucket of their hash (``bucket >= 0``), and marks that a chunk settles itself (``bucket = -1 - g``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(cells)
+def _candidates(docs: DataFrame, replies: DataFrame, width: int, bits: int, buckets: int) -> DataFrame:
+    """Packed occurrences by bucket of their hash (``bucket >= 0``), and marks that a group settles itself (``bucket = -1 - g``)."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+    def find(own: pa.Table, told: pa.Table) -> pa.Table:
+        if not told.num_rows:
+            return _table(FOUND, iter(()))
         held: list[tuple] = []
-        names: list[np.ndarray] = []  # id, row key, group of the held texts
-        size = texts = 0
-        for batch in batches:
-            for part in slices(batch):
-                one, two, doc, first = _windows(part, width)
-                seen = np.ones(len(one), bool)
-                for row in range(DEPTH):
-                    at = cells_of(one[seen], row, bits)
-                    seen[seen] = table[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
-                held.append((one[seen], (two[seen] >> U64(32)).astype(np.uint32), doc[seen] + texts, first[seen]))
-                names.append(np.stack([longs(part, "doc_id", NO_ID), longs(part, "key"), longs(part, "g").astype(np.int64)]))
-                size, texts = size + int(seen.sum()), texts + part.num_rows
-                if size >= GROUPED or texts >= 1 << 17:
-                    yield from emit(held, names)
-                    held, names, size, texts = [], [], 0, 0
-        if size:
-            yield from emit(held, names)
-
-    def emit(held: list, names: list) -> Iterator[pa.RecordBatch]:
+        texts = 0
+        names: list[np.ndarray] = []  # id, row key, group of the texts
+        for part in slices(own):
+            one, two, doc, first = _windows(part, width)
+            held.append((one, (two >> U64(32)).astype(np.uint32), (doc + texts).astype(np.int32), first.astype(np.int32)))
+            names.append(np.stack([longs(part, "doc_id", NO_ID), longs(part, "key"), longs(part, "g").astype(np.int64)]))
+            texts += part.num_rows
         one, two, doc, first = (np.concatenate(x) for x in zip(*held, strict=True))
-        ids, keys, groups = np.concatenate(names, axis=1)
+        del held
+        bit: dict[int, list[np.ndarray]] = {row: [] for row in range(DEPTH)}
+        for place, packed in sorted(zip(told.column("place").to_pylist(), told.column("packed").to_pylist(), strict=True)):
+            packed, size = unpack(packed)
+            bit[place >> 32].append(np.unpackbits(packed, count=int(size[0])))
+        seen = np.arange(len(one))
+        for row in range(DEPTH):
+            repeated = _asked(one, row, bits)[0][np.concatenate(bit[row]) > 0]
+            if not len(repeated):
+                return _table(FOUND, iter(()))
+            cells = cells_of(one[seen], row, bits)
+            at = np.minimum(np.searchsorted(repeated, cells), len(repeated) - 1)
+            seen = seen[repeated[at] == cells]
+        return _table(FOUND, emit(one[seen], two[seen], doc[seen], first[seen], np.concatenate(names, axis=1)))
+
+    def emit(one: np.ndarray, two: np.ndarray, doc: np.ndarray, first: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(one):
+            return
+        ids, keys, groups = names
         place = np.unique(ids, return_inverse=True)[1]  # rank of the id
         order = np.lexsort((place[doc], two, one))
         one, two, doc, first = one[order], two[order], doc[order], first[order]
@@ -164,9 +167,9 @@ def _candidates(docs: DataFrame, width: int, cells: np.ndarray, bits: int, bucke
             if len(a):
                 some, where = np.unique(d, return_inverse=True)
                 rows.append((b, pack(np.diff(a, prepend=a[:1]), a[:1], c, where.astype(np.uint32), f.astype(np.uint32), ids[some], keys[some], groups[some].astype(np.uint32))))
-        yield _rows("bucket", rows)
+        yield _batch(FOUND, rows)
 
-    return docs.mapInArrow(find, "bucket long, packed binary")
+    return docs.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(find, FOUND)
 
 
 def marks(keys: np.ndarray, groups: np.ndarray, doc: np.ndarray, first: np.ndarray, name: str = "bucket") -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,7 @@ def marks(keys: np.ndarray, groups: np.ndarray, doc: np.ndarray, first: np.ndarr
             some, at = np.unique(d, return_index=True)
             g = int(groups[d[0]])
             rows.append((-1 - g if name == "bucket" else g, pack(keys[some], at.astype(np.uint32), np.diff(f, prepend=0).astype(np.int32))))
-    yield _rows(name, rows)
+    yield _batch(f"{name} long, packed binary", rows)
 
 
 def _repeats(candidates: DataFrame) -> DataFrame:
@@ -255,9 +258,11 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = Fals
     spark = docs.sparkSession
     small_batches(spark)
     n_bytes = text_bytes(docs)
-    n = partitions(spark, n_bytes)
+    n, buckets = partitions(spark, n_bytes), partitions(spark, n_bytes, BUCKET_BYTES)
+    bits = (max(int(n_bytes / 6 * CELLS_PER_WINDOW), LEAST_CELLS) - 1).bit_length()  # words have six bytes, about
+    size = min(RANGE, 1 << bits)
     key = F.xxhash64("doc_id", "text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", key.alias("key"), F.pmod(key, F.lit(n)).cast("long").alias("g"))
-    cells, bits = repeated_cells(rows, width, n_bytes)
-    repeats = _repeats(_candidates(rows, width, cells, bits, n))
+    replies = _replies(_sketches(rows, width, bits, size), size)
+    repeats = _repeats(_candidates(rows, replies, width, bits, buckets))
     return _kept(rows, repeats, width, with_text)

@@ -162,13 +162,24 @@ def test_substrings(docs, corpus, nothing, width):
     assert substring_dedup.dedup_substrings(nothing, width).count() == 0
 
 
-def test_substrings_with_a_full_sketch_and_small_chunks(docs, corpus, monkeypatch):
-    """A sketch too small for the corpus lets more through and changes nothing; chunks neither."""
-    monkeypatch.setattr(substring_dedup, "LEAST_CELLS", 1 << 6)
-    monkeypatch.setattr(substring_dedup, "MOST_CELLS", 1 << 6)
+@pytest.mark.parametrize("cells, size", [(1 << 6, 1 << 4), (1 << 12, 1 << 7)])
+def test_substrings_with_a_full_sketch_and_many_ranges(docs, corpus, monkeypatch, cells, size):
+    """A sketch too small for the corpus lets more through and changes nothing; ranges and buckets neither."""
+    monkeypatch.setattr(substring_dedup, "LEAST_CELLS", cells)
+    monkeypatch.setattr(substring_dedup, "CELLS_PER_WINDOW", 0)
+    monkeypatch.setattr(substring_dedup, "RANGE", size)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
     assert collected(substring_dedup.dedup_substrings(docs, 6), *NAMES) == plain_substrings(corpus, 6)
 
 
+def test_sketch_has_room_at_every_size():
+    """Few unrepeated windows pass a row, whatever the number of windows."""
+    for bits in (14, 20):
+        h = np.random.default_rng(1).integers(0, 2**63, (1 << bits) // substring_dedup.CELLS_PER_WINDOW, dtype=np.uint64)
+        cells, twice = substring_dedup._asked(h, 0, bits)
+        assert (len(h) - (~twice).sum()) / len(h) < 0.25
+
+
 # ------------------------------------------------------------------ near
 
 
