@@ -48,15 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later reads survive lost executors.
+def stored(df: DataFrame, name: str = "t", *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, by folders of ``by``, and read it back: later reads survive lost executors.
 
     Folders go at exit, or before by ``dropped``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def dropped(*done: DataFrame) -> None:

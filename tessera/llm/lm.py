@@ -1,19 +1,21 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-Tokens are words, lower-cased in A-Z, then one end per text.  The probability of
-a token is that of its class times that of the token in its class.  The class
-follows from a softmax over hashed features of the history (the class before, a
-bigram and two skip features, and two pairs of them); classes are the ``TOP`` most
-frequent tokens of the training texts and ``SHAPES`` shapes of all other words
-(script, ending, length).  Inside a class, a token has its share of the class's
-training tokens, one added for each known token and one for all unknown ones.
-
-The counts cover all training texts.  They are gathered by packed requests: each
-group of documents sends its distinct words to the words' buckets, whence counts
-return to the group, so no table of all words is ever in one place.  The softmax
-is trained by gradient steps that are summed over partitions of the table of
-(history, class) counts, a sufficient statistic whose size the number of classes
-bounds.  Scoring looks up each distinct history of a batch once.
+Tokens are words, lower-cased in A-Z, then one end per text.  The probability of a
+token is factored: its class after the history, its slot in that class after the
+history, and its share of the slot's training tokens, one added for each known
+token and one for all unknown ones.  Each of the ``OWN`` slots of a class belongs
+to one frequent word; the words of a shape (script, ending, length) share the other
+slots of a class by hash.  Both softmaxes have weights for hashed features of the
+history: the word before and its cell, the word before that, the last two words,
+and the skip pair of the last and the third last.
+
+Counts cover all training texts: each group of documents names its distinct words
+once, the table of words sums them, and the counts return to the groups in a join,
+as rows; no table of all words is ever in one place.  The weights are trained on
+all training texts in ``STEPS`` minibatches, a hash of the id deciding which;
+each task sums the gradient of its tokens in sparse batches, the sums are added
+by blocks of weights, and the driver moves the weights.  What reaches it or is
+broadcast has the fixed size of the weight tables and of the ``TOP`` list.
 
 Defined cases: null text counts as empty (one end token); null ids train, and are
 scored, as any other; repeated rows each count; words are told apart by a 64-bit
@@ -34,17 +36,20 @@ from pyspark.sql import functions as F
 from tessera.llm._common import U64, coded_words, column, hash_words, mix, pack, partitions, slices, small_batches, starts_of, stored, text_bytes, unpack
 
 FOLDS, HELD_OUT = 7, 2
-TOP, SHAPES = 18, 30
-CLASSES = TOP + SHAPES
-START = CLASSES  # before the first token
-#: Rows of the hashed weight table, and features of a history.
-ROWS, FEATURES = 1 << 13, 6
-STEPS = 10
-#: Tasks of a gradient step, at most.
-PARTS = 16
-#: Tokens held at once while scoring.
-BATCH = 1 << 19
+CLASSES = SLOTS = 32
+#: Slots of a class that are one word's own; the others are shared by hash.
+OWN = 20
+TOP, CELLS = CLASSES * OWN, CLASSES * SLOTS
+SHAPES = 30
+#: Rows of a hashed weight table, and features of a history with the bias.
+ROWS, FEATURES = 1 << 14, 6
+STEPS = 6
+#: Tokens of a batch, of a training task at least, and rows of a block of weights.
+BATCH, TASK, BLOCK = 1 << 12, 8 << 20, 1 << 10
+#: What holds back the weights of rare features.
+RIDGE, DAMPING = 0.3, 1.0
 END = int.from_bytes(xxhash.xxh3_128_digest(b" end")[:8], "big")  # no word has a space
+START = int.from_bytes(xxhash.xxh3_128_digest(b" start")[:8], "big")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -67,317 +72,292 @@ def shape(word: str) -> int:
 # ------------------------------------------------------------------ counts
 
 
-def _requests(docs: DataFrame, buckets: int) -> DataFrame:
-    """Of each group ``g``, for each bucket: its distinct tokens, how often they train, their shapes; packed."""
+def _hashed(part) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of some texts: word number of each token, tokens of each text, hashes of the words; the end is the last word."""
+    codes, words, n = coded_words(column(part, "text"), lower=True)
+    h = np.append(hash_words(words)[0], U64(END)) if len(words) else np.array([END], U64)
+    size = n + 1
+    ends = np.cumsum(size) - 1
+    token = np.full(int(size.sum()), len(words), np.int64)
+    token[np.delete(np.arange(len(token)), ends)] = codes
+    return token, size, h, words
+
+
+def _shapes(words: pa.Array) -> np.ndarray:
+    return np.array([*map(shape, words.to_pylist()), SHAPES], np.int64)
+
+
+def _requests(docs: DataFrame) -> DataFrame:
+    """``g, h, n, shape``: of each group its distinct tokens and how often they train."""
 
     def distinct(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, shapes = [], [], []
         for batch in batches:
             for part in slices(batch):
-                codes, words, n = coded_words(column(part, "text"), lower=True)
-                trains = ~column(part, "held_out").to_numpy(zero_copy_only=False)
-                h, _ = hash_words(words) if len(words) else (np.zeros(0, U64), None)
-                hashes += [h, np.array([END], U64)]
-                counts += [np.bincount(codes, np.repeat(trains, n), len(words)).astype(np.int64), np.array([trains.sum()])]
-                shapes += [np.array([shape(w) for w in words.to_pylist()], np.uint8), np.array([SHAPES], np.uint8)]
-        h, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        n = np.bincount(where, np.concatenate(counts), len(h)).astype(np.uint32)
-        s = np.zeros(len(h), np.uint8)
-        s[where] = np.concatenate(shapes)
-        cut = np.searchsorted(h, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(U64))
-        parts = zip(np.split(h, cut), np.split(n, cut), np.split(s, cut), strict=True)
-        rows = [(b, pack(np.diff(x, prepend=x[:1]), x[:1], y, z)) for b, (x, y, z) in enumerate(parts) if len(x)]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["b", "g", "packed"])
-
-    return docs.groupBy("g").applyInArrow(distinct, "b int, g int, packed binary")
-
-
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    steps, first, n, shapes = unpack(packed)
-    h = np.cumsum(steps, dtype=U64) + first[0]
-    return h, n, shapes
-
-
-def _replies(requests: DataFrame) -> DataFrame:
-    """Per bucket: to each group the counts of its tokens (``g >= 0``), and one row ``g = -1`` of the bucket's sums."""
-
-    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: list[tuple[int, np.ndarray]] = []
-        h = np.zeros(0, U64)
-        n, s = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        more: list[tuple] = []
-
-        def fold_in() -> None:
-            nonlocal h, n, s
-            every = np.concatenate([h, *(x[0] for x in more)])
-            at, where = np.unique(every, return_inverse=True)
-            total = np.bincount(where, np.concatenate([n, *(x[1].astype(np.int64) for x in more)]), len(at))
-            kinds = np.zeros(len(at), np.uint8)
-            kinds[where] = np.concatenate([s, *(x[2] for x in more)])
-            h, n, s = at, total.astype(np.int64), kinds
-            more.clear()
+                token, size, h, words = _hashed(part)
+                trains = np.repeat(~column(part, "held_out").to_numpy(zero_copy_only=False), size)
+                hashes.append(h)
+                counts.append(np.bincount(token, trains, len(h)))
+                shapes.append(_shapes(words))
+        h, first, where = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        n = np.bincount(where, np.concatenate(counts), len(h)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(h), key[0].as_py(), np.int32)), pa.array(h.view(np.int64)), pa.array(n), pa.array(np.concatenate(shapes)[first].astype(np.int32))], ["g", "h", "n", "shape"]
+        )
 
-        for batch in batches:
-            for g, packed in zip(batch.column("g").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                more.append(_unpacked(packed))
-                asked.append((g, packed))
-                if len(more) >= 64:
-                    fold_in()
-        fold_in()
-        known = n > 0
-        order = np.lexsort((h, -n))[:TOP]
-        order = order[known[order]]
-        sums = pack(h[order], n[order], s[order], np.bincount(s, n, SHAPES + 1).astype(np.int64), np.bincount(s[known], minlength=SHAPES + 1))
-        b = key[0].as_py()
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([-1], pa.int32()), pa.array([sums], pa.binary())], ["b", "g", "packed"])
-        for k in range(0, len(asked), 32):
-            out = []
-            for g, packed in asked[k : k + 32]:
-                own, _, kinds = _unpacked(packed)
-                out.append((g, pack(np.diff(own, prepend=own[:1]), own[:1], n[np.searchsorted(h, own)].astype(np.uint32), kinds)))
-            yield pa.RecordBatch.from_arrays([pa.array([b] * len(out), pa.int32()), pa.array([g for g, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["b", "g", "packed"])
-
-    return requests.groupBy("b").applyInArrow(merged, "b int, g int, packed binary")
+    return docs.groupBy("g").applyInArrow(distinct, "g int, h long, n long, shape int")
 
 
 @dataclass
-class Counts:
-    """Sums over all training tokens: bounded by the number of classes."""
-
-    tokens: int
-    distinct: int
-    top: np.ndarray  # hashes of the TOP tokens, ascending
-    top_class: np.ndarray
-    class_tokens: np.ndarray
-    class_distinct: np.ndarray
-
-
-def _sums(replies: DataFrame) -> Counts:
-    """TOP tokens and class sums; merged in the driver from one small row per bucket, a few at a time."""
-    best: list[tuple[int, int, int]] = []
-    tokens, distinct = np.zeros(SHAPES + 1, np.int64), np.zeros(SHAPES + 1, np.int64)
-    for row in replies.where("g = -1").select("packed").toLocalIterator():
-        h, n, s, t, v = unpack(row[0])
-        tokens, distinct = tokens + t, distinct + v
-        best = sorted([*best, *((-int(c), int(x), int(k)) for x, c, k in zip(h, n, s, strict=True))])[:TOP]
-    end = SHAPES  # the end token's own shape; it is a class of its own only if among the TOP
-    class_tokens = np.concatenate([np.zeros(TOP, np.int64), tokens[:SHAPES]])
-    class_distinct = np.concatenate([np.zeros(TOP, np.int64), distinct[:SHAPES]])
-    class_tokens[TOP] += tokens[end]
-    class_distinct[TOP] += distinct[end]
-    for k, (c, _, s) in enumerate(best):
-        class_tokens[k], class_distinct[k] = -c, 1
-        home = TOP + (0 if s == end else s)
-        class_tokens[home] += c
-        class_distinct[home] -= 1
-    order = np.argsort(np.array([x for _, x, _ in best], U64)) if best else np.zeros(0, np.int64)
-    top = np.array([x for _, x, _ in best], U64)[order] if best else np.zeros(0, U64)
-    return Counts(int(tokens.sum()), int(distinct.sum()), top, order.astype(np.int64), class_tokens, class_distinct)
-
-
-# ------------------------------------------------------------------ encoding
-
-
-def _encoded(docs: DataFrame, replies: DataFrame, counts: Counts) -> DataFrame:
-    """Per document: token numbers, base score, the score inside classes, and its tokens' classes as bytes."""
-    base_of = lambda c: np.log10((c + 1.0) / (counts.tokens + counts.distinct + 1.0))
-
-    def encode(own: pa.Table, counted: pa.Table) -> pa.Table:
-        parts = [unpack(p) for p in counted.column("packed").to_pylist()]
-        h = np.concatenate([np.cumsum(p[0], dtype=U64) + p[1][0] for p in parts])
-        n = np.concatenate([p[2] for p in parts]).astype(np.float64)
-        s = np.concatenate([p[3] for p in parts]).astype(np.int64)
-        del parts
-        order = np.argsort(h)
-        h, n, s = h[order], n[order], s[order]
-        kind = TOP + np.where(s == SHAPES, 0, s)
-        if len(counts.top):
-            at = np.minimum(np.searchsorted(counts.top, h), len(counts.top) - 1)
-            found = counts.top[at] == h
-            kind[found] = counts.top_class[at[found]]
-        base = base_of(n)
-        inside = np.log10((n + 1) / (counts.class_tokens + counts.class_distinct + 1.0)[kind])
-        end = int(np.searchsorted(h, U64(END)))
-        out = []
-        for part in slices(own):
-            codes, words, n_words = coded_words(column(part, "text"), lower=True)
-            where = np.searchsorted(h, hash_words(words)[0]) if len(words) else np.zeros(0, np.int64)
-            size = n_words + 1
-            ends = np.cumsum(size) - 1
-            token = np.full(int(size.sum()), end, np.int64)
-            token[np.delete(np.arange(len(token)), ends)] = where[codes] if len(codes) else codes
-            begin = ends + 1 - size
-            classes = kind[token].astype(np.uint8)
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": column(part, "doc_id"),
-                        "held_out": column(part, "held_out"),
-                        "n_tokens": size.astype(np.int64),
-                        "n_known": np.add.reduceat((n[token] > 0).astype(np.int64), begin),
-                        "base_score": np.add.reduceat(base[token], begin),
-                        "inside": np.add.reduceat(inside[token], begin),
-                        "classes": pa.array([classes[a : b + 1].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()),
-                    }
-                )
-            )
-        return pa.concat_tables(out)
+class Model:
+    """Sums over all training tokens, and weights; of fixed size."""
+
+    top: np.ndarray  # hashes of the TOP tokens, ascending, and their cells
+    top_cell: np.ndarray
+    cell_tokens: np.ndarray | None = None
+    cell_distinct: np.ndarray | None = None
+    weights: tuple[np.ndarray, np.ndarray] | None = None  # of classes, and of slots
+
+    @property
+    def tokens(self) -> int:
+        return int(self.cell_tokens.sum())
+
+    def cells(self, h: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        out = np.minimum(shapes, CLASSES - 1) * SLOTS + OWN + (h % U64(SLOTS - OWN)).astype(np.int64)
+        if len(self.top):
+            at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
+            found = self.top[at] == h
+            out[found] = self.top_cell[at[found]]
+        return out
+
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((n + 1.0) / (self.tokens + int(self.cell_distinct.sum()) + 1.0))
+
+    def inside(self, n: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Logarithm of a token's share of its cell."""
+        return np.log10((n + 1.0) / (self.cell_tokens + self.cell_distinct + 1.0)[cells])
+
+    def priors(self) -> tuple[np.ndarray, np.ndarray]:
+        share = (self.cell_tokens + self.cell_distinct + 1.0).reshape(CLASSES, SLOTS)
+        return share.sum(axis=1) / share.sum(), share / share.sum(axis=1, keepdims=True)
+
+
+def _summed(vocabulary: DataFrame) -> Model:
+    """The model without weights: its TOP list and the sums of its cells, CELLS rows."""
+    rows = vocabulary.where("n > 0").orderBy(F.col("n").desc(), "h").limit(TOP).collect()
+    top = np.array([r["h"] for r in rows], np.int64).view(U64)
+    order = np.argsort(top)
+    model = Model(top[order], (order // OWN * SLOTS + order % OWN).astype(np.int64))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, CELLS), np.int64)
+        for b in batches:
+            n = b.column("n").to_numpy()
+            cell = model.cells(b.column("h").to_numpy().view(U64), b.column("shape").to_numpy().astype(np.int64))
+            sums[0] += np.bincount(cell, n, CELLS).astype(np.int64)
+            sums[1] += np.bincount(cell[n > 0], minlength=CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS)), pa.array(sums[0]), pa.array(sums[1])], ["cell", "tokens", "known"])
+
+    model.cell_tokens, model.cell_distinct = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
+    for cell, tokens, known in vocabulary.mapInArrow(cells, "cell long, tokens long, known long").groupBy("cell").agg(F.sum("tokens"), F.sum("known")).collect():
+        model.cell_tokens[cell], model.cell_distinct[cell] = tokens, known
+    return model
+
+
+# ------------------------------------------------------------------ the softmaxes
+
+
+def feature_rows(words: np.ndarray, cells: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the class table and of the slot table for each token of texts of so many tokens.
+
+    ``words`` are hashes, ``cells`` the tokens' own cells; rows of the slot table hang on the token's class too."""
+    place = np.arange(len(words)) - np.repeat(starts_of(size)[:-1], size)
+
+    def back(x: np.ndarray, k: int, start) -> np.ndarray:
+        out = np.full(len(x), start, x.dtype)
+        out[k:] = x[:-k] if len(x) > k else out[k:]
+        out[place < k] = start
+        return out
+
+    one, two, three = (back(words, k, U64(START)) for k in (1, 2, 3))
+    before = back(cells, 1, CELLS).astype(U64)
+    odd = U64(0x9E3779B97F4A7C15)
+    keys = [mix(x + U64(k * int(odd) % 2**64)) for k, x in enumerate((before, one, two, one * odd + two, one * odd + three), 1)]
+    within = lambda h, n: ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
+    own = cells // SLOTS
+    scaled = (own.astype(U64) + U64(1)) * U64(0xD6E8FEB86659FD93)
+    classes = np.stack([np.zeros(len(words), np.int32), *(1 + within(h, ROWS - 1) for h in keys)])
+    slots = np.stack([own.astype(np.int32), *(CLASSES + within((h ^ scaled) * odd, ROWS - CLASSES) for h in keys)])
+    return classes, slots
+
+
+def log_shares(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Natural logarithms of all probabilities, for each column of feature rows."""
+    x = weights[rows[0]]
+    for r in rows[1:]:
+        x += weights[r]
+    x -= x.max(axis=1, keepdims=True)
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, classes binary"
-    return docs.groupBy("g").cogroup(replies.where("g >= 0").groupBy("g")).applyInArrow(encode, schema)
 
+def token_logs(words: np.ndarray, cells: np.ndarray, size: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Natural logarithm of the probability of each token's cell."""
+    out = np.zeros(len(words))
+    for rows, table, label in zip(feature_rows(words, cells, size), weights, (cells // SLOTS, cells % SLOTS), strict=True):
+        for k in range(0, len(out), BATCH):
+            shares = log_shares(rows[:, k : k + BATCH], table)
+            out[k : k + BATCH] += shares[np.arange(len(shares)), label[k : k + BATCH]]
+    return out
 
-# ------------------------------------------------------------------ the softmax
 
+def _batches(docs: DataFrame, model: Model) -> DataFrame:
+    """``step, packed``: the training tokens of each minibatch, as hashes, cells and text sizes."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-def histories(classes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Number of the three classes before each token of texts of so many tokens."""
-    place = np.arange(len(classes)) - np.repeat(starts_of(size)[:-1], size)
-    out = np.zeros(len(classes), np.int64)
-    for back in (3, 2, 1):
-        before = np.full(len(classes), START, np.int64)
-        before[back:] = classes[:-back] if len(classes) > back else before[back:]
-        before[place < back] = START
-        out = out * (CLASSES + 1) + before
-    return out
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                token, size, h, words = _hashed(part)
+                cell = model.cells(h, _shapes(words)).astype(np.uint16)[token]
+                word, steps = (h >> U64(32)).astype(np.uint32)[token], column(part, "step").to_numpy()
+                out = []
+                for step in np.unique(steps).tolist():
+                    own = steps == step
+                    some = np.repeat(own, size)
+                    out.append((step, pack(word[some], cell[some], size[own].astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["step", "packed"])
+
+    step = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(STEPS)).cast("int").alias("step")
+    return docs.where(~F.col("held_out")).select("text", step).mapInArrow(encode, "step int, packed binary")
+
+
+def gradient(words: np.ndarray, cells: np.ndarray, size: np.ndarray, weights: tuple[np.ndarray, np.ndarray], sums: list[list[np.ndarray]]) -> None:
+    """Adds to ``sums``, for both tables, how often each outcome was seen (a row per feature row) and expected (a column per feature row)."""
+    for rows, table, label, (seen, expected) in zip(feature_rows(words, cells, size), weights, (cells // SLOTS, cells % SLOTS), sums, strict=True):
+        width = table.shape[1]
+        for r in rows:
+            seen += np.bincount(r * np.int64(width) + label, minlength=ROWS * width).reshape(ROWS, width)
+        wide = 16 * BATCH
+        for k in range(0, len(words), wide):
+            some = rows[:, k : k + wide].astype(np.intp)
+            p = np.concatenate([np.exp(log_shares(some[:, j : j + BATCH], table)) for j in range(0, some.shape[1], BATCH)])
+            for outcome, own in enumerate(np.ascontiguousarray(p.T)):
+                for r in some:
+                    expected[outcome] += np.bincount(r, own, ROWS)
+
+
+def moved(table: np.ndarray, seen: np.ndarray, expected: np.ndarray, free: int) -> np.ndarray:
+    """The weights after one step, each scaled by its curvature; rows before ``free`` are biases, which nothing draws to 0."""
+    total = np.maximum(seen.sum(axis=1, keepdims=True), 1.0)
+    drawn = np.full((ROWS, 1), RIDGE)
+    drawn[:free] = 0
+    # FEATURES weights move together, hence the division
+    move = (seen - expected - drawn * table) / (FEATURES * (expected * (1 - np.minimum(expected / total, 0.999)) + DAMPING))
+    return (table + np.clip(move, -1.5, 1.5)).astype(np.float32)
+
+
+def train(batches: DataFrame, model: Model, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of both softmaxes after one step for each minibatch; they begin at the shares of the cells."""
+    spark = batches.sparkSession
+    classes, slots = model.priors()
+    weights = (np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SLOTS), np.float32))
+    weights[0][0], weights[1][:CLASSES] = np.log(classes), np.log(slots)
+    parts = max(spark.sparkContext.defaultParallelism, model.tokens // (steps * TASK))
+    for step in range(steps):
+        shared = spark.sparkContext.broadcast(weights)
 
+        def partial(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums = [[np.zeros((ROWS, w), np.int64), np.zeros((w, ROWS))] for w in (CLASSES, SLOTS)]
+            some = False
+            for b in rows:
+                for packed in b.column("packed").to_pylist():
+                    word, cell, size = unpack(packed)
+                    gradient(word.astype(U64), cell.astype(np.int64), size.astype(np.int64), shared.value, sums)
+                    some = True
+            if some:
+                blocks = [(t * ROWS + k, pack(seen[k : k + BLOCK].astype(np.uint32).reshape(-1), expected[:, k : k + BLOCK].T.astype(np.float32).reshape(-1))) for t, (seen, expected) in enumerate(sums) for k in range(0, ROWS, BLOCK)]
+                yield _blocks(blocks)
+
+        def added(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen, expected = 0, 0
+            for b in rows:
+                for packed in b.column("packed").to_pylist():
+                    x, y = unpack(packed)
+                    seen, expected = seen + x.astype(np.int64), expected + y.astype(np.float64)
+            yield _blocks([(key[0].as_py(), pack(seen, expected))])
+
+        sums = batches.where(F.col("step") == step).select("packed").coalesce(parts).mapInArrow(partial, "block long, packed binary").groupBy("block").applyInArrow(added, "block long, packed binary")
+        seen, expected = np.zeros((2 * ROWS, SLOTS), np.int64), np.zeros((2 * ROWS, SLOTS))
+        for block, packed in sums.collect():  # the size of the weight tables
+            x, y = unpack(packed)
+            seen[block : block + BLOCK], expected[block : block + BLOCK] = x.reshape(-1, SLOTS), y.reshape(-1, SLOTS)
+        weights = tuple(moved(w, seen[k * ROWS : (k + 1) * ROWS], expected[k * ROWS : (k + 1) * ROWS], free) for k, (w, free) in enumerate(zip(weights, (1, CLASSES), strict=True)))
+        shared.destroy()
+    return weights
 
-def feature_rows(history: np.ndarray) -> np.ndarray:
-    """Rows of the weight table: bias, one before, skips of one and two, and two pairs; hashed but for the bias."""
-    c = CLASSES + 1
-    one, two, three = history % c, history // c % c, history // (c * c)
-    parts = [one, two, three, one * c + two, one * c + three]
-    rows = [np.zeros(len(history), np.int64)]
-    rows += [1 + (mix((x + (k << 32)).astype(U64)) % U64(ROWS - 1)).astype(np.int64) for k, x in enumerate(parts, 1)]
-    return np.stack(rows, axis=1)
 
+def _blocks(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["block", "packed"])
 
-def log_shares(history: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Natural logarithms of all class probabilities after each history."""
-    x = weights[feature_rows(history)].sum(axis=1)
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
+# ------------------------------------------------------------------ scoring
 
-def _statistics(encoded: DataFrame) -> DataFrame:
-    """Counts of (history, class) over the training texts: ``key, n``, at most (CLASSES + 1)^3 * CLASSES rows."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
-        size = 0
+def _scored(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        def fold_in() -> None:
-            nonlocal keys, n, size
-            new, more = np.unique(np.concatenate(held), return_counts=True)
-            at, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            keys, n, size = at, np.bincount(where, np.concatenate([n, more]), len(at)).astype(np.int64), 0
-            held.clear()
+    def score(own: pa.Table, counted: pa.Table) -> pa.Table:
+        model, out = shared.value, []
+        h = column(counted, "h").to_numpy().view(U64)
+        order = np.argsort(h)
+        h, n, shapes = h[order], column(counted, "n").to_numpy()[order], column(counted, "shape").to_numpy()[order].astype(np.int64)
+        cells = model.cells(h, shapes)
+        base, inside, known = model.base(n), model.inside(n, cells), (n > 0).astype(np.int64)
+        for part in slices(own):
+            token, size, words, _ = _hashed(part)
+            at = np.searchsorted(h, words)[token]
+            # the same 32 bits of a word that training saw
+            logs = token_logs((words >> U64(32))[token], cells[at], size, model.weights) / np.log(10)
+            begin = starts_of(size)[:-1]
+            total = lambda x: np.add.reduceat(x, begin)  # noqa: E731, B023
+            out.append(
+                pa.table(
+                    {
+                        "doc_id": column(part, "doc_id"),
+                        "held_out": column(part, "held_out"),
+                        "n_tokens": size.astype(np.int64),
+                        "n_known": total(known[at]),
+                        "train_tokens": np.full(len(size), model.tokens),
+                        "base_score": total(base[at]),
+                        "score": total(inside[at] + logs),
+                    }
+                )
+            )
+        return pa.concat_tables(out)
 
-        for b in batches:
-            c = column(b, "classes")
-            length = np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1])
-            data = np.concatenate([np.frombuffer(x, np.uint8) for x in c.to_pylist()]).astype(np.int64) if len(c) else np.zeros(0, np.int64)
-            held.append(histories(data, length) * CLASSES + data)
-            size += len(data)
-            if size > 4 * BATCH:
-                fold_in()
-        if held:
-            fold_in()
-        for k in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 200_000]), pa.array(n[k : k + 200_000])], ["key", "n"])
-
-    return encoded.where(~F.col("held_out")).select("classes").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def train(statistics: DataFrame, prior: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Weights of the softmax by ``steps`` gradient steps, each scaled by its diagonal curvature.
-
-    The bias starts at ``prior``, the shares of the classes; other weights are drawn to 0.
-    Gradients add up over any split of the table; each of at most ``PARTS`` tasks
-    sends one table of ROWS * CLASSES."""
-    spark = statistics.sparkSession
-    parts = max(1, min(PARTS, spark.sparkContext.defaultParallelism))
-    table = stored(statistics, "histories").coalesce(parts)
-    total = table.agg(F.sum("n")).first()[0] or 0
-    weights, drawn = np.zeros((ROWS, CLASSES), np.float32), np.ones((ROWS, 1), np.float32)
-    weights[0], drawn[0] = np.log(prior), 0
-    if not total:
-        return weights
-    for _ in range(steps):
-        shared = spark.sparkContext.broadcast(weights)
+    return docs.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(score, schema)
 
-        def gradient(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, n = [], []
-            for b in batches:
-                keys.append(b.column("key").to_numpy())
-                n.append(b.column("n").to_numpy())
-            if not keys:
-                return
-            keys, n = np.concatenate(keys), np.concatenate(n).astype(np.float64)
-            history, where = np.unique(keys // CLASSES, return_inverse=True)
-            up, curve = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
-            order = np.argsort(where, kind="stable")
-            where, keys, n = where[order], keys[order], n[order]
-            for k in range(0, len(history), 8192):
-                some = history[k : k + 8192]
-                a, z = np.searchsorted(where, [k, k + len(some)])
-                seen = np.zeros((len(some), CLASSES))
-                seen[where[a:z] - k, keys[a:z] % CLASSES] = n[a:z]
-                mass = seen.sum(axis=1, keepdims=True)
-                p = np.exp(log_shares(some, shared.value))
-                push, bend = seen - mass * p, mass * p * (1 - p)
-                rows = feature_rows(some)
-                for f in range(FEATURES):
-                    by = np.argsort(rows[:, f], kind="stable")
-                    at, first = np.unique(rows[by, f], return_index=True)
-                    up[at] += np.add.reduceat(push[by], first)
-                    curve[at] += np.add.reduceat(bend[by], first)
-            yield pa.RecordBatch.from_arrays([pa.array([up.astype(np.float32).tobytes()], pa.binary()), pa.array([curve.astype(np.float32).tobytes()], pa.binary())], ["up", "curve"])
-
-        up, curve = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
-        for row in table.select("key", "n").mapInArrow(gradient, "up binary, curve binary").collect():  # `parts` rows at most
-            up += np.frombuffer(row[0], np.float32).reshape(ROWS, CLASSES)
-            curve += np.frombuffer(row[1], np.float32).reshape(ROWS, CLASSES)
-        shared.destroy()
-        # FEATURES weights move together, hence the division; the ridge keeps rare features small
-        move = (up - 0.5 * drawn * weights) / (FEATURES * (curve + 4.0))
-        weights = (weights + np.clip(move, -1.5, 1.5)).astype(np.float32)
-    return weights
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    n = partitions(docs.sparkSession, text_bytes(docs))
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"), group)
 
-def _scored(encoded: DataFrame, weights: np.ndarray, counts: Counts) -> DataFrame:
-    shared = encoded.sparkSession.sparkContext.broadcast(weights)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "classes", BATCH):
-                texts = [np.frombuffer(x, np.uint8) for x in b.column("classes").to_pylist()]
-                size = np.array([len(x) for x in texts])
-                data = np.concatenate(texts).astype(np.int64)
-                known, where = np.unique(histories(data, size), return_inverse=True)
-                shares = np.concatenate([log_shares(known[k : k + 8192], shared.value)[:, :] for k in range(0, len(known), 8192)]).astype(np.float32)
-                each = shares[where, data].astype(np.float64)
-                total = np.add.reduceat(each, starts_of(size)[:-1]) / np.log(10)
-                kept = [b.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_known")]
-                score = b.column("inside").to_numpy() + total
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(np.full(len(size), counts.tokens)), b.column("base_score"), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-                )
 
-    return encoded.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the training rows of ``_grouped`` documents, and the counts that each group needs (``g, h, n, shape``)."""
+    requests = stored(_requests(rows), "requests")
+    vocabulary = stored(requests.groupBy("h").agg(F.sum("n").alias("n"), F.max("shape").alias("shape")), "vocabulary")
+    model = _summed(vocabulary)
+    model.weights = train(stored(_batches(rows, model), "tokens", "step"), model)
+    return model, requests.select("g", "h").join(vocabulary.hint("merge"), "h").select("g", "h", "n", "shape")
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    n = partitions(spark, text_bytes(docs))
-    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"), group)
-    replies = stored(_replies(_requests(rows, n)), "counts")
-    counts = _sums(replies)
-    encoded = stored(_encoded(rows, replies, counts), "encoded")
-    share = counts.class_tokens + counts.class_distinct + 1.0
-    weights = train(_statistics(encoded), share / share.sum())
-    return _scored(encoded, weights, counts)
+    small_batches(docs.sparkSession)
+    rows = _grouped(docs)
+    model, counts = fit(rows)
+    return _scored(rows, counts, model)
