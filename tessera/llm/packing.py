@@ -2,16 +2,19 @@
 
 Documents are dealt into shards of about ``SHARD_BYTES`` of text.  A shard is one
 task: it tokenizes its documents, builds a BM25 inverted index over their words,
-and packs.  A seed document opens a sequence; the index returns its best unused
-neighbours, which fill the window greedily: a neighbour that fits goes in whole;
+and packs.  A seed document opens a sequence; the index scores all its words
+against every unused document of the shard and returns the best, which fill the
+window greedily: a neighbour that fits goes in whole;
 when none fits, the best one is cut and its rest opens the next sequence, and
 without a neighbour the next unused document comes.  So every sequence but the
 last of a shard is full, and the last is cut into powers of two, which need no
 padding, as long as that leaves pieces of ``LEAST`` tokens or more.
 
 Tokens: a public tokenizer's ids without special tokens, then one end id.  Words
-are tokenized apart and remembered, which is exact for this tokenizer, as it never
-joins across white space; texts with one of its special strings are encoded whole.
+are tokenized apart and remembered where the tokenizer drops the case of ASCII and
+never joins across white space or before ``ENDS``, which ``Ids`` probes when it
+loads a file; with any other file, and in texts with one of its special strings,
+texts are encoded whole.
 
 Defined cases: null text counts as empty and is one end id; rows equal in id and
 text are each packed; a null id is packed as any other; other columns are not
@@ -36,9 +39,15 @@ from tessera.llm._common import column, partitions, slices, small_batches, split
 
 WINDOW, END = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
-SHARD_BYTES = 16 << 20
-#: Words of a seed that query the index, rarest first, and neighbours looked at.
-QUERY_WORDS, NEIGHBOURS = 12, 16
+SHARD_BYTES = 8 << 20
+#: Unused neighbours looked at before the index is asked again.
+NEIGHBOURS = 16
+#: A word in one of so many documents of a shard, or in more, has a weight for every document instead of postings.
+FREQUENT = 8
+#: Words whose ids a worker remembers.
+REMEMBERED = 400_000
+#: Marks that, behind a letter or digit, are a piece of their own for a tokenizer that ``Ids`` takes apart.
+ENDS = (".", ",")
 K1, B = 1.2, 0.75
 LEAST = 32
 
@@ -56,26 +65,46 @@ class Ids:
         # a special token that strips nothing beside it may stand between words
         self.between = next((t.content for t in special.values() if not (t.lstrip or t.rstrip or t.single_word)), None)
 
+        self.known: dict[str, bytes] = {}
+        self.apart = self._apart()
+
+    def _apart(self) -> bool:
+        """Whether words, and ends behind letters, may be tokenized apart and in lower case: probed on words of several kinds."""
+        of = lambda t: self.whole(t).tolist()
+        probes = ["a", "Word", "THE", "x1", "42", "Straße", "école", "Ñandú", "naïve-ly", "don't", "日本", "tokenization", "Zzyzx"]
+        joins = all(of(f"{a}{gap}{b}") == of(a) + of(b) for a, b in zip(probes, probes[1:], strict=False) for gap in (" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c"))
+        ends = all(of(w + e) == of(w) + of(e) for w in probes for e in ENDS)
+        return joins and ends and all(of(w) == of(w.lower()) for w in probes if w.isascii())
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and where each word's begin (and the last one's end)."""
-        parts, sizes = [], []
-        for k in range(0, len(words), 1024):
-            some = words[k : k + 1024]
-            joined = self.between.join(some) if self.between else ""
-            if self.between and all(joined.count(s) == (len(some) - 1) * (s == self.between) for s in self.special):
-                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-                cut = np.flatnonzero(ids == self.special[self.between])
-                if len(cut) == len(some) - 1:
-                    sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
-                    parts.append(np.delete(ids, cut))
-                    continue
-            each = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes.append(np.array([len(x) for x in each]))
-            parts += each
-        return np.concatenate([np.zeros(0, np.int32), *parts]), starts_of(np.concatenate([np.zeros(0, np.int64), *sizes]))
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = words
+        for k in range(0, len(new), 1024):
+            self._learn(new[k : k + 1024])
+        each = [known[w] for w in words]
+        return np.frombuffer(b"".join(each), np.int32), starts_of(np.fromiter(map(len, each), np.int64, len(each)) // 4)
+
+    def _learn(self, words: list[str]) -> None:
+        joined = self.between.join(words) if self.between else ""
+        if self.between and all(joined.count(s) == (len(words) - 1) * (s == self.between) for s in self.special):
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+            cut = np.flatnonzero(ids == self.special[self.between])
+            if len(cut) == len(words) - 1:
+                data, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+                begin = 0
+                for w, end in zip(words, ends, strict=True):
+                    self.known[w] = data[begin:end]
+                    begin = end + 4
+                return
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, np.int32).tobytes()
 
     def spell(self, codes: np.ndarray, n: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts given as word numbers, an end id behind each, and their number for each text."""
@@ -96,10 +125,6 @@ class Ids:
         return out, total
 
 
-#: Marks that, behind a letter or digit, are a piece of their own for this tokenizer.
-ENDS = (".", ",")
-
-
 def split_ends(words: pa.Array, special: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Fewer words to tokenize: for each word the number of its stem, its end (0: none, else of ``ENDS``), and the stems.
 
@@ -132,9 +157,14 @@ def texts_to_ids(encode: Ids, parts: list[pa.Array]) -> tuple[np.ndarray, np.nda
             hit = np.flatnonzero(pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False))
             odd += [(before + int(h), texts[int(h)].as_py()) for h in hit]
         before += len(texts)
-    n, coded = np.concatenate(n), pa.concat_arrays(flat).dictionary_encode()
+    n, coded = np.concatenate([np.zeros(0, np.int64), *n]), pa.concat_arrays(flat).dictionary_encode()
     del flat
     codes = coded.indices.to_numpy()
+    low = pc.ascii_lower(coded.dictionary).dictionary_encode()
+    words = low.indices.to_numpy()[codes] if len(codes) else codes
+    if not encode.apart:
+        own = [np.append(encode.whole(t or ""), np.int32(END)) for texts in parts for t in texts.to_pylist()]
+        return np.concatenate([np.zeros(0, np.int32), *own]), np.array([len(x) for x in own], np.int64), words, n, len(low.dictionary)
     stem, end, stems = split_ends(coded.dictionary, list(encode.special))
     each = 1 + (end[codes] > 0)
     units = np.repeat(stem[codes], each)
@@ -147,31 +177,41 @@ def texts_to_ids(encode: Ids, parts: list[pa.Array]) -> tuple[np.ndarray, np.nda
         for k, text in odd:
             own[k] = np.append(encode.whole(text), np.int32(END))
         ids, total = np.concatenate(own), np.array([len(x) for x in own])
-    low = pc.ascii_lower(coded.dictionary).dictionary_encode()
-    return ids, total, low.indices.to_numpy()[codes] if len(codes) else codes, n, len(low.dictionary)
+    return ids, total, words, n, len(low.dictionary)
 
 
 class Index:
-    """BM25 over the words of some documents, as postings sorted by word; documents taken out leave it."""
+    """BM25 over the words of some documents; documents taken out leave it.
+
+    A frequent word has a row of weights, one for each document; the others have postings, sorted by word."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, n_words: int):
         docs = np.repeat(np.arange(len(n)), n)
         pairs, tf = np.unique(docs * np.int64(max(n_words, 1)) + codes, return_counts=True)
         doc, self.word = pairs // max(n_words, 1), pairs % max(n_words, 1)
-        self.df = np.bincount(self.word, minlength=n_words)
-        idf = np.log1p((len(n) - self.df + 0.5) / (self.df + 0.5))
+        df = np.bincount(self.word, minlength=n_words)
+        idf = np.log1p((len(n) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * n / max(n.mean(), 1)) if len(n) else n
-        weight = idf[self.word] * tf * (K1 + 1) / (tf + norm[doc])
+        weight = (idf[self.word] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         self.first = np.searchsorted(doc, np.arange(len(n) + 1))
-        by_word = np.argsort(self.word, kind="stable")
-        self.at, self.posting, self.weight = starts_of(self.df), doc[by_word].astype(np.int32), weight[by_word].astype(np.float32)
-        #: Documents that were taken out, and how many that were not hold each word.
-        self.used, self.live = np.zeros(len(n), bool), self.df.copy()
+        #: Row of a frequent word, -1 of others.
+        self.row = np.full(n_words, -1)
+        frequent = np.flatnonzero(df * FREQUENT >= len(n)) if len(n) > FREQUENT else np.zeros(0, np.int64)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), len(n)), np.float32)
+        often = self.row[self.word] >= 0
+        self.rows[self.row[self.word[often]], doc[often]] = weight[often]
+        word, doc, weight = self.word[~often], doc[~often], weight[~often]
+        by_word = np.argsort(word, kind="stable")
+        self.live = np.bincount(word, minlength=n_words)
+        self.at, self.posting, self.weight = starts_of(self.live), doc[by_word].astype(np.int32), weight[by_word]
+        self.used = np.zeros(len(n), bool)
         self.gone = 0
 
     def take(self, doc: int) -> None:
         """Takes ``doc`` out; postings are rewritten each time half of them are gone."""
         words = self.word[self.first[doc] : self.first[doc + 1]]
+        words = words[self.row[words] < 0]
         self.used[doc] = True
         self.live[words] -= 1
         self.gone += len(words)
@@ -179,26 +219,27 @@ class Index:
             keep = ~self.used[self.posting]
             self.at, self.posting, self.weight, self.gone = starts_of(self.live), self.posting[keep], self.weight[keep], 0
 
-    def neighbours(self, doc: int, used: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
-        """Unused documents that share the rarest words of ``doc`` that others still hold, best first."""
+    def scores(self, doc: int) -> np.ndarray:
+        """The BM25 score of every document that is not taken out for all words of ``doc``."""
         words = self.word[self.first[doc] : self.first[doc + 1]]
-        words = words[self.live[words] > (not self.used[doc])]
-        if not len(words):
-            return words
-        if len(words) > QUERY_WORDS:
-            words = words[np.argpartition(self.df[words], QUERY_WORDS)[:QUERY_WORDS]]
-        found = np.concatenate([self.posting[self.at[w] : self.at[w + 1]] for w in words])
-        weight = np.concatenate([self.weight[self.at[w] : self.at[w + 1]] for w in words])
-        free = ~used[found] & (found != doc)
-        found, weight = found[free], weight[free]
-        if not len(found):
-            return found
-        docs, where = np.unique(found, return_inverse=True)
-        score = np.bincount(where, weight)
-        if len(docs) > most:
-            best = np.argpartition(-score, most)[:most]
-            docs, score = docs[best], score[best]
-        return docs[np.lexsort((docs, -score))]
+        row = self.row[words]
+        words = words[(row < 0) & (self.live[words] > (not self.used[doc]))]
+        start, size = self.at[words], self.at[words + 1] - self.at[words]
+        place = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+        out = np.bincount(self.posting[place], self.weight[place], len(self.used))
+        return out + self.rows[row[row >= 0]].sum(axis=0)
+
+    def neighbours(self, doc: int, used: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
+        """The best unused documents that share a word with ``doc``, best first, ties by number."""
+        score = self.scores(doc)
+        score[used] = 0
+        score[doc] = 0
+        if most < len(score):
+            least = np.partition(score, len(score) - most)[len(score) - most]
+            docs = np.flatnonzero((score >= least) & (score > 0))
+        else:
+            docs = np.flatnonzero(score)
+        return docs[np.lexsort((docs, -score[docs]))][:most]
 
 
 def pack_shard(length: np.ndarray, index: Index, window: int = WINDOW, twins: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:

@@ -46,15 +46,81 @@ def test_lm_only_held_out(spark):
     assert len(out) == len(own) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in out)
 
 
-def test_softmax_sums_to_one():
-    weights = np.random.default_rng(0).normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
-    assert np.allclose(np.exp(lm.log_shares(np.arange(500) * 7, weights)).sum(axis=1), 1, atol=1e-4)
+def plain_score(model, count, text):
+    """The probability of a text by the definition: sums of weights, word by word."""
+    h = lambda w: int(lm.hash_words(pa.array([w]))[0][0]) if w is not None else lm.END
+    tokens = [*words(text.translate(LOW)), None]
+    ids = [h(w) >> 32 for w in tokens]
+    shapes = [lm.shape(w) if w is not None else lm.SHAPES for w in tokens]
+    cells = [int(model.cells(np.array([h(w)], np.uint64), np.array([s]))[0]) for w, s in zip(tokens, shapes, strict=True)]
+    m64 = 2**64 - 1
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & m64
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & m64
+        return x ^ x >> 33
+
+    odd, total = 0x9E3779B97F4A7C15, 0.0
+    for i, w in enumerate(tokens):
+        one, two, three = (ids[i - k] if i >= k else lm.START for k in (1, 2, 3))
+        before = cells[i - 1] if i else lm.CELLS
+        keys = [mix(x + k * odd & m64) for k, x in enumerate((before, one, two, one * odd + two, one * odd + three), 1)]
+        c, s = divmod(cells[i], lm.SLOTS)
+        first = [0, *(1 + ((k >> 32) * (lm.ROWS - 1) >> 32) for k in keys)]
+        turned = [((k ^ (c + 1) * 0xD6E8FEB86659FD93 & m64) * odd) & m64 for k in keys]
+        second = [c, *(lm.CLASSES + ((k >> 32) * (lm.ROWS - lm.CLASSES) >> 32) for k in turned)]
+        for rows, table, label in ((first, model.weights[0], c), (second, model.weights[1], s)):
+            x = [sum(float(table[r][j]) for r in rows) for j in range(table.shape[1])]
+            total += (x[label] - math.log(sum(map(math.exp, x)))) / math.log(10)
+        total += math.log10((count[w] + 1) / (model.cell_tokens[cells[i]] + model.cell_distinct[cells[i]] + 1))
+    return total
+
+
+def test_lm_score_is_the_models(spark):
+    rng = np.random.default_rng(2)
+    follow = {w: rng.choice(30, 3) for w in range(30)}
+    rows = []
+    for k in range(300):
+        w = [int(rng.integers(30))]
+        while len(w) < 25:
+            w.append(int(rng.choice(follow[w[-1]])))
+        rows.append((k, " ".join(f"wo{x}" for x in w)))
+    rows += [(900, None), (901, "never seen É Wo1"), (902, "")]
+    grouped = lm._grouped(spark.createDataFrame(rows, "doc_id long, text string"))
+    model, counts = lm.fit(grouped)
+    out = {r["doc_id"]: r for r in lm._scored(grouped, counts, model).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count = Counter(w for k, t in rows if not held(k) for w in [*words((t or "").translate(LOW)), None])
+    for k, t in [*rows[:25], *rows[-3:]]:
+        assert abs(out[k]["score"] - plain_score(model, count, t or "")) < 1e-3
+    # word pairs are learned: each word has three followers of thirty
+    gain = [(r["score"] - r["base_score"]) / r["n_tokens"] for r in out.values() if r["held_out"] and r["n_tokens"] > 20]
+    assert len(gain) > 20 and sum(gain) / len(gain) > 0.4
+
+
+def test_gradient_is_what_was_seen_less_what_was_expected():
+    rng = np.random.default_rng(3)
+    weights = tuple(rng.normal(size=(lm.ROWS, n)).astype(np.float32) / 4 for n in (lm.CLASSES, lm.SLOTS))
+    words, cells, size = rng.integers(0, 9, 40).astype(np.uint64), rng.integers(0, lm.CELLS, 40), np.array([25, 15])
+    sums = [[np.zeros((lm.ROWS, n), np.int64), np.zeros((n, lm.ROWS))] for n in (lm.CLASSES, lm.SLOTS)]
+    lm.gradient(words, cells, size, weights, sums)
+    rows = lm.feature_rows(words, cells, size)
+    for t in (0, 1):
+        for r in (0, 7, int(rows[t][3][5]), int(rows[t][5][30])):
+            at, bump = int(cells[30] // lm.SLOTS if t == 0 else cells[30] % lm.SLOTS), 1e-2
+            more, less = ([w.copy() for w in weights] for _ in range(2))
+            more[t][r, at] += bump
+            less[t][r, at] -= bump
+            slope = (lm.token_logs(words, cells, size, more).sum() - lm.token_logs(words, cells, size, less).sum()) / (2 * bump)
+            seen, expected = sums[t]
+            assert abs(slope - (seen[r, at] - expected[at, r])) < 0.02
 
 
-def test_histories():
-    got = lm.histories(np.array([1, 2, 3, 4, 5]), np.array([3, 2]))
-    c, s = lm.CLASSES + 1, lm.START
-    assert got.tolist() == [(a * c + b) * c + d for a, b, d in [(s, s, s), (s, s, 1), (s, 1, 2), (s, s, s), (s, s, 4)]]
+def test_softmax_sums_to_one():
+    weights = np.random.default_rng(0).normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
+    assert np.allclose(np.exp(lm.log_shares(np.random.default_rng(1).integers(0, lm.ROWS, (6, 500)), weights)).sum(axis=1), 1, atol=1e-4)
 
 
 # ------------------------------------------------------------------ chat
@@ -187,13 +253,58 @@ def test_copies_do_not_hide_neighbours_in_a_shard(spark, monkeypatch):
     assert {p["doc_id"] for p in pieces if p["sequence_id"] == 0} == {0, 24}
 
 
-def test_neighbours_beyond_the_rarest_words():
-    # 0 shares its 12 rarest words with 1 only and a commoner one with 2 and 3
-    texts = [[*range(13)], [*range(12)], [12, 20], [12, 21]]
-    index = packing.Index(np.array([w for t in texts for w in t]), np.array([len(t) for t in texts]), 30)
-    index.take(0)
-    index.take(1)
-    assert sorted(index.neighbours(0, index.used).tolist()) == [2, 3]
+def plain_bm25(texts, doc, used):
+    """Scores of all unused documents for every word of ``doc``, by the definition."""
+    mean, df = sum(map(len, texts)) / len(texts), Counter(w for t in texts for w in set(t))
+    out = {}
+    for k, t in enumerate(texts):
+        if k != doc and not used[k]:
+            tf = Counter(t)
+            score = sum(
+                math.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(texts[doc]) if tf[w]
+            )
+            if score:
+                out[k] = score
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_neighbours_are_the_best_of_the_whole_query(seed):
+    rng = np.random.default_rng(seed)
+    texts = [np.minimum(rng.zipf(1.4, rng.integers(1, 60)), 80).tolist() for _ in range(40)]
+    texts += [texts[0], texts[0], texts[1]]
+    index = packing.Index(np.array([w for t in texts for w in t]), np.array([len(t) for t in texts]), 81)
+    for doc in rng.permutation(len(texts))[:25].tolist():
+        index.take(doc)
+        want = plain_bm25(texts, doc, index.used)
+        got = index.neighbours(doc, index.used, 8).tolist()
+        assert len(got) == min(8, len(want))
+        assert np.allclose([want[k] for k in got], sorted(want.values(), reverse=True)[: len(got)], rtol=1e-4)
+
+
+def test_other_tokenizers_are_not_taken_apart(spark, docs, corpus, monkeypatch):
+    assert packing.Ids(public_tokenizer()).apart
+    import public_tokenizers
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    ids = packing.Ids(other)
+    assert not ids.apart
+    rows = corpus[:20]
+    pieces = packing.pack(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), other).collect()
+    for r in rows:
+        text = np.append(ids.whole(r[1] or ""), 1)
+        own = sorted((p["start"], p["length"], p["ids_crc32"]) for p in pieces if p["doc_id"] == r[0])
+        assert all(c == zlib.crc32(text[a : a + n].astype("<u4").tobytes()) for a, n, c in own) and sum(n for _, n, _ in own) == len(text)
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    ids = packing.Ids(public_tokenizer())
+    for k in range(5):
+        some = [f"word{j}" for j in range(k * 20, k * 20 + 30)]
+        flat, at = ids.table(some)
+        assert all(flat[a:b].tolist() == ids.whole(w).tolist() for w, a, b in zip(some, at, at[1:], strict=False)) and len(ids.known) <= 50
 
 
 # ------------------------------------------------------------------ mixing
