@@ -10,10 +10,10 @@ history: the word before and its cell, the word before that, the last two words,
 and the skip pair of the last and the third last.
 
 Counts cover all training texts: each group of documents names its distinct words
-once, the table of words sums them, and the counts return to the groups in a join,
-as rows; no table of all words is ever in one place.  The weights are trained on
-all training texts in ``STEPS`` minibatches, a hash of the id deciding which;
-each task sums the gradient of its tokens in sparse batches, the sums are added
+once, the rows of a word are summed where they meet, and return to their groups;
+no table of all words is ever in one place.  The weights are trained on one in
+``SHARE`` of the training texts, at every size, in ``STEPS`` minibatches, a hash of
+the id deciding which; each task sums the gradient of its tokens in sparse batches, the sums are added
 by blocks of weights, and the driver moves the weights.  What reaches it or is
 broadcast has the fixed size of the weight tables and of the ``TOP`` list.
 
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import U64, coded_words, column, hash_words, mix, pack, partitions, slices, small_batches, starts_of, stored, text_bytes, unpack
@@ -43,7 +43,10 @@ TOP, CELLS = CLASSES * OWN, CLASSES * SLOTS
 SHAPES = 30
 #: Rows of a hashed weight table, and features of a history with the bias.
 ROWS, FEATURES = 1 << 14, 6
-STEPS = 6
+#: Minibatches, and of how many training documents one is in any of them.
+STEPS, SHARE = 6, 2
+#: Bytes of text in one group of documents.
+GROUPED = 24 << 20
 #: Tokens of a batch, of a training task at least, and rows of a block of weights.
 BATCH, TASK, BLOCK = 1 << 12, 8 << 20, 1 << 10
 #: What holds back the weights of rare features.
@@ -56,17 +59,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def shape(word: str) -> int:
-    """One of ``SHAPES``: script by the first letter beyond ASCII, ending, length."""
-    script = 0
-    if not word.isascii():
-        for c in word:
-            if c > "\x7f":
-                script = 1 + (ord(c) * 2654435761 >> 8) % 4
-                break
-    last = word[-1]
-    ending = 0 if last.isalpha() else 1 if last == "." else 2
-    return (script * 3 + ending) * 2 + (len(word) > 6)
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """One of ``SHAPES`` for each word: script by the first two bytes beyond ASCII, ending, bytes."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.int64)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    last = data[at[1:] - 1]
+    letter = (last > 127) | (last - 65 < 26) | (last - 97 < 26)  # unsigned: below 65 wraps
+    ending = np.where(letter, 0, np.where(last == 46, 1, 2))
+    beyond = np.append(np.flatnonzero(data[: at[-1]] > 127), at[-1])
+    first = beyond[np.searchsorted(beyond, at[:-1])]
+    wide = first < at[1:]
+    first = np.minimum(first, len(data) - 2) if len(data) > 1 else np.zeros_like(first)
+    pair = data[first].astype(np.int64) << 8 | data[np.minimum(first + 1, len(data) - 1)]
+    script = np.where(wide, 1 + (pair * 2654435761 >> 8) % 4, 0)
+    return (script * 3 + ending) * 2 + (np.diff(at) > 6)
 
 
 # ------------------------------------------------------------------ counts
@@ -84,7 +93,7 @@ def _hashed(part) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
 
 
 def _shapes(words: pa.Array) -> np.ndarray:
-    return np.array([*map(shape, words.to_pylist()), SHAPES], np.int64)
+    return np.append(shapes_of(words), SHAPES)
 
 
 def _requests(docs: DataFrame) -> DataFrame:
@@ -193,11 +202,21 @@ def feature_rows(words: np.ndarray, cells: np.ndarray, size: np.ndarray) -> tupl
 
 def log_shares(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Natural logarithms of all probabilities, for each column of feature rows."""
+    x = _sums(rows, weights)
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+
+def shares(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """All probabilities, for each column of feature rows."""
+    x = np.exp(_sums(rows, weights))
+    return x / x.sum(axis=1, keepdims=True)
+
+
+def _sums(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     x = weights[rows[0]]
     for r in rows[1:]:
         x += weights[r]
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x - x.max(axis=1, keepdims=True)
 
 
 def token_logs(words: np.ndarray, cells: np.ndarray, size: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -205,8 +224,8 @@ def token_logs(words: np.ndarray, cells: np.ndarray, size: np.ndarray, weights:
     out = np.zeros(len(words))
     for rows, table, label in zip(feature_rows(words, cells, size), weights, (cells // SLOTS, cells % SLOTS), strict=True):
         for k in range(0, len(out), BATCH):
-            shares = log_shares(rows[:, k : k + BATCH], table)
-            out[k : k + BATCH] += shares[np.arange(len(shares)), label[k : k + BATCH]]
+            x = _sums(rows[:, k : k + BATCH], table)
+            out[k : k + BATCH] += x[np.arange(len(x)), label[k : k + BATCH]] - np.log(np.exp(x).sum(axis=1))
     return out
 
 
@@ -228,8 +247,8 @@ def _batches(docs: DataFrame, model: Model) -> DataFrame:
                     out.append((step, pack(word[some], cell[some], size[own].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["step", "packed"])
 
-    step = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(STEPS)).cast("int").alias("step")
-    return docs.where(~F.col("held_out")).select("text", step).mapInArrow(encode, "step int, packed binary")
+    step = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(STEPS * SHARE)).cast("int").alias("step")
+    return docs.where(~F.col("held_out")).select("text", step).where(F.col("step") < STEPS).mapInArrow(encode, "step int, packed binary")
 
 
 def gradient(words: np.ndarray, cells: np.ndarray, size: np.ndarray, weights: tuple[np.ndarray, np.ndarray], sums: list[list[np.ndarray]]) -> None:
@@ -241,10 +260,11 @@ def gradient(words: np.ndarray, cells: np.ndarray, size: np.ndarray, weights: tu
         wide = 16 * BATCH
         for k in range(0, len(words), wide):
             some = rows[:, k : k + wide].astype(np.intp)
-            p = np.concatenate([np.exp(log_shares(some[:, j : j + BATCH], table)) for j in range(0, some.shape[1], BATCH)])
+            p = np.concatenate([shares(some[:, j : j + BATCH], table) for j in range(0, some.shape[1], BATCH)])
             for outcome, own in enumerate(np.ascontiguousarray(p.T)):
-                for r in some:
+                for r in some[1:]:
                     expected[outcome] += np.bincount(r, own, ROWS)
+                expected[outcome, :width] += np.bincount(some[0], own, width)  # a bias row is the class, or 0
 
 
 def moved(table: np.ndarray, seen: np.ndarray, expected: np.ndarray, free: int) -> np.ndarray:
@@ -263,7 +283,7 @@ def train(batches: DataFrame, model: Model, steps: int = STEPS) -> tuple[np.ndar
     classes, slots = model.priors()
     weights = (np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SLOTS), np.float32))
     weights[0][0], weights[1][:CLASSES] = np.log(classes), np.log(slots)
-    parts = max(spark.sparkContext.defaultParallelism, model.tokens // (steps * TASK))
+    parts = max(spark.sparkContext.defaultParallelism, model.tokens // (steps * SHARE * TASK))
     for step in range(steps):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -341,18 +361,19 @@ def _scored(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    n = partitions(docs.sparkSession, text_bytes(docs))
+    n = partitions(docs.sparkSession, text_bytes(docs), GROUPED)
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"), group)
 
 
 def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the training rows of ``_grouped`` documents, and the counts that each group needs (``g, h, n, shape``)."""
-    requests = stored(_requests(rows), "requests")
-    vocabulary = stored(requests.groupBy("h").agg(F.sum("n").alias("n"), F.max("shape").alias("shape")), "vocabulary")
-    model = _summed(vocabulary)
+    word = Window.partitionBy("h")
+    counted = _requests(rows).select("g", "h", "shape", F.sum("n").over(word).alias("n"), F.row_number().over(word.orderBy("g")).alias("nr"))
+    counted = stored(counted.select("g", "h", "n", "shape", (F.col("nr") == 1).alias("first")), "counts")
+    model = _summed(counted.where("first"))
     model.weights = train(stored(_batches(rows, model), "tokens", "step"), model)
-    return model, requests.select("g", "h").join(vocabulary.hint("merge"), "h").select("g", "h", "n", "shape")
+    return model, counted.select("g", "h", "n", "shape")
 
 
 def score_texts(docs: DataFrame) -> DataFrame:

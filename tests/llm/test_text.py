@@ -46,12 +46,25 @@ def test_lm_only_held_out(spark):
     assert len(out) == len(own) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in out)
 
 
+def plain_shape(word):
+    raw = word.encode()
+    beyond = next((k for k, b in enumerate(raw) if b > 127), None)
+    script = 0 if beyond is None else 1 + ((raw[beyond] << 8 | raw[beyond + 1]) * 2654435761 >> 8) % 4
+    ending = 0 if raw[-1] > 127 or chr(raw[-1]).isalpha() else 1 if raw[-1] == 46 else 2
+    return (script * 3 + ending) * 2 + (len(raw) > 6)
+
+
+@given(st.lists(st.text(alphabet="aZz[@.,9é日ß!", min_size=1, max_size=9), max_size=8))
+def test_shapes(some):
+    assert lm.shapes_of(pa.array(some, pa.large_string())).tolist() == [plain_shape(w) for w in some]
+
+
 def plain_score(model, count, text):
     """The probability of a text by the definition: sums of weights, word by word."""
     h = lambda w: int(lm.hash_words(pa.array([w]))[0][0]) if w is not None else lm.END
     tokens = [*words(text.translate(LOW)), None]
     ids = [h(w) >> 32 for w in tokens]
-    shapes = [lm.shape(w) if w is not None else lm.SHAPES for w in tokens]
+    shapes = [plain_shape(w) if w is not None else lm.SHAPES for w in tokens]
     cells = [int(model.cells(np.array([h(w)], np.uint64), np.array([s]))[0]) for w, s in zip(tokens, shapes, strict=True)]
     m64 = 2**64 - 1
 
