@@ -166,7 +166,7 @@ def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Ar
 
 def hash_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each word (the halves of a 128-bit one)."""
-    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words.cast(pa.large_binary()).to_pylist()]), dtype=">u8")
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.cast(pa.large_binary()).to_numpy(zero_copy_only=False))), dtype=">u8")
     h = h.astype(U64).reshape(-1, 2)
     return h[:, 0].copy(), h[:, 1].copy()
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import column, partitions, slices, small_batches, split_words, starts_of, text_bytes
+from tessera.llm._common import U64, column, hash_words, partitions, slices, small_batches, split_words, starts_of, text_bytes
 
 WINDOW, END = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -45,7 +45,7 @@ NEIGHBOURS = 16
 #: A word in one of so many documents of a shard, or in more, has a weight for every document instead of postings.
 FREQUENT = 8
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 #: Marks that, behind a letter or digit, are a piece of their own for a tokenizer that ``Ids`` takes apart.
 ENDS = (".", ",")
 K1, B = 1.2, 0.75
@@ -65,7 +65,7 @@ class Ids:
         # a special token that strips nothing beside it may stand between words
         self.between = next((t.content for t in special.values() if not (t.lstrip or t.rstrip or t.single_word)), None)
 
-        self.known: dict[str, bytes] = {}
+        self._forget()
         self.apart = self._apart()
 
     def _apart(self) -> bool:
@@ -79,37 +79,59 @@ class Ids:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in order, and where each word's begin (and the last one's end)."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = words
-        for k in range(0, len(new), 1024):
-            self._learn(new[k : k + 1024])
-        each = [known[w] for w in words]
-        return np.frombuffer(b"".join(each), np.int32), starts_of(np.fromiter(map(len, each), np.int64, len(each)) // 4)
-
-    def _learn(self, words: list[str]) -> None:
-        joined = self.between.join(words) if self.between else ""
-        if self.between and all(joined.count(s) == (len(words) - 1) * (s == self.between) for s in self.special):
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-            cut = np.flatnonzero(ids == self.special[self.between])
-            if len(cut) == len(words) - 1:
-                data, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
-                begin = 0
-                for w, end in zip(words, ends, strict=True):
-                    self.known[w] = data[begin:end]
-                    begin = end + 4
-                return
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.int32).tobytes()
-
-    def spell(self, codes: np.ndarray, n: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids among which those of each of the distinct ``words`` stand, where they begin, and their number."""
+        one, two = hash_words(words)
+        seen = self._seen(one, two)
+        if len(self.key) + int((~seen).sum()) > REMEMBERED:
+            self._forget()
+            seen[:] = False
+        if not seen.all():
+            self._remember(one[~seen], two[~seen], *self._learnt(words.filter(pa.array(~seen)).to_numpy(zero_copy_only=False).tolist()))
+        at = np.searchsorted(self.key, one)
+        return self.ids, self.at[at], self.size[at]
+
+    def _forget(self) -> None:
+        """Known words: hashes, the first ascending, and where their ids begin in ``ids``, and their number."""
+        self.key, self.check, self.at, self.size = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def _seen(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(one), bool)
+        at = np.minimum(np.searchsorted(self.key, one), len(self.key) - 1)
+        return (self.key[at] == one) & (self.check[at] == two)
+
+    def _remember(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        at = len(self.ids) + starts_of(size)[:-1]
+        order = np.argsort(one)
+        place = np.searchsorted(self.key, one[order])
+        more = zip((self.key, self.check, self.at, self.size), (one, two, at, size), strict=True)
+        self.key, self.check, self.at, self.size = (np.insert(old, place, new[order]) for old, new in more)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _learnt(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and their number for each."""
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), 1024):
+            some = words[k : k + 1024]
+            joined = self.between.join(some) if self.between else ""
+            if self.between and all(joined.count(s) == (len(some) - 1) * (s == self.between) for s in self.special):
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+                cut = np.flatnonzero(ids == self.special[self.between])
+                if len(cut) == len(some) - 1:
+                    sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                    parts.append(np.delete(ids, cut))
+                    continue
+            each = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes.append(np.array([len(x) for x in each]))
+            parts += each
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def spell(self, codes: np.ndarray, n: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts given as word numbers, an end id behind each, and their number for each text."""
-        flat, where = self.table(words)
-        flat, size = np.append(flat, np.int32(END)), np.append(np.diff(where), 1)
+        flat, where, size = self.table(words)
+        flat, where, size = np.append(flat, np.int32(END)), np.append(where, len(flat)), np.append(size, 1)
         ends = starts_of(n)[1:] + np.arange(len(n))
         order = np.full(len(codes) + len(n), len(words), np.int64)
         order[np.delete(np.arange(len(order)), ends)] = codes
@@ -125,7 +147,7 @@ class Ids:
         return out, total
 
 
-def split_ends(words: pa.Array, special: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_ends(words: pa.Array, special: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Fewer words to tokenize: for each word the number of its stem, its end (0: none, else of ``ENDS``), and the stems.
 
     ASCII words lose their case, as the tokenizer drops it, unless that makes a special string;
@@ -138,7 +160,7 @@ def split_ends(words: pa.Array, special: list[str]) -> tuple[np.ndarray, np.ndar
     coded = pc.if_else(cut, pc.utf8_slice_codeunits(low, 0, -1), low).dictionary_encode()
     dot = pc.and_(cut, pc.ends_with(low, ENDS[0])).to_numpy(zero_copy_only=False)
     end = np.where(cut.to_numpy(zero_copy_only=False), np.where(dot, 1, 2), 0)
-    return coded.indices.to_numpy().astype(np.int64), end, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return coded.indices.to_numpy().astype(np.int64), end, coded.dictionary
 
 
 @lru_cache(maxsize=2)
@@ -166,11 +188,14 @@ def texts_to_ids(encode: Ids, parts: list[pa.Array]) -> tuple[np.ndarray, np.nda
         own = [np.append(encode.whole(t or ""), np.int32(END)) for texts in parts for t in texts.to_pylist()]
         return np.concatenate([np.zeros(0, np.int32), *own]), np.array([len(x) for x in own], np.int64), words, n, len(low.dictionary)
     stem, end, stems = split_ends(coded.dictionary, list(encode.special))
+    # an end that is a stem too keeps its number
+    stems = pa.concat_arrays([stems, pa.array(ENDS, stems.type)]).dictionary_encode()
+    number, stems = stems.indices.to_numpy().astype(np.int64), stems.dictionary
     each = 1 + (end[codes] > 0)
-    units = np.repeat(stem[codes], each)
+    units = np.repeat(number[stem[codes]], each)
     last = np.cumsum(each)[each > 1] - 1
-    units[last] = len(stems) - 1 + end[codes][each > 1]
-    ids, total = encode.spell(units, np.diff(np.concatenate([[0], np.cumsum(each)])[starts_of(n)]), [*stems, *ENDS])
+    units[last] = number[-len(ENDS) :][end[codes][each > 1] - 1]
+    ids, total = encode.spell(units, np.diff(np.concatenate([[0], np.cumsum(each)])[starts_of(n)]), stems)
     del units, last, each
     if odd:  # a special string may stand inside a word or across words
         own = np.split(ids, starts_of(total)[1:-1])
@@ -223,11 +248,13 @@ class Index:
         """The BM25 score of every document that is not taken out for all words of ``doc``."""
         words = self.word[self.first[doc] : self.first[doc + 1]]
         row = self.row[words]
+        asked = np.zeros(len(self.rows), np.float32)
+        asked[row[row >= 0]] = 1
         words = words[(row < 0) & (self.live[words] > (not self.used[doc]))]
         start, size = self.at[words], self.at[words + 1] - self.at[words]
         place = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
         out = np.bincount(self.posting[place], self.weight[place], len(self.used))
-        return out + self.rows[row[row >= 0]].sum(axis=0)
+        return out + asked @ self.rows
 
     def neighbours(self, doc: int, used: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
         """The best unused documents that share a word with ``doc``, best first, ties by number."""

@@ -78,7 +78,7 @@ _RUN = re.compile(r"(.)\1\1")
 def word_table(words: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
     """Numbers of each distinct word, as it stands in the text: one row per word."""
     out = np.zeros((len(words), 13))
-    for i, w in enumerate(words.to_pylist()):
+    for i, w in enumerate(words.to_numpy(zero_copy_only=False)):
         b = bare(w)
         low = b.lower()
         odds = lexicon.get(low, 0.0)
@@ -273,7 +273,7 @@ def lexicon_of(labelled: DataFrame, least: int = LEAST_DOCS) -> dict[str, float]
                 toxic = np.repeat(column(part, "toxic").to_numpy(zero_copy_only=False), n)
                 doc = np.repeat(np.arange(len(n)), n)
                 d = flat.dictionary_encode()
-                table = pa.array([bare(w).lower() for w in d.dictionary.to_pylist()], pa.string()).dictionary_encode()
+                table = pa.array([bare(w).lower() for w in d.dictionary.to_numpy(zero_copy_only=False)], pa.string()).dictionary_encode()
                 code = table.indices.to_numpy()[d.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
                 k = np.int64(max(len(table.dictionary), 1))
                 once, where = np.unique(doc * k + code, return_index=True)
