@@ -11,8 +11,11 @@ from typing import Any
 
 @dataclass(frozen=True)
 class Models:
-    provider: str = "recorded"  # recorded | batch | mock
+    provider: str = "recorded"  # recorded | batch | mock | api
     batch_dir: str = "data/batch"
+    model: str = ""
+    url: str = ""
+    key_variable: str = "MODEL_API_KEY"
 
 
 @dataclass(frozen=True)

@@ -85,8 +85,10 @@ def id_and_version(url: Column | str) -> tuple[Column, Column]:
 
 
 def utc_timestamp(text: Column | str) -> Column:
-    """An ISO timestamp in UTC; null if it is none."""
-    return F.try_to_timestamp(F.trim(_c(text)))
+    """An ISO timestamp; one without a zone is in UTC, whatever the session's zone; null if it is none."""
+    t = F.trim(_c(text))
+    day, zoned = t.rlike(r"^[+-]?[0-9]+(-[0-9]{1,2}){0,2}$"), t.rlike(r"(?i)([a-z)]|[+-][0-9]{1,2}(:?[0-9]{2}){0,2})$") & t.rlike("[T ]")
+    return F.try_to_timestamp(F.when(day, F.concat(t, F.lit("T00:00:00Z"))).when(zoned, t).otherwise(F.concat(t, F.lit("Z"))))
 
 
 def title_and_abstract(title: Column | str, abstract: Column | str) -> Column:

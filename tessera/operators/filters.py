@@ -12,18 +12,18 @@ from tessera.functions import text as X
 
 
 def keyword_prefilter(df: DataFrame, text: Column, config: Config) -> DataFrame:
-    """``df`` with ``passed, score, matched``: any exclude term fails a text, else one include term passes it."""
-    hay = F.col("_hay")  # a column of its own, so that a text is normalised once and not once per term
-    df = df.withColumn("_hay", X.normalize(text))
-    df = df.withColumns({"_inc": X.matched_terms(hay, [*config.include_keywords, *config.taxonomy_terms]), "_exc": X.matched_terms(hay, config.exclude_keywords)}).drop("_hay")
-    bad, n = F.size("_exc") > 0, F.size("_inc")
+    """``df`` with ``passed, score, matched`` added, or replaced where it has such columns: any exclude term fails a text, else one include term passes it."""
+    hay = F.col("_kp_hay")  # a column of its own, so that a text is normalised once and not once per term
+    df = df.withColumn("_kp_hay", X.normalize(text))
+    df = df.withColumns({"_kp_inc": X.matched_terms(hay, [*config.include_keywords, *config.taxonomy_terms]), "_kp_exc": X.matched_terms(hay, config.exclude_keywords)}).drop("_kp_hay")
+    bad, n = F.size("_kp_exc") > 0, F.size("_kp_inc")
     return df.withColumns(
         {
             "passed": ~bad & (n > 0),
             "score": F.when(bad | (n == 0), 0.0).otherwise(F.round(1 - 1 / (1 + n.cast("double")), 4)),
-            "matched": F.when(bad, F.col("_exc")).otherwise(F.col("_inc")),
+            "matched": F.when(bad, F.col("_kp_exc")).otherwise(F.col("_kp_inc")),
         }
-    ).drop("_inc", "_exc")
+    ).drop("_kp_inc", "_kp_exc")
 
 
 def since(published: Column, cursor: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,13 +50,13 @@ def inside(edges: DataFrame, nodes: DataFrame, id_: str = "id") -> DataFrame:
     return edges.where("src <> dst").join(n.withColumnRenamed(id_, "src"), "src", "left_semi").join(n.withColumnRenamed(id_, "dst"), "dst", "left_semi")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, id_: str = "id", most: int = 1000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, id_: str = "id") -> DataFrame:
     """``id_, level``: 0 without dependencies, else one more than the deepest; null for what is in or behind a cycle.
 
-    Sorting by level gives a valid order of any number of nodes."""
+    Sorting by level gives a valid order of any number of nodes; rounds go on until one adds no level."""
     links = materialize(inside(edges, nodes, id_).select("src", "dst").distinct())
     state = materialize(nodes.select(id_).distinct().withColumn("level", F.lit(None).cast("int")))
-    for level in range(most):
+    for level in count():
         open_ = state.where("level is null").select(id_)
         held = links.join(open_.withColumnRenamed(id_, "dst"), "dst", "left_semi").select(F.col("src").alias(id_), F.lit(True).alias("_held")).distinct()
         free = F.col("level").isNull() & F.col("_held").isNull()

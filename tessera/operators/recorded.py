@@ -5,6 +5,9 @@ one is missing.  Nothing calls a model from inside a plan."""
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,13 +48,34 @@ def answered(reqs: DataFrame, answers: DataFrame, schema: str, strict: bool = Fa
     hit, missing = look_up_answers(reqs.where(F.col("schema") == schema), answers)
     if strict and (row := missing.select("key").first()):
         raise MissingAnswer(row[0])
-    return hit.select(F.expr("substring(key, locate(':', key) + 1)").alias("cache_key"), F.from_json("payload", SCHEMAS[schema]).alias("answer")).select("cache_key", "answer.*")
+    # a recorded answer that is no object of the schema counts as one of zero values
+    read = F.coalesce(F.from_json("payload", SCHEMAS[schema], {"mode": "PERMISSIVE"}), stub(schema))
+    return hit.select(F.expr("substring(key, locate(':', key) + 1)").alias("cache_key"), read.alias("answer")).select("cache_key", "answer.*")
+
+
+_ZERO = {"double": 0.0, "string": "", "boolean": False}
+
+
+def zero_answer(schema: str) -> dict[str, Any]:
+    """An answer of zero values: false, 0, blanks, and nothing in lists and maps."""
+    return {f.name: _ZERO.get(f.dataType.simpleString(), [] if isinstance(f.dataType, T.ArrayType) else {}) for f in SCHEMAS[schema].fields}
+
+
+def well_formed(found: Any, schema: str) -> bool:
+    """Whether an answer is an object whose known fields have the schema's kinds; a missing field is none of them."""
+    kinds = {"double": (int, float), "string": (str,), "boolean": (bool,)}
+    if not isinstance(found, dict):
+        return False
+    for f in SCHEMAS[schema].fields:
+        kind = kinds.get(f.dataType.simpleString(), (list,) if isinstance(f.dataType, T.ArrayType) else (dict,))
+        if found.get(f.name) is not None and not isinstance(found[f.name], kind):
+            return False
+    return True
 
 
 def stub(schema: str) -> Column:
-    """An answer of zero values: what a planning run goes on with."""
-    zero = {"double": F.lit(0.0), "string": F.lit(""), "boolean": F.lit(False)}
-    return F.struct(*[zero.get(f.dataType.simpleString(), F.lit(None).cast(f.dataType)).alias(f.name) for f in SCHEMAS[schema].fields])
+    """The same as a column."""
+    return F.from_json(F.lit(json.dumps(zero_answer(schema))), SCHEMAS[schema])
 
 
 def relevance_prompt(problem: str) -> Column:

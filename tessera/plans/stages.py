@@ -5,6 +5,7 @@ that runs again changes nothing it has already done."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.config import Config
 from tessera.functions import text as X
-from tessera.functions import vectors as V
-from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, rank, recorded, relevance, score
+from tessera.functions.embedders import embedder
+from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, models, rank, recorded, relevance, score
 from tessera.plans import render
 from tessera.sources import fulltext
 from tessera.sources.store import Store, materialize
@@ -34,6 +35,7 @@ class Inputs:
     tei: DataFrame | None = None
     html: DataFrame | None = None
     answers: DataFrame | None = None
+    fetch: Callable | None = None  # bodies of papers by a request; None where nothing is fetched
     requests: list[DataFrame] = field(default_factory=list)  # filled by a planning run
 
 
@@ -68,8 +70,14 @@ class Pipeline:
 
     # -------------------------------------------------------------- 2
 
-    def _answers(self, inputs: Inputs, schema: str, reqs: DataFrame) -> DataFrame:
+    def _known(self, inputs: Inputs, reqs: DataFrame) -> DataFrame:
+        """Recorded answers, and those that the configured model gives to what is not recorded."""
         answers = inputs.answers if inputs.answers is not None else self.store.spark.createDataFrame([], schemas.ANSWERS)
+        make = models.factory(self.config)
+        return materialize(answers.unionByName(models.answers(recorded.pending(reqs, answers), make))) if make else answers
+
+    def _answers(self, inputs: Inputs, schema: str, reqs: DataFrame) -> DataFrame:
+        answers = self._known(inputs, reqs)
         if not self.strict:
             inputs.requests.append(recorded.pending(reqs, answers))
         return recorded.answered(reqs, answers, schema, self.strict)
@@ -77,15 +85,16 @@ class Pipeline:
     def filter(self, inputs: Inputs) -> int:
         papers = self.store.read("papers").where(F.col("status") == schemas.SEEN)
         text = X.title_and_abstract("title", "abstract")
-        embedded = materialize(V.hash_embed(papers.withColumn("_t", X.tokens(text)), "_t", self.config.embedding.hashing_dim).drop("_t"))
-        self.store.upsert("embeddings", embedded.select(F.col("arxiv_id").alias("paper_id"), F.lit("hashing").alias("model"), F.size("vector").alias("dim"), "vector"))
-        problem = V.hash_embed(self.store.spark.range(1).select(X.tokens(F.lit(self.config.problem_statement)).alias("_t")), "_t", self.config.embedding.hashing_dim).select("vector")
+        embed = embedder(self.config)
+        embedded = materialize(embed.embed(papers.withColumn("_text", text), "_text").drop("_text"))
+        self.store.upsert("embeddings", embedded.select(F.col("arxiv_id").alias("paper_id"), F.lit(embed.name).alias("model"), F.size("vector").alias("dim"), "vector"))
+        problem = embed.embed(self.store.spark.range(1).select(F.lit(self.config.problem_statement).alias("_text")), "_text").select("vector")
         seeds = self.store.spark.createDataFrame([(s,) for s in self.config.seed_papers], "paper_id string")
         seeds = problem.unionByName(joins.seed_vectors(self.store.read("embeddings"), seeds).select("vector"))
         reqs = recorded.requests(embedded, recorded.JUDGEMENT, F.col("arxiv_id"), recorded.relevance_prompt(self.config.problem_statement))
-        answers = inputs.answers if inputs.answers is not None else self.store.spark.createDataFrame([], schemas.ANSWERS)
+        answers = self._known(inputs, reqs)
         told = recorded.answered(reqs, answers, recorded.JUDGEMENT).select(F.col("cache_key").alias("arxiv_id"), "score", "rationale")
-        threshold = relevance.effective_threshold(self.config, "hashing")
+        threshold = relevance.effective_threshold(self.config, embed.name)
         out = materialize(relevance.cascade(embedded, seeds, told, self.config, threshold))
         waiting = reqs.join(out.where(F.col("status") == schemas.SEEN).select(X.request_key(recorded.JUDGEMENT, F.col("arxiv_id"), F.lit("")).alias("key")), "key", "left_semi")
         if self.strict and (row := waiting.select("key").first()):
@@ -101,7 +110,11 @@ class Pipeline:
     def extract(self, inputs: Inputs) -> int:
         papers = self.store.read("papers").where(F.col("status").isin(schemas.RELEVANT, schemas.EXTRACTED))
         c = self.config.extraction
-        texts = fulltext.full_texts(papers, self.config, inputs.tei, inputs.html)
+        tei, html = inputs.tei, inputs.html
+        if inputs.fetch is not None:
+            tei = inputs.fetch(papers, fulltext.tei_request(c.grobid_url)) if tei is None and c.use_grobid else tei
+            html = inputs.fetch(papers, fulltext.html_request) if html is None and c.prefer_html else html
+        texts = fulltext.full_texts(papers, self.config, tei, html)
         hashed = materialize(texts.withColumn("section_hash", F.sha1(X.full_text("sections"))))
         todo = papers.join(filters.unchanged(papers, self.store.read("extractions"), hashed).select("arxiv_id"), "arxiv_id", "left_anti")
         rows = hashed.join(todo.select("arxiv_id"), "arxiv_id", "left_semi").select("arxiv_id", F.posexplode("sections").alias("pos", "s")).select("arxiv_id", "pos", "s.*")
@@ -134,8 +147,9 @@ class Pipeline:
         self.store.insert_new("dependencies", edges)
         done = ready.join(items.select(F.col("paper_id").alias("arxiv_id")).distinct(), "arxiv_id", "left_semi")
         self.store.upsert("papers", done.withColumn("status", F.lit(schemas.SCORED)).select(*schemas.PAPERS.names), keep=("created_at",))
+        counts = self.store.read("backlog").agg(F.count("*").alias("n"), F.count_if("foundational").alias("f")).first()
         n = items.count()
-        self.store.log("score", {"created": n, "missing_extraction": missing.count()}, self.now)
+        self.store.log("score", {"created": n, "backlog_size": counts["n"], "foundational": counts["f"], "missing_extraction": missing.count()}, self.now)
         return n
 
     # -------------------------------------------------------------- 5
@@ -169,6 +183,27 @@ def plan(pipeline: Pipeline, inputs: Inputs, stages: tuple[str, ...] = ("filter"
     return "ready", None
 
 
+def backfill(store: Store) -> int:
+    """Fill the body fields of items that only have a one-piece description; how many changed."""
+    items = store.read("backlog")
+    new = materialize(filters.digest_view(items).select(*items.columns))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    changed = items.where((blank("contributions") | blank("applicability")) & ~blank("description")).count()
+    if changed:
+        store.replace("backlog", new)
+    return changed
+
+
+def publish(config: Config, folder: str) -> list[str]:
+    """Copies of the delivered files in ``folder``, those that are there."""
+    out, to = Path(config.delivery.output_dir), Path(folder)
+    to.mkdir(parents=True, exist_ok=True)
+    found = [f for f in ("backlog.md", "digest.md", "digest.html") if (out / f).exists()]
+    for f in found:
+        (to / f).write_bytes((out / f).read_bytes())
+    return found
+
+
 def copy_store(store: Store, path: str) -> Store:
     scratch = Store(store.spark, path, store.tables, store.keys)
     for name in store.tables:

@@ -110,12 +110,13 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        """One per category: pages of one query must come in order."""
-        return [InputPartition(q.strip()) for q in self.options.get("categories", "cs.LG").split(",") if q.strip()]
+        """One: pages of one query over all categories must come in order, and one limit holds for all."""
+        names = [q.strip() for q in self.options.get("categories", "").split(",") if q.strip()]
+        return [InputPartition(X.category_query(names))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         since = _utc(self.options.get("since"))
-        yield from harvest(f"cat:{partition.value}", since, int(self.options.get("maxresults", 200)), int(self.options.get("pagesize", 100)))
+        yield from harvest(partition.value, since, int(self.options.get("maxresults", 200)), int(self.options.get("pagesize", 100)), HttpClient(timeout=float(self.options.get("timeout", 30))))
 
 
 class PreprintSource(DataSource):

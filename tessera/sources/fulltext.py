@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.config import Config
+from tessera.sources.http import HttpClient
 from tessera.sources.html import html_sections, sections, tei_sections
 
 
@@ -17,6 +18,29 @@ def html_urls(paper_id: str) -> list[str]:
     return [f"https://arxiv.org/html/{paper_id}", f"https://ar5iv.labs.arxiv.org/html/{paper_id}", f"https://ar5iv.org/abs/{paper_id}"]
 
 
+def html_request(http: HttpClient, row: dict) -> str | None:
+    """The first of the pages that answers and has sections."""
+    for url in html_urls(row["arxiv_id"]):
+        try:
+            body = http.get_text(url)
+        except OSError:
+            continue
+        if html_sections(body):
+            return body
+    return None
+
+
+def tei_request(service: str):
+    """A request that has a PDF service read the paper's PDF."""
+
+    def request(http: HttpClient, row: dict) -> str | None:
+        pdf = http.get_bytes(row.get("pdf_url") or f"https://arxiv.org/pdf/{row['arxiv_id']}")
+        body = http.post_file(f"{service.rstrip('/')}/api/processFulltextDocument", "input", pdf)
+        return body.decode("utf-8", "replace") if tei_sections(body.decode("utf-8", "replace")) else None
+
+    return request
+
+
 def full_texts(papers: DataFrame, config: Config, tei: DataFrame | None = None, html: DataFrame | None = None) -> DataFrame:
     """``arxiv_id, sections, source``.  ``tei`` and ``html`` hold ``arxiv_id, body``.
 

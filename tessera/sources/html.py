@@ -20,70 +20,65 @@ BREAKS = frozenset(
 )
 
 
-def _tidy(parts: list[str]) -> str:
-    return " ".join("".join(parts).split())
+#: Marks in a list of pieces: where a heading begins, and where one ends.
+BEGIN, END = object(), object()
 
 
-class _Reader(HTMLParser):
-    """One list of text pieces is open at a time: a heading's or a body's."""
+def _tidy(pieces: list) -> str:
+    return " ".join("".join(x for x in pieces if isinstance(x, str)).split())
+
+
+class _Events(HTMLParser):
+    """What a document says, as events ``(kind, text or tag)``; kinds are ``say``, ``open``, ``close``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str]] = []
-        self.title, self.body, self.heading, self.muted = "", [], None, 0
-
-    def end_section(self) -> None:
-        text = _tidy(self.body)
-        if self.title or text:
-            self.found.append((self.title, text))
-        self.title, self.body = "", []
-
-    def add(self, text: str) -> None:
-        if not self.muted:
-            (self.body if self.heading is None else self.heading).append(text)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SILENT:
-            self.muted += 1
-        elif self.muted:
-            pass
-        elif tag in HEADINGS:
-            self.end_section()
-            self.heading = []
-        elif tag in BREAKS:
-            self.add(" ")
+        self.all: list[tuple[str, str]] = []
+        self.handle_starttag = lambda tag, attrs: self.all.append(("open", tag))
+        self.handle_endtag = lambda tag: self.all.append(("close", tag))
+        self.handle_data = lambda data: self.all.append(("say", data))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag not in SILENT:
-            self.handle_starttag(tag, attrs)
-            self.handle_endtag(tag)
+        self.all += [] if tag in SILENT else [("open", tag), ("close", tag)]
+
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT:
-            self.muted = max(0, self.muted - 1)
-        elif self.muted:
-            pass
-        elif tag in HEADINGS and self.heading is not None:
-            self.title, self.heading = _tidy(self.heading), None
-        elif tag in BREAKS:
-            self.add(" ")
+def _audible(events: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
+    """The events outside silent elements; a closing tag without its opening one silences nothing."""
+    depth = 0
+    for kind, what in events:
+        if kind != "say" and what in SILENT:
+            depth = max(0, depth + (1 if kind == "open" else -1))
+        elif not depth:
+            yield kind, what
 
-    def handle_data(self, data: str) -> None:
-        self.add(data)
+
+def _cut(pieces: list, mark: object) -> list[list]:
+    """The pieces before, between and behind all places of a mark."""
+    at = [-1, *(k for k, x in enumerate(pieces) if x is mark), len(pieces)]
+    return [pieces[a + 1 : b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def html_sections(html: str | None) -> list[tuple[str, str]]:
-    """``(title, text)`` by h1 to h3; text before the first heading is a section without title."""
-    if not html:
-        return []
-    reader = _Reader()
+    """``(title, text)`` by h1 to h3; text before the first heading is a section without title.
+
+    The text becomes one list of pieces in which headings are marked; cut before each
+    heading, every part but the first is a title, an end mark and a body.  A heading that
+    another one or the end of the document interrupts is lost."""
+    reader = _Events()
     try:
-        reader.feed(html)
+        reader.feed(html or "")
         reader.close()
     except (AssertionError, ValueError):
         pass  # what was read up to here stands
-    reader.end_section()
-    return reader.found
+    heading = {"open": BEGIN, "close": END}
+    pieces = [what if kind == "say" else heading[kind] if what in HEADINGS else " " for kind, what in _audible(reader.all) if kind == "say" or what in HEADINGS or what in BREAKS]
+    first, *rest = _cut(pieces, BEGIN)
+    found = [("", _tidy(first))]
+    for part in rest:
+        title, *bodies = _cut(part, END)
+        if bodies:
+            found.append((_tidy(title), _tidy(sum(bodies, []))))
+    return [s for s in found if any(s)]
 
 
 def tei_sections(xml: str | None) -> list[tuple[str, str]]:

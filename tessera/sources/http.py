@@ -7,6 +7,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -48,6 +49,12 @@ class HttpClient:
     def post(self, url: str, data: Any, params: dict | None = None, headers: dict[str, str] | None = None) -> bytes:
         return self._send(url, params, json.dumps(data).encode(), {"Content-Type": "application/json", **(headers or {})})
 
+    def post_file(self, url: str, field: str, data: bytes) -> bytes:
+        """One file as a form."""
+        mark = uuid.uuid4().hex
+        head = f'--{mark}\r\nContent-Disposition: form-data; name="{field}"; filename="{field}"\r\nContent-Type: application/octet-stream\r\n\r\n'
+        return self._send(url, None, head.encode() + data + f"\r\n--{mark}--\r\n".encode(), {"Content-Type": f"multipart/form-data; boundary={mark}"})
+
     def alive(self, url: str) -> bool:
         """Whether a service answers at all."""
         try:

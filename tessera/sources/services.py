@@ -6,9 +6,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.functions import text as X
 from tessera.sources.http import HttpClient
 
@@ -87,6 +88,13 @@ def open_request(http: HttpClient, row: dict) -> str | None:
     return None
 
 
+def recommended(spark: SparkSession, found: list[tuple[str, str]]) -> DataFrame:
+    """Stub papers, SEEN, of recommended ids and titles; an id that comes twice is one."""
+    rows = spark.createDataFrame(found, "url string, title string").dropDuplicates(["url"])
+    id_, version = X.id_and_version("url")
+    return rows.select(id_.alias("arxiv_id"), version.alias("version"), X.collapse("title").alias("title"), F.lit("").alias("abstract"), F.lit(schemas.SEEN).alias("status"))
+
+
 def recommendations(http: HttpClient, seeds: list[str], limit: int = 40) -> list[tuple[str, str]]:
     """``(id, title)`` of papers that a service recommends from the seeds; nothing on failure."""
     if not seeds:

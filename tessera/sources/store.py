@@ -19,9 +19,11 @@ from tessera import schemas
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder for intermediate tables, ``spark.checkpoint.dir``; on a local master a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -86,12 +88,17 @@ class Store:
         self.replace(name, merged(self.read(name), rows, self.keys[name], keep))
 
     def insert_new(self, name: str, rows: DataFrame) -> None:
-        """Add rows whose key is not there yet."""
+        """Add rows whose key is not there yet; what is there stays where it lies."""
         old, keys = self.read(name), self.keys[name]
-        self.replace(name, old.unionByName(rows.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns)))
+        self.append(name, rows.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, self.read(name).unionByName(rows.select(*self.tables[name].names)))
+        """Add files to the newest version; a lost job adds none."""
+        versions = self._versions(name)
+        if not versions:
+            return self.replace(name, rows)
+        fields = self.tables[name].fields
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.mode("append").parquet(f"{self.path}/{name}/v{versions[-1]:08d}")
 
     def set_status(self, keys: DataFrame, status: str) -> None:
         """Set the status of the papers in ``keys``; a key that is not there is an error."""

@@ -7,6 +7,7 @@ the effect of one."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,22 @@ from tessera.sources.store import Store, materialize
 CURSOR = "last_harvest"
 
 
+def cursor_of(state: str | None) -> datetime | None:
+    """The cursor's time; a value without a zone is in UTC."""
+    if not state:
+        return None
+    at = datetime.fromisoformat(state)
+    return at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
+
+
+def _micros(at: datetime) -> int:
+    return (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+
+
 def take(store: Store, batch: DataFrame, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> int:
     """Add the batch's unknown papers, not older than the cursor, as SEEN; then move the cursor."""
-    last = store.get_state(CURSOR)
-    since = F.lit(last).cast("timestamp")
+    last = cursor_of(store.get_state(CURSOR))
+    since = F.timestamp_micros(F.lit(_micros(last))) if last else F.lit(None).cast("timestamp")
     fresh = prepare(new_rows(batch.where(filters.since(F.col("published"), since)), store.read("papers")))
     fresh = fresh.withColumn("status", F.lit(schemas.SEEN))
     missing = [f for f in schemas.PAPERS.fields if f.name not in fresh.columns]
@@ -32,9 +45,9 @@ def take(store: Store, batch: DataFrame, prepare: Callable[[DataFrame], DataFram
     n = fresh.count()
     if n:
         store.upsert("papers", fresh, keep=("created_at",))
-    newest = batch.agg(F.max("published").cast("string")).first()[0]
-    if newest and (last is None or newest > last):
-        store.put_state(CURSOR, newest)
+    newest = batch.agg(F.unix_micros(F.max("published"))).first()[0]
+    if newest is not None and (last is None or newest > _micros(last)):
+        store.put_state(CURSOR, (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=newest)).isoformat())
     return n
 
 
