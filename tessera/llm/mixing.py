@@ -214,13 +214,23 @@ def _times(sized: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("nr", nr).withColumn("times", (F.col("passes") + more).cast("long"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """``doc_id, mix_size, mix_source_size, mix_target, mix_times`` of every row: it is to be taken ``mix_times`` times.
-
-    The texts are read once; all later steps work on four numbers a row."""
-    sized = stored(_sized(docs, seed, F.col("doc_id")), "sizes")
-    plan = _times(sized, _limits(sized, weights, repeats))
-    return plan.select("doc_id", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("times").alias("mix_times"))
+#: Columns that ``mix_plan`` adds.
+PLANNED = ("mix_size", "mix_source_size", "mix_target", "mix_times")
+
+
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Every row of ``docs`` with ``mix_size, mix_source_size, mix_target, mix_times``: it is to be taken ``mix_times`` times.
+
+    Input columns of these four names give way.  With ``columns``, only those are
+    returned beside them, and kept with the sizes: the texts are then read once, and
+    all later steps work on what is named and four numbers a row."""
+    names = [c for c in (docs.columns if columns is None else columns) if c not in PLANNED]
+    own = [F.col(f"`{c}`").alias(f"_c_{c}") for c in names]
+    sized = stored(_sized(docs, seed, *(own if columns is not None else ())), "sizes")
+    limits = _limits(sized, weights, repeats)
+    plan = _times(sized if columns is not None else _sized(docs, seed, *own), limits)
+    values = (F.col(x).alias(y) for x, y in zip(("size", "source_size", "target", "times"), PLANNED, strict=True))
+    return plan.select(*[F.col(f"`_c_{c}`").alias(c) for c in names], *values)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:

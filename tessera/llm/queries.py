@@ -54,7 +54,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    plan = mixing.mix_plan(_documents(spark, sf_dir).select("doc_id", "text", "source"), columns=("doc_id",))
     return plan.select(
         "doc_id",
         F.col("mix_size").alias("size"),
