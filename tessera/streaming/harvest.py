@@ -47,7 +47,7 @@ def take(store: Store, batch: DataFrame, prepare: Callable[[DataFrame], DataFram
         store.upsert("papers", fresh, keep=("created_at",))
     newest = batch.agg(F.unix_micros(F.max("published"))).first()[0]
     if newest is not None and (last is None or newest > _micros(last)):
-        store.put_state(CURSOR, (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=newest)).isoformat())
+        store.put_state(CURSOR, (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=newest)).isoformat(" "))
     return n
 
 
