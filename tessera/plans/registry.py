@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from tessera.functions import vectors as V
 from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, rank, recorded, relevance, score
 from tessera.plans import render
 from tessera.plans.standin import CONFIG, GATE, NOW, PAPERS_SQL, SEED_LABEL, papers, table, typed_papers
+from tessera.sources import jsonl, store
 from tessera.sources.html import sections as parse_sections
 from tessera.sources.store import merged, materialize
 from tessera.streaming import harvest
@@ -89,20 +91,23 @@ def flt_incremental_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(filters.since(F.col("published"), F.lit("1995-06-01").cast("timestamp"))).select("doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(substr(text, 1, 40)), 'the') OR contains(lower(substr(text, 1, 40)), 'und') THEN TRUE ELSE FALSE END AS is_limitation FROM documents")
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'limit') OR contains(lower(text), 'und') THEN TRUE ELSE FALSE END AS is_limitation FROM documents")
 def flt_limitation_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", filters.is_limitation(F.substring("text", 1, 40), ("the", "und")).alias("is_limitation"))
+    return table(spark, sf_dir, "documents").select("doc_id", filters.is_limitation(F.col("text"), ("limit", "und")).alias("is_limitation"))
 
 
+# A description of two parts: the first and the second half of a text's words.
 _DESCRIBED = """
-d AS (SELECT doc_id, trim(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 60)) AS a, trim(substr(regexp_replace(text, '\\s+', ' ', 'g'), 61, 60)) AS b FROM documents)
+w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[^!-~]+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT doc_id, array_to_string(w[1:len(w) // 2], ' ') AS a, array_to_string(w[len(w) // 2 + 1:len(w)], ' ') AS b FROM w WHERE len(w) > 1)
 """
 
 
-@query(rf"WITH {_DESCRIBED} SELECT doc_id, a AS contributions, b AS applicability FROM d WHERE a <> '' AND b <> ''")
+@query(f"WITH {_DESCRIBED} SELECT doc_id, a AS contributions, b AS applicability FROM d")
 def flt_digest_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = F.regexp_replace("text", r"\s+", " ")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.substring(flat, 1, 60)).alias("a"), F.trim(F.substring(flat, 61, 60)).alias("b")).where("a <> '' AND b <> ''")
+    w, half = F.col("w"), F.floor(F.size("w") / 2).cast("int")
+    split = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), "[^!-~]+"), lambda x: x != "").alias("w")).where(F.size("w") > 1)
+    d = split.select("doc_id", F.array_join(F.slice(w, F.lit(1), half), " ").alias("a"), F.array_join(F.slice(w, half + 1, F.size(w)), " ").alias("b"))
     old = d.select(
         "doc_id", F.concat(F.lit("Headline results: "), F.col("a"), F.lit("\n\nApplicability to our problem: "), F.col("b")).alias("description"),
         F.lit("").alias("contributions"), F.lit("  ").alias("applicability"), F.lit(None).cast("string").alias("reviewer_notes"),
@@ -161,9 +166,58 @@ def batch_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorded.pending(reqs, answers).select("key")
 
 
+@query(
+    """SELECT CAST(d.doc_id AS VARCHAR) AS arxiv_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'ready' END AS part
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id WHERE d.lang <> 'en'"""
+)
+def jn_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), F.when(F.col("lang") != "en", schemas.EXTRACTED).otherwise(schemas.PARSED).alias("status"))
+    e = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("paper_id")).distinct()
+    ready, missing = joins.extracted(p, e)
+    return ready.select("arxiv_id", F.lit("ready").alias("part")).unionByName(missing.select("arxiv_id", F.lit("missing").alias("part")))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS arxiv_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def jn_not_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"))
+    items = table(spark, sf_dir, "labels").select(F.concat(F.col("doc_id").cast("string"), F.when(F.col("quality") == 1, "#1").otherwise("#2")).alias("id"))
+    return joins.not_scored(p, items)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS arxiv_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic <> 1)")
+def jn_live_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"))
+    items = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("paper_id"), F.when(F.col("toxic") == 1, schemas.ARCHIVED).otherwise(schemas.NEW).alias("status"))
+    return joins.with_live_items(p, items)
+
+
+@query(
+    f"""WITH {PAPERS_SQL}, f AS (SELECT doc_id, quality, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'en' END AS word FROM labels)
+SELECT p.doc_id, 'W' || f.doc_id AS openalex_id, coalesce(p.citations, CAST(f.quality + 7 AS INT)) AS citation_count, CASE WHEN f.word IS NULL OR f.word = p.lang THEN p.lang ELSE p.lang || ';' || f.word END AS fields,
+       CASE WHEN f.quality = 1 THEN 'true' WHEN f.quality IS NOT NULL THEN 'false' END AS open_access FROM papers p LEFT JOIN f ON f.doc_id = p.doc_id"""
+)
+def jn_enrich_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = papers(spark, sf_dir).select("doc_id", F.lit(None).cast("string").alias("openalex_id"), F.col("citations").alias("citation_count"), F.array("lang").alias("fields_of_study"), F.lit(None).cast("map<string,string>").alias("extra"))
+    found = table(spark, sf_dir, "labels").select(
+        "doc_id", F.concat(F.lit("W"), F.col("doc_id").cast("string")).alias("openalex_id"), (F.col("quality") + 7).cast("int").alias("cited_by_count"),
+        F.array(F.when(F.col("toxic") == 1, "toxic").otherwise("en")).alias("labels"), (F.col("quality") == 1).alias("is_oa"),
+    )
+    out = joins.enrich_open(p, found, "doc_id")
+    return out.select("doc_id", "openalex_id", "citation_count", F.array_join("fields_of_study", ";").alias("fields"), F.col("extra")["open_access"].alias("open_access"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS arxiv_id FROM documents WHERE lang <> 'en' AND n_chars >= 500 AND text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)")
+def flt_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "lang", "n_chars", F.sha1("text").alias("section_hash"))
+    p = docs.select("arxiv_id", F.when(F.col("lang") != "en", schemas.EXTRACTED).otherwise(schemas.PARSED).alias("status"), "section_hash")
+    now = docs.select("arxiv_id", F.when(F.col("n_chars") >= 500, F.col("section_hash")).otherwise("changed").alias("section_hash"))
+    return filters.unchanged(p, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("paper_id")), now).select("arxiv_id")
+
+
 # ------------------------------------------------------------------ aggregates
 
 
+
 @query(
     f"""WITH {PAPERS_SQL}, {_PREFILTER}, s AS (SELECT CASE WHEN passed THEN 'RELEVANT' WHEN len(exc) > 0 THEN 'IRRELEVANT' ELSE 'SEEN' END AS status FROM pre),
 v AS (SELECT unnest(['SEEN', 'RELEVANT', 'IRRELEVANT', 'PARSED', 'EXTRACTED', 'SCORED', 'ARCHIVED']) AS status)
@@ -319,6 +373,27 @@ def digest_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.new_in_window(_items(spark, sf_dir), _now(), 90).select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
+@query(f"WITH {PAPERS_SQL}, {_ITEMS} SELECT count(*) AS created, count(*) FILTER (WHERE status <> 'ARCHIVED') AS backlog, count(*) FILTER (WHERE foundational) AS foundational FROM it")
+def agg_score_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.stage_counters(_items(spark, sf_dir), created=F.lit(True), backlog=F.col("status") != schemas.ARCHIVED, foundational=F.col("foundational"))
+
+
+@query(f"WITH {PAPERS_SQL}, {_ITEMS} SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS place FROM it WHERE status <> 'ARCHIVED'")
+def rnk_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.global_rank(filters.live(_items(spark, sf_dir)), [F.desc("score"), F.asc("id")], "place").select("id", "place")
+
+
+@query(
+    f"""WITH {PAPERS_SQL}, {_ITEMS}, a AS (SELECT * FROM it WHERE status <> 'ARCHIVED'),
+l AS (SELECT id FROM a WHERE foundational ORDER BY score DESC, id LIMIT 5),
+m AS (SELECT a.id, a.score, CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS lane FROM a LEFT JOIN l ON l.id = a.id),
+t AS (SELECT id, score FROM m ORDER BY lane DESC, score DESC, id LIMIT 25)
+SELECT id, score FROM t ORDER BY score DESC, id LIMIT 10"""
+)
+def rnk_digest_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.select_top(_items(spark, sf_dir), CONFIG).orderBy(F.desc("score"), "id").limit(10).select("id", "score")
+
+
 # ------------------------------------------------------------------ sets
 
 
@@ -385,9 +460,50 @@ def scl_age_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).select("doc_id", S.age_days(F.col("published"), _now()).alias("age"))
 
 
+@query(f"WITH {PAPERS_SQL} SELECT doc_id, trim(coalesce(title, '') || ' [SEP] ' || coalesce(abstract, '')) AS said FROM papers")
+def scl_title_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers(spark, sf_dir).select("doc_id", X.title_and_abstract("title", "abstract").alias("said"))
+
+
+@query(f"WITH {PAPERS_SQL} SELECT doc_id, coalesce(array_to_string({_TOKENS.format('title')}, ' '), '') AS words, coalesce(regexp_extract(lower(coalesce(title, '')), '[a-z0-9]+'), '') AS block FROM papers")
+def scl_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers(spark, sf_dir).select("doc_id", X.title_words("title").alias("words"), X.block_key("title").alias("block"))
+
+
+@query("SELECT doc_id, trim(replace(replace(text, '|', '\\|'), chr(10), ' ')) AS cell, '[' || doc_id || '](https://arxiv.org/abs/' || doc_id || ')' AS link FROM documents")
+def scl_cell_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.cell("text").alias("cell"), X.paper_link(F.col("doc_id").cast("string")).alias("link"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE 'CorpusId:' || n_chars END AS reference, CASE WHEN lang = 'en' THEN 'ARXIV:' || doc_id ELSE 'CorpusId:' || doc_id END AS seed FROM documents")
+def scl_external_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    en, id_ = F.col("lang") == "en", F.col("doc_id").cast("string")
+    ids = F.struct(F.when(en, F.col("source")).otherwise("").alias("ArXiv"), F.col("n_chars").cast("string").alias("CorpusId"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), F.when(en, id_).otherwise(F.concat(F.lit("CorpusId:"), id_)).alias("seed"))
+    return rows.select("doc_id", X.reference_id(F.col("ids")).alias("reference"), X.seed_id("seed").alias("seed"))
+
+
+@query(
+    """SELECT o_orderkey, epoch_us(CASE o_orderpriority WHEN '1-URGENT' THEN NULL WHEN '2-HIGH' THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 7 HOUR ELSE CAST(o_orderdate AS TIMESTAMP) + INTERVAL 9 HOUR END) AS micros FROM orders"""
+)
+def scl_utc_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, urgency = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"), F.col("o_orderpriority")
+    said = F.when(urgency == "1-URGENT", "soon").when(urgency == "2-HIGH", F.concat(day, F.lit("T09:00:00+02:00"))).when(urgency == "5-LOW", F.concat(day, F.lit("T09:00:00Z"))).otherwise(F.concat(day, F.lit("T09:00:00")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(X.utc_timestamp(said)).alias("micros"))
+
+
 # ------------------------------------------------------------------ text
 
 
+@query(
+    r"""WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations)
+SELECT conv_id, turn, CAST(ceil(len(w) / 40.0) AS BIGINT) AS n, md5(array_to_string(list_transform(range(0, CAST(ceil(len(w) / 40.0) AS BIGINT)), lambda i: array_to_string(w[i * 40 + 1:i * 40 + 40], ' ')), '|')) AS digest FROM t"""
+)
+def txt_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = table(spark, sf_dir, "conversations").select("conv_id", "turn", chunking.split_words(X.words("text"), 40).alias("cut"))
+    return cut.select("conv_id", "turn", F.size("cut").cast("long").alias("n"), F.md5(F.array_join(F.transform("cut", lambda p: F.array_join(p, " ")), "|")).alias("digest"))
+
+
 @query(f"SELECT doc_id, len({_TOKENS.format('text')}) AS n, md5(array_to_string({_TOKENS.format('text')}, ' ')) AS digest FROM documents")
 def txt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.tokens("text")
@@ -470,14 +586,14 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {PAPERS_SQL}, {_DOI}, t AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY title) AS root FROM papers WHERE length(title) > 20),
+    f"""WITH RECURSIVE {PAPERS_SQL}, {_DOI}, t AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY title) AS root FROM papers WHERE title <> ''),
 e AS (SELECT doc_id AS u, root AS v FROM g WHERE doc_id <> root UNION SELECT doc_id, root FROM t WHERE doc_id <> root),
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node)
 SELECT node, min(root) AS root FROM r GROUP BY node"""
 )
 def dedup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = materialize(papers(spark, sf_dir).select("doc_id", "doi", F.when(F.length("title") > 20, F.col("title")).alias("title")))
+    p = materialize(papers(spark, sf_dir).select("doc_id", "doi", F.nullif("title", F.lit("")).alias("title")))
     # titles are compared as they are here, and key_edges lowers its keys, hence the digest
     edges = dedup.key_edges(p, F.col("doi"), "doc_id").unionByName(dedup.key_edges(p, F.md5("title"), "doc_id"))
     return graph.components(edges)
@@ -583,6 +699,15 @@ def score_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.backlog_items(out, _now(), both).select("id", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"""WITH {PAPERS_SQL}, {_EXTRACTED} SELECT doc_id, CASE WHEN results <> '' THEN 'Headline results: ' || results ELSE '' END AS contributions,
+       concat_ws(chr(10) || chr(10), CASE WHEN results <> '' THEN 'Headline results: ' || results END, CASE WHEN use IS NOT NULL THEN 'Applicability to our problem: ' || use END) AS description FROM v"""
+)
+def score_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("extraction")
+    return _extracted(spark, sf_dir).select("doc_id", score.contributions(e).alias("contributions"), score.description(e).alias("description"))
+
+
 # ------------------------------------------------------------------ cascade, rendering, state
 
 _JUDGED = "CASE WHEN l.quality = 1 THEN 0.9 WHEN l.quality = 0 THEN 0.1 ELSE (p.doc_id % 10) / 10.0 END"
@@ -591,7 +716,7 @@ _JUDGED = "CASE WHEN l.quality = 1 THEN 0.9 WHEN l.quality = 0 THEN 0.1 ELSE (p.
 @query(
     f"""WITH {PAPERS_SQL}, {_PREFILTER}, {_SIM},
 a AS (SELECT pre.doc_id, pre.published, CASE WHEN NOT passed THEN 'IRRELEVANT' WHEN coalesce(sim, 0) < {GATE} THEN 'IRRELEVANT' END AS status,
-             CASE WHEN NOT passed THEN 'KEYWORD' WHEN coalesce(sim, 0) < {GATE} THEN 'EMBEDDING' END AS method, coalesce(sim, 0) AS sim FROM pre LEFT JOIN s ON s.vec_id = pre.doc_id % 500),
+             CASE WHEN NOT passed THEN 'KEYWORD' WHEN coalesce(sim, 0) < {GATE} THEN 'EMBEDDING' END AS method, coalesce(sim, 0) AS sim FROM pre LEFT JOIN s ON s.vec_id = pre.doc_id),
 o AS (SELECT *, row_number() OVER (PARTITION BY status IS NULL ORDER BY sim DESC, published DESC NULLS LAST, CAST(doc_id AS VARCHAR)) - 1 AS place FROM a)
 SELECT p.doc_id, CASE WHEN p.status IS NOT NULL THEN p.status WHEN place < 60 THEN CASE WHEN {_JUDGED} >= 0.5 THEN 'RELEVANT' ELSE 'IRRELEVANT' END ELSE 'RELEVANT' END AS status,
        CASE WHEN p.method IS NOT NULL THEN p.method WHEN place < 60 THEN 'LLM' ELSE 'EMBEDDING' END AS method FROM o p LEFT JOIN labels l ON l.doc_id = p.doc_id"""
@@ -599,7 +724,7 @@ SELECT p.doc_id, CASE WHEN p.status IS NOT NULL THEN p.status WHEN place < 60 TH
 def cascade_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     p = typed_papers(spark, sf_dir)
-    with_vectors = p.join(e.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector")), F.col("doc_id") % 500 == F.col("_v"), "left").drop("_v")
+    with_vectors = p.join(e.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector")), F.col("doc_id") == F.col("_v"), "left").drop("_v")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_l"), "quality")
     told = F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.1).otherwise(F.col("doc_id") % 10 / 10)
     judged = p.join(labels, F.col("doc_id") == F.col("_l"), "left").select("arxiv_id", told.alias("score"), F.lit("recorded").alias("rationale"))
@@ -626,12 +751,127 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(half(0), half(1), ["user_id"], keep=("created_at",))
 
 
-@query("SELECT event_id, ts, user_id, event_type FROM events")
-def stream_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
+# ------------------------------------------------------------------ the store, the cursor and the model boundary
+
+
+def _store(spark: SparkSession, name: str) -> store.Store:
+    """A store of its own in the shared folder."""
+    return store.Store(spark, f"{store.scratch(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def _typed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` under the schema of a table; columns that it lacks are null."""
+    fields = schemas.TABLES[name].fields
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def _day(text: str):
+    return F.lit(text).cast("timestamp")
+
+
+@query(
+    f"""SELECT CAST(vec_id AS VARCHAR) AS paper_id, CASE WHEN label = {SEED_LABEL} THEN 'second' ELSE 'first' END AS model, CAST(CASE WHEN label = {SEED_LABEL} THEN 2 ELSE len(embedding) END AS INT) AS dim FROM embeddings"""
+)
+def store_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, e = _store(spark, "embeddings"), table(spark, sf_dir, "embeddings")
+    id_ = F.col("vec_id").cast("string").alias("paper_id")
+    own.upsert("embeddings", e.select(id_, F.lit("first").alias("model"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector")))
+    again = e.where(F.col("label") == SEED_LABEL).select(id_, F.lit("second").alias("model"), F.lit(2).alias("dim"), F.slice("embedding", 1, 2).alias("vector"))
+    own.upsert("embeddings", again)
+    return own.read("embeddings").select("paper_id", "model", "dim")
+
+
+@query(
+    """SELECT CAST(d.doc_id AS VARCHAR) AS paper_id, CASE WHEN l.doc_id IS NULL THEN 'a' ELSE 'b' END AS model, epoch_us(CASE WHEN l.doc_id IS NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END) AS created
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id"""
+)
+def store_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _store(spark, "extractions")
+    rows = lambda name, model, at: _typed(table(spark, sf_dir, name).select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(model).alias("model"), _day(at).alias("created_at")).distinct(), "extractions")
+    own.upsert("extractions", rows("documents", "a", "2024-01-01T00:00:00Z"))
+    own.upsert("extractions", rows("labels", "b", "2024-02-01T00:00:00Z").join(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id")), "paper_id", "left_semi"))
+    return own.read("extractions").select("paper_id", "model", F.unix_micros("created_at").alias("created"))
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) || '#1' AS id, CAST(CASE WHEN o_orderstatus = 'F' THEN 0.75 ELSE 0.5 END AS DOUBLE) AS score, epoch_us(TIMESTAMP '2024-01-01') AS created FROM orders"""
+)
+def store_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, orders = _store(spark, "backlog"), table(spark, sf_dir, "orders")
+    rows = lambda df, score_, at: _typed(df.select(F.concat(F.col("o_orderkey").cast("string"), F.lit("#1")).alias("id"), F.lit(score_).alias("score"), _day(at).alias("created_at")), "backlog")
+    own.upsert("backlog", rows(orders, 0.5, "2024-01-01T00:00:00Z"), keep=("created_at",))
+    own.upsert("backlog", rows(orders.where("o_orderstatus = 'F'"), 0.75, "2024-02-01T00:00:00Z"), keep=("created_at",))
+    return own.read("backlog").select("id", "score", F.unix_micros("created_at").alias("created"))
+
+
+@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS src, CAST(l_partkey AS VARCHAR) AS dst, 'citation' AS source FROM lineitem")
+def store_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, lines = _store(spark, "edges"), table(spark, sf_dir, "lineitem")
+    edges = lambda df: df.select(F.col("l_orderkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst"), F.lit("citation").alias("source"), F.col("l_orderkey").cast("string").alias("paper_id"))
+    own.insert_new("dependencies", edges(lines.where("l_returnflag = 'R'")))
+    own.insert_new("dependencies", edges(lines))
+    return own.read("dependencies").select("src", "dst", "source")
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'ARCHIVED' ELSE 'SEEN' END AS status FROM documents"""
+)
+def store_set_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _store(spark, "status")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("arxiv_id"), F.lit(schemas.SEEN).alias("status"))
+    own.upsert("papers", _typed(docs, "papers"))
+    own.set_status(docs.join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select("arxiv_id"), schemas.ARCHIVED)
+    return own.read("papers").select("arxiv_id", "status")
+
+
+@query("SELECT 'source' AS event, '{\"papers\":' || count(*) || '}' AS detail FROM documents UNION ALL SELECT 'filter', '{\"kept\":' || count(*) || ',\"by\":\"labels\"}' FROM labels")
+def store_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _store(spark, "audit")
+    own.log("source", {"papers": table(spark, sf_dir, "documents").count()}, _now())
+    own.log("filter", {"kept": table(spark, sf_dir, "labels").count(), "by": "labels"}, _now())
+    return own.read("audit_log").select("event", "detail")
+
+
+@query(f"WITH {PAPERS_SQL} SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, 'SEEN' AS status FROM papers WHERE published IS NULL OR published >= TIMESTAMP '1995-06-01'")
+def stream_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two harvests: the second brings the undated papers, and others that are older than the cursor by then."""
+    own = _store(spark, "take")
+    p = materialize(typed_papers(spark, sf_dir).drop("doc_id"))
+    harvest.take(own, p.where(F.col("published") >= F.lit("1995-06-01").cast("timestamp")))
+    harvest.take(own, p)
+    return own.read("papers").select("arxiv_id", "status")
+
+
+@query("SELECT 'RelevanceJudgment:' || doc_id AS key, CASE WHEN toxic = 1 THEN 'second' ELSE 'first' END AS said FROM labels")
+def jsonl_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{store.scratch(spark)}/answers-{uuid.uuid4().hex}"
+    labels = table(spark, sf_dir, "labels")
+    told = lambda df, word: df.select(X.request_key(recorded.JUDGEMENT, F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.to_json(F.struct(F.lit(word).alias("rationale"))).alias("payload"))
+    jsonl.append_answers(told(labels, "first"), path)
+    jsonl.append_answers(told(labels.where("toxic = 1"), "second"), path)
+    return jsonl.read_answers(spark, path).select("key", F.get_json_object("payload", "$.rationale").alias("said"))
+
+
+@query("SELECT 'RelevanceJudgment:' || doc_id AS key, 'RelevanceJudgment' AS schema, source || ' ' || lang AS prompt FROM documents")
+def jsonl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{store.scratch(spark)}/requests-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    jsonl.write_requests(recorded.requests(docs, recorded.JUDGEMENT, F.col("doc_id").cast("string"), F.concat_ws(" ", "source", "lang")), path)
+    return jsonl.read_requests(spark, path)
+
+
+@query(
+    """SELECT CAST(l.doc_id AS VARCHAR) AS cache_key, l.toxic = 0 AS is_relevant, CAST(l.quality AS DOUBLE) AS score, '' || l.quality AS rationale FROM labels l WHERE l.doc_id IN (SELECT doc_id FROM documents)"""
+)
+def llm_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reqs = recorded.requests(table(spark, sf_dir, "documents"), recorded.JUDGEMENT, F.col("doc_id").cast("string"), F.lit("?"))
+    said = F.to_json(F.struct((F.col("toxic") == 0).alias("is_relevant"), F.col("quality").cast("double").alias("score"), F.col("quality").cast("string").alias("rationale")))
+    answers = table(spark, sf_dir, "labels").select(X.request_key(recorded.JUDGEMENT, F.col("doc_id").cast("string"), F.lit("")).alias("key"), said.alias("payload"))
+    return recorded.answered(reqs, answers, recorded.JUDGEMENT).select("cache_key", "is_relevant", "score", "rationale")
 
-    from tessera.sources import store
 
+@query("SELECT event_id, ts, user_id, event_type FROM events")
+def stream_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = store.scratch(spark) + f"/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     for k in range(2):  # the second delivery repeats the first

@@ -29,7 +29,7 @@ GATE = 0.05
 
 PAPERS_SQL = """
 papers AS (
-  SELECT d.doc_id, d.text AS abstract, substr(split_part(d.text, chr(10), 1), 1, 200) AS title, d.source, d.lang, md5(d.text) AS doi,
+  SELECT d.doc_id, d.text AS abstract, split_part(d.text, chr(10), 1) AS title, d.source, d.lang, md5(d.text) AS doi,
          o.o_orderdate AS published, c.citations, c.influential, c.refs
   FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id
   LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS INT) AS citations, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS INT) AS influential,
@@ -57,7 +57,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("timestamp").alias("published"))
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("abstract"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 200).alias("title"), "source", "lang", F.md5("text").alias("doi")
+        "doc_id", F.col("text").alias("abstract"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "source", "lang", F.md5("text").alias("doi")
     )
     return docs.join(orders, "doc_id", "left").join(lines, "doc_id", "left")
 
