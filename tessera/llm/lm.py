@@ -11,9 +11,9 @@ and the skip pair of the last and the third last.
 
 Counts cover all training texts: each group of documents names its distinct words
 once, the rows of a word are summed where they meet, and return to their groups;
-no table of all words is ever in one place.  The weights are trained on one in
-``SHARE`` of the training texts, at every size, in ``STEPS`` minibatches, a hash of
-the id deciding which; each task sums the gradient of its tokens in sparse batches, the sums are added
+no table of all words is ever in one place.  The weights are trained on all
+training texts, at every size, in ``STEPS`` minibatches, a hash of the id deciding
+which; each task sums the gradient of its tokens in sparse batches, the sums are added
 by blocks of weights, and the driver moves the weights.  What reaches it or is
 broadcast has the fixed size of the weight tables and of the ``TOP`` list.
 
@@ -43,8 +43,8 @@ TOP, CELLS = CLASSES * OWN, CLASSES * SLOTS
 SHAPES = 30
 #: Rows of a hashed weight table, and features of a history with the bias.
 ROWS, FEATURES = 1 << 14, 6
-#: Minibatches, and of how many training documents one is in any of them.
-STEPS, SHARE = 6, 2
+#: Minibatches; every training document is in one of them.
+STEPS = 6
 #: Bytes of text in one group of documents.
 GROUPED = 24 << 20
 #: Tokens of a batch, of a training task at least, and rows of a block of weights.
@@ -247,8 +247,8 @@ def _batches(docs: DataFrame, model: Model) -> DataFrame:
                     out.append((step, pack(word[some], cell[some], size[own].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["step", "packed"])
 
-    step = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(STEPS * SHARE)).cast("int").alias("step")
-    return docs.where(~F.col("held_out")).select("text", step).where(F.col("step") < STEPS).mapInArrow(encode, "step int, packed binary")
+    step = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(STEPS)).cast("int").alias("step")
+    return docs.where(~F.col("held_out")).select("text", step).mapInArrow(encode, "step int, packed binary")
 
 
 def gradient(words: np.ndarray, cells: np.ndarray, size: np.ndarray, weights: tuple[np.ndarray, np.ndarray], sums: list[list[np.ndarray]]) -> None:
@@ -283,7 +283,7 @@ def train(batches: DataFrame, model: Model, steps: int = STEPS) -> tuple[np.ndar
     classes, slots = model.priors()
     weights = (np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SLOTS), np.float32))
     weights[0][0], weights[1][:CLASSES] = np.log(classes), np.log(slots)
-    parts = max(spark.sparkContext.defaultParallelism, model.tokens // (steps * SHARE * TASK))
+    parts = max(spark.sparkContext.defaultParallelism, model.tokens // (steps * TASK))
     for step in range(steps):
         shared = spark.sparkContext.broadcast(weights)
 
