@@ -43,6 +43,8 @@ MINIMA = BANDS * BAND_ROWS
 SLACK = 0.2
 #: Bytes of sets in one side of a block comparison, and in one stream past a hub.
 BLOCK_BYTES, STREAM_BYTES = 4 << 20, 12 << 20
+#: Parts in which the members of one hub learn how many streams it has.
+SLICES = 64
 _A, _B = odd_numbers(MINIMA, 21), odd_numbers(MINIMA, 22)
 
 
@@ -217,7 +219,10 @@ def _hub_links(stars: DataFrame, sets: DataFrame, n: int, stream: int) -> DataFr
     spread = lambda c, k: F.pmod(F.xxhash64(c), k).cast("int")
     theirs = stars.join(sets.select("node", "n_bytes"), "node")
     streams = theirs.groupBy("hub").agg((F.sum("n_bytes") / stream + 1).cast("int").alias("streams"))
-    members = stars.join(streams, "hub").select("hub", spread(F.col("node"), F.col("streams")).alias("salt"), F.lit(1).alias("place"), "node")
+    # a hub of several streams meets its members by slice, so that no task holds them all
+    hot = streams.where("streams > 1").select("hub", "streams", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    sliced = stars.withColumn("slice", spread(F.col("node"), F.lit(SLICES))).join(hot, ["hub", "slice"], "left")
+    members = sliced.select("hub", spread(F.col("node"), F.coalesce("streams", F.lit(1))).alias("salt"), F.lit(1).alias("place"), "node")
     heads = streams.select("hub", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("salt"), F.lit(0).alias("place"), F.col("hub").alias("node"))
     dealt = members.unionByName(heads).join(sets.select("node", "hashes").hint("merge"), "node").repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "place", "node")
 
