@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, gif, line_dedup, lm, mixing, near_dedup, packing, substring_dedup, toxicity
+from tessera.llm import chat, exact_dedup, gif, importance, line_dedup, lm, mixing, near_dedup, packing, substring_dedup, toxicity
 
 
 def public_tokenizer(name: str = packing.TOKENIZER) -> str:
@@ -112,6 +112,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    return importance.scored(_documents(spark, sf_dir).select("doc_id", "text"), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+v AS (SELECT DISTINCT word, hex(word) AS h FROM w),
+b AS (SELECT word, list_transform(range(1, length(h), 2), lambda x: 16 * (position(h[x] IN '0123456789ABCDEF') - 1) + position(h[x + 1] IN '0123456789ABCDEF') - 1) AS bytes FROM v),
+f AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM b, crc),
+c AS (SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM w JOIN f ON w.word = f.word GROUP BY bucket),
+z AS (SELECT coalesce(sum(s), 0)::BIGINT AS s_all, coalesce(sum(t), 0)::BIGINT AS t_all FROM c),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain FROM c, z),
+m AS (SELECT id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM w JOIN f ON w.word = f.word JOIN g ON f.bucket = g.bucket WHERE side = 0 GROUP BY id),
+h AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+             list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: position(substr(sha256('2024:' || doc_id), i, 1) IN '0123456789abcdef') - 1)), lambda x, y: 16 * x + y) AS h
+      FROM documents LEFT JOIN m ON doc_id = id),
+e AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -124,8 +153,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_gif": op8_gif,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_toxicity": op10_toxicity,
+        "op12_importance": op12_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op12_importance": OP12_SQL}
