@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, gif, importance, line_dedup, lm, mixing, near_dedup, packing, substring_dedup, toxicity
+from tessera.llm import chat, exact_dedup, gif, importance, line_dedup, lm, mixing, near_dedup, packing, simhash, substring_dedup, toxicity
 
 
 def public_tokenizer(name: str = packing.TOKENIZER) -> str:
@@ -141,6 +141,11 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 """
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.similar_groups(_documents(spark, sf_dir).select("doc_id", "text"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -154,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_toxicity": op10_toxicity,
         "op12_importance": op12_importance,
+        "op13_simhash": op13_simhash,
     }
 
 
