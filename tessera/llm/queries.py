@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, gif, importance, line_dedup, lm, mixing, near_dedup, packing, simhash, substring_dedup, toxicity
+from tessera.llm import chat, exact_dedup, gif, importance, line_dedup, lm, mixing, near_dedup, packing, pivots, simhash, substring_dedup, toxicity
 
 
 def public_tokenizer(name: str = packing.TOKENIZER) -> str:
@@ -112,6 +112,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return pivots.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=moved)
+
+
+OP11_SQL = """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
     return importance.scored(_documents(spark, sf_dir).select("doc_id", "text"), target).select("doc_id", "n_features", "weight", "score", "rank")
@@ -158,10 +177,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_gif": op8_gif,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_importance": op12_importance,
         "op13_simhash": op13_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op12_importance": OP12_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_importance": OP12_SQL}
