@@ -1,19 +1,14 @@
-"""Duplicate papers: exact keys, fuzzy titles, clusters and keepers."""
+"""Duplicate papers: exact keys, clusters and keepers; fuzzy titles come from :mod:`titles`."""
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tessera import schemas
-from tessera.functions import text as X
 from tessera.operators import graph
 from tessera.operators.joins import with_live_items
+from tessera.operators.titles import fuzzy_edges
 from tessera.sources.store import materialize
 
 
@@ -25,51 +20,6 @@ def key_edges(papers: DataFrame, key: Column, id_: str = "arxiv_id") -> DataFram
     return keyed.join(least, "k").where("a <> b").select("a", "b")
 
 
-def title_ratio(least: float = 0.0):
-    """A column function of two strings: their Ratcliff/Obershelp similarity, 0 where it is under ``least``.
-
-    It is not symmetric, so the order of the arguments counts.  Two upper bounds, by
-    lengths and by letters, settle most pairs before the costly comparison."""
-
-    @F.pandas_udf(DoubleType())
-    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        m = difflib.SequenceMatcher(None)
-        for x, y in batches:
-            out = []
-            for p, q in zip(x, y, strict=True):
-                if m.b != q:
-                    m.set_seq2(q)
-                m.set_seq1(p)
-                near = m.real_quick_ratio() >= least and m.quick_ratio() >= least
-                out.append(m.ratio() if near else 0.0)
-            yield pd.Series(out, dtype="float64")
-
-    return ratio
-
-
-def fuzzy_pairs(papers: DataFrame, threshold: float, id_: str = "arxiv_id") -> DataFrame:
-    """Pairs that share a first title word, an author and a similar title length.
-
-    A ratio of t needs lengths within a factor of ``(2 - t) / t``, so lengths fall
-    into bands and only neighbouring bands meet; the shared author is part of the
-    equi-join, and the costly ratio comes last."""
-    title = X.title_words("title")
-    authors = F.array_distinct(F.filter(F.transform("authors", lambda a: X.author_key(a)), lambda a: a != ""))
-    step = F.lit((2 - threshold) / threshold)
-    rows = papers.select(F.col(id_).alias("id"), title.alias("t"), X.block_key("title").alias("block"), F.explode(authors).alias("author")).where("t <> ''")
-    rows = rows.withColumn("band", F.floor(F.log(F.length("t").cast("double")) / F.log(step)).cast("int"))
-    right = rows.select(F.col("id").alias("b"), F.col("t").alias("tb"), "block", "author", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    left = rows.select(F.col("id").alias("a"), F.col("t").alias("ta"), "block", "author", "band")
-    la, lb = F.length("ta"), F.length("tb")
-    near = 2 * F.least(la, lb) >= threshold * (la + lb)
-    return left.join(right, ["block", "author", "band"]).where((F.col("a") < F.col("b")) & near).select("a", "b", "ta", "tb").dropDuplicates(["a", "b"])
-
-
-def fuzzy_edges(papers: DataFrame, threshold: float, id_: str = "arxiv_id") -> DataFrame:
-    pairs = materialize(fuzzy_pairs(papers, threshold, id_))  # cheap conditions first
-    return pairs.where(title_ratio(threshold)("ta", "tb") >= threshold).select("a", "b")
-
-
 def clusters(papers: DataFrame, threshold: float, id_: str = "arxiv_id") -> DataFrame:
     """``id_, cluster`` for papers of clusters of two or more."""
     edges = key_edges(papers, F.col("doi"), id_).unionByName(key_edges(papers, F.col("corpus_id"), id_)).unionByName(fuzzy_edges(papers, threshold, id_))

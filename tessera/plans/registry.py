@@ -12,9 +12,9 @@ from tessera import schemas
 from tessera.functions import scalars as S
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, rank, recorded, relevance, score
+from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, rank, recorded, relevance, score, titles
 from tessera.plans import render
-from tessera.plans.standin import CONFIG, GATE, NOW, PAPERS_SQL, SEED_LABEL, papers, table, typed_papers
+from tessera.plans.standin import CONFIG, GATE, NOW, PAPERS_SQL, SEED_LABEL, papers, table, typed_papers, titled
 from tessera.sources import jsonl, store
 from tessera.sources.html import sections as parse_sections
 from tessera.sources.store import merged, materialize
@@ -599,9 +599,20 @@ def dedup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(edges)
 
 
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titled(spark, sf_dir).select("doc_id", "title", F.array("source", "lang").alias("authors"))
+
+
 @query()
 def dedup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.fuzzy_edges(typed_papers(spark, sf_dir), CONFIG.delivery.title_fuzzy_threshold, "doc_id")
+    return titles.fuzzy_pairs(_titled(spark, sf_dir), CONFIG.delivery.title_fuzzy_threshold, "doc_id")
+
+
+@query()
+def dedup_fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least id that links of similar titles reach from each paper that has one."""
+    edges = titles.fuzzy_edges(_titled(spark, sf_dir), CONFIG.delivery.title_fuzzy_threshold, "doc_id")
+    return graph.components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
 
 
 @query(

@@ -49,6 +49,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a paper comes from ``documents`` alone."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("abstract"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "source", "lang", F.md5("text").alias("doi")
+    )
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
         F.sum("l_quantity").cast("int").alias("citations"),
@@ -56,10 +63,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("refs"),
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("timestamp").alias("published"))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("abstract"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "source", "lang", F.md5("text").alias("doi")
-    )
-    return docs.join(orders, "doc_id", "left").join(lines, "doc_id", "left")
+    return titled(spark, sf_dir).join(orders, "doc_id", "left").join(lines, "doc_id", "left")
 
 
 def typed_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
