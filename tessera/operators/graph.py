@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import heapq
-from itertools import count
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.rank import global_rank
 from tessera.sources.store import materialize
 
+#: Beyond any sum along a path: the value of what is in or behind a cycle.
+_LOST = 1 << 60
 MAX_CITATION_EDGES = 50
 
 
@@ -50,49 +51,90 @@ def inside(edges: DataFrame, nodes: DataFrame, id_: str = "id") -> DataFrame:
     return edges.where("src <> dst").join(n.withColumnRenamed(id_, "src"), "src", "left_semi").join(n.withColumnRenamed(id_, "dst"), "dst", "left_semi")
 
 
+def propagate(rows: DataFrame, most: int) -> DataFrame:
+    """``id, value``: the greatest of a node's constants and of ``w`` plus the value of each node ``dst`` that it points to.
+
+    ``rows`` are ``src, dst, w``, with a null ``dst`` for a constant; every node has one.  ``value`` is null in or behind
+    a cycle.  In each round a node takes up the values of settled nodes, and looks through nodes that point to one
+    node only: what these point to takes their place, so paths through them double and a chain takes rounds by the
+    logarithm of its length.  Other nodes take a round for each node on the longest path that is left.  ``most``
+    bounds the sum of ``w`` over a path without cycles; what exceeds it has gone round one."""
+    lost = F.lit(_LOST)
+    state, before, found = materialize(rows.select("src", "dst", F.col("w").cast("long").alias("w"))), None, []
+    while True:
+        constant = F.max(F.when(F.col("dst").isNull(), F.col("w")))
+        info = state.groupBy("src").agg(F.count("dst").alias("k"), constant.alias("c"), F.max("dst").alias("to"), F.max(F.when(F.col("dst").isNotNull(), F.col("w"))).alias("by"))
+        found.append(info.where("k = 0").select(F.col("src").alias("id"), F.col("c").alias("value")))
+        if len(found) == 16:  # keeps the plan short
+            found = [materialize(reduce(DataFrame.unionByName, found))]
+        # a node that points to a settled one only is as good as settled; nothing may be led to a node that leaves now
+        ends = info.where("k = 0").select(F.col("src").alias("to"), F.when(F.col("c") >= lost, lost).otherwise(F.col("c")).alias("end"))
+        seen = info.where("k < 2").join(ends, "to", "left")
+        value = F.when(F.col("end").isNotNull(), F.greatest("c", F.least(F.col("end") + F.col("by"), lost))).otherwise(F.col("c"))
+        seen = seen.select(F.col("src").alias("dst"), F.when(F.col("end").isNotNull(), 0).otherwise(F.col("k")).alias("k"), value.alias("c"), "to", "by")
+        met = state.where("dst is not null").join(seen, "dst", "left")
+        step = lambda dst, w: F.struct(dst.alias("dst"), w.alias("w"))
+        none = F.lit(None).cast(state.schema["dst"].dataType)
+        known = F.when(F.col("c") >= lost, lost).otherwise(F.col("w") + F.col("c"))
+        through = F.when(F.col("k") == 1, step(F.col("to"), F.col("w") + F.col("by"))).when(F.col("k").isNull(), step(F.col("dst"), F.col("w")))
+        steps = F.array_compact(F.array(F.when(F.col("c").isNotNull(), step(none, known)), through))
+        moved = met.select("src", F.explode(steps).alias("x")).select("src", "x.dst", "x.w")
+        round_ = F.col("dst").isNotNull() & (F.col("w") > most)
+        moved = moved.select("src", F.when(~round_, F.col("dst")).alias("dst"), F.when(round_, lost).otherwise(F.col("w")).alias("w"))
+        kept = info.where("k > 0 and c is not null").select("src", none.alias("dst"), F.col("c").alias("w"))
+        state = materialize(moved.unionByName(kept).groupBy("src", "dst").agg(F.max("w").alias("w")))
+        links, *now = state.agg(F.count("dst"), F.count("*"), F.sum(F.xxhash64("src", "dst", "w").cast("decimal(38,0)"))).first()
+        if not links or now == before:
+            break
+        before = now
+    found.append(state.groupBy("src").agg(F.count("dst").alias("k"), F.max("w").alias("value")).select(F.col("src").alias("id"), F.when(F.col("k") == 0, F.col("value")).otherwise(lost).alias("value")))
+    # what was lost on the way, or stands still in a cycle, has the greatest value
+    out = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.max("value").alias("value"))
+    return materialize(out.select("id", F.when(F.col("value") < lost, F.col("value")).alias("value")))
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame, id_: str = "id") -> DataFrame:
     """``id_, level``: 0 without dependencies, else one more than the deepest; null for what is in or behind a cycle.
 
-    Sorting by level gives a valid order of any number of nodes; rounds go on until one adds no level."""
-    links = materialize(inside(edges, nodes, id_).select("src", "dst").distinct())
-    state = materialize(nodes.select(id_).distinct().withColumn("level", F.lit(None).cast("int")))
-    for level in count():
-        open_ = state.where("level is null").select(id_)
-        held = links.join(open_.withColumnRenamed(id_, "dst"), "dst", "left_semi").select(F.col("src").alias(id_), F.lit(True).alias("_held")).distinct()
-        free = F.col("level").isNull() & F.col("_held").isNull()
-        state = materialize(state.join(held, id_, "left").select(id_, F.when(free, level).otherwise(F.col("level")).alias("level")))
-        if not state.where(F.col("level") == level).limit(1).count():
-            break
-    return state
+    Sorting by level gives a valid order of any number of nodes."""
+    one = nodes.select(F.col(id_).alias("src")).distinct()
+    links = inside(edges, nodes, id_).select("src", "dst").distinct().withColumn("w", F.lit(1))
+    rows = one.select("src", F.lit(None).cast(links.schema["dst"].dataType).alias("dst"), F.lit(0).alias("w")).unionByName(links)
+    found = propagate(rows, one.count())
+    return found.select(F.col("id").alias(id_), F.col("value").cast("int").alias("level"))
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame, id_: str = "id", position: str = "position") -> DataFrame:
-    """``id_, place`` in the exact order: a node once all it builds on is placed, ties by ``position``; cycles last.
-
-    The order is sequential by nature and made in one task, so ``nodes`` must be a bounded set such as a backlog view."""
-    schema = f"{id_} {nodes.schema[id_].dataType.simpleString()}, place long"
-    rows = nodes.groupBy(id_).agg(F.min(position).alias("_at")).select(F.lit(0).alias("_one"), F.col(id_).alias("_node"), F.lit(None).cast(nodes.schema[id_].dataType).alias("_on"), "_at")
-    links = inside(edges, nodes, id_).select("src", "dst").distinct().select(F.lit(0).alias("_one"), F.col("src").alias("_node"), F.col("dst").alias("_on"), F.lit(None).cast(rows.schema["_at"].dataType).alias("_at"))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["_on"].isna()].sort_values("_at")["_node"].tolist()
-        at = {x: k for k, x in enumerate(own)}
-        needs, feeds = [0] * len(own), [[] for _ in own]
-        for src, dst in pdf.loc[~pdf["_on"].isna(), ["_node", "_on"]].itertuples(index=False):
-            needs[at[src]] += 1
-            feeds[at[dst]].append(at[src])
-        ready = [k for k, n in enumerate(needs) if n == 0]
-        out, seen = [], [False] * len(own)
-        while ready:
-            k = heapq.heappop(ready)
-            seen[k] = True
-            out.append(own[k])
-            for j in feeds[k]:
-                needs[j] -= 1
-                if needs[j] == 0:
-                    heapq.heappush(ready, j)
-        out += [x for k, x in enumerate(own) if not seen[k]]
-        return pd.DataFrame({id_: out, "place": range(len(out))})
-
-    return rows.unionByName(links).groupBy("_one").applyInPandas(order, schema)
-
+    """``id_, place`` in the exact order: always the earliest node by ``position`` of those whose dependencies are placed; cycles last.
+
+    Let ``m`` be the latest node among a node and all it builds on.  Nodes of a lesser ``m`` come first, since they never
+    wait for a later node.  Of the nodes that share ``m``, this one comes first; the others all build on it, and among
+    themselves the same rule holds again, with the dependencies inside the group.  So the nodes' lists of their ``m`` in
+    such groups, compared from the left, give the order.  Each depth of groups is one propagation over what is left,
+    and no node's list is longer than a descent of positions along a path."""
+    first = nodes.groupBy(id_).agg(F.min(position).alias("_at"))
+    named = materialize(global_rank(first, [F.asc_nulls_last("_at"), F.asc(id_)], "_n").select(F.col(id_).alias("_id"), "_n"))
+    ends = inside(edges, nodes, id_).select("src", "dst").distinct()
+    side = lambda end, name: named.select(F.col("_id").alias(end), F.col("_n").alias(name))
+    links = materialize(ends.join(side("src", "s"), "src").join(side("dst", "d"), "dst").select("s", "d"))
+    n = named.count()
+    constants = lambda x, w: x.select(F.col("s").alias("src"), F.lit(None).cast("long").alias("dst"), w.alias("w"))
+    pointing = lambda x, w: x.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.lit(w).alias("w"))
+    left = named.select(F.col("_n").alias("s"))
+    sound = propagate(constants(left, F.lit(0)).unionByName(pointing(links, 1)), n)
+    whole = sound.where("value is not null").select(F.col("id").alias("s"))
+    left = materialize(whole.withColumn("key", F.array().cast("array<bigint>")))
+    links = materialize(links.join(whole, "s", "left_semi").join(whole.withColumnRenamed("s", "d"), "d", "left_semi"))
+    placed = [sound.where("value is null").select(F.col("id").alias("s"), F.array(F.lit(n), F.col("id")).alias("key"))]
+    while not left.isEmpty():
+        latest = propagate(constants(left, F.col("s")).unionByName(pointing(links, 0)), n)
+        marked = materialize(left.join(latest.withColumnRenamed("id", "s"), "s").select("s", F.concat("key", F.array("value")).alias("key"), "value"))
+        placed.append(marked.where("s = value").select("s", "key"))
+        if len(placed) == 16:
+            placed = [materialize(reduce(DataFrame.unionByName, placed))]
+        inner = marked.where("s <> value")
+        left = inner.select("s", "key")
+        side = lambda name, value: inner.select(F.col("s").alias(name), F.col("value").alias(value))
+        links = materialize(links.join(side("s", "vs"), "s").join(side("d", "vd"), "d").where("vs = vd").select("s", "d"))
+    ranked = global_rank(reduce(DataFrame.unionByName, placed), [F.asc("key")], "place")
+    return ranked.join(named.withColumnRenamed("_n", "s"), "s").select(F.col("_id").alias(id_), "place")

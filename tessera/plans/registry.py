@@ -650,6 +650,22 @@ def graph_topo_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.topological_levels(lines.select(F.col("l_orderkey").alias("id")), edges)
 
 
+@query(
+    """WITH RECURSIVE n AS (SELECT l_orderkey AS id, min((l_orderkey * 7919) % 100003) AS first_at FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT id, row_number() OVER (ORDER BY first_at, id) AS pos FROM n),
+e AS (SELECT l_orderkey AS src, min(l_partkey % (l_orderkey + 1)) AS dst FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey),
+k AS (SELECT src, dst FROM e WHERE src <> dst AND dst IN (SELECT id FROM n)),
+t AS (SELECT id, [pos] AS key FROM p WHERE id NOT IN (SELECT src FROM k)
+      UNION ALL SELECT k.src, list_append(list_filter(t.key, lambda x: x > p.pos), p.pos) FROM t JOIN k ON k.dst = t.id JOIN p ON p.id = k.src)
+SELECT id, row_number() OVER (ORDER BY key) - 1 AS place FROM t"""
+)
+def graph_topo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")  # an order builds on the one that its first line names, if there is such an order
+    edges = lines.where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("src")).agg(F.min(F.col("l_partkey") % (F.col("l_orderkey") + 1)).alias("dst"))
+    nodes = lines.select(F.col("l_orderkey").alias("id"), ((F.col("l_orderkey") * 7919) % 100003).alias("position"))
+    return graph.topological_order(nodes, edges)
+
+
 # ------------------------------------------------------------------ scoring
 
 _EXTRACTED = f"""
