@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -72,10 +73,11 @@ def main(argv: list[str] | None = None) -> None:
     if online and a.command in ("extract", "run", "batch-plan", "batch-apply"):
         inputs.fetch = lambda papers, request: materialize(services.fetch(papers, request, lambda: HttpClient(timeout=cfg.sourcing.request_timeout_s)))
     if a.command == "batch-plan":
-        scratch = stages.copy_store(store, cfg.storage.path + "-plan")
+        scratch = store.snapshot(f"{cfg.storage.path}-plan-{uuid.uuid4().hex}")
         stage, reqs = stages.plan(stages.Pipeline(scratch, cfg, now), inputs)
         if reqs is not None:
             jsonl.write_requests(reqs, f"{cfg.llm.batch_dir}/requests")
+        scratch.drop()
         print(json.dumps({"stage": stage}))
         return
     if a.command == "batch-apply":

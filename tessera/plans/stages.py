@@ -157,7 +157,8 @@ class Pipeline:
     def deliver(self, inputs: Inputs) -> int:
         """Archive lesser copies, then write ``backlog.md``, ``digest.md`` and ``digest.html``."""
         backlog, _ = dedup.dedupe_backlog(self.store.read("backlog"), self.store.read("papers"), self.config.delivery.title_fuzzy_threshold)
-        self.store.replace("backlog", materialize(backlog))
+        known = self.store.read("backlog").select("id", F.col("status").alias("_was"))
+        self.store.upsert("backlog", backlog.join(known, "id").where("status <> _was").drop("_was"))
         items = self.store.read("backlog")
         top = materialize(rank.select_top(items, self.config))
         made = render.digest(items, self.now, self.config)
@@ -171,9 +172,9 @@ class Pipeline:
 
 
 def plan(pipeline: Pipeline, inputs: Inputs, stages: tuple[str, ...] = ("filter", "extract", "score")) -> tuple[str, DataFrame | None]:
-    """Run on a copy of the store until a stage waits for answers: ``(stage, requests)``, or ``("ready", None)``.
+    """Run on a snapshot of the store until a stage waits for answers: ``(stage, requests)``, or ``("ready", None)``.
 
-    The store itself is not written: give a pipeline over a scratch path filled by :func:`copy_store`."""
+    The store itself is not written: give a pipeline over a :meth:`Store.snapshot`."""
     for name in stages:
         inputs.requests.clear()
         getattr(pipeline, name)(inputs)
@@ -186,12 +187,11 @@ def plan(pipeline: Pipeline, inputs: Inputs, stages: tuple[str, ...] = ("filter"
 def backfill(store: Store) -> int:
     """Fill the body fields of items that only have a one-piece description; how many changed."""
     items = store.read("backlog")
-    new = materialize(filters.digest_view(items).select(*items.columns))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    changed = items.where((blank("contributions") | blank("applicability")) & ~blank("description")).count()
-    if changed:
-        store.replace("backlog", new)
-    return changed
+    changed = items.where((blank("contributions") | blank("applicability")) & ~blank("description"))
+    new = materialize(filters.digest_view(changed).select(*items.columns))
+    store.upsert("backlog", new)
+    return new.count()
 
 
 def publish(config: Config, folder: str) -> list[str]:
@@ -202,10 +202,3 @@ def publish(config: Config, folder: str) -> list[str]:
     for f in found:
         (to / f).write_bytes((out / f).read_bytes())
     return found
-
-
-def copy_store(store: Store, path: str) -> Store:
-    scratch = Store(store.spark, path, store.tables, store.keys)
-    for name in store.tables:
-        scratch.replace(name, store.read(name))
-    return scratch

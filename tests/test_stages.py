@@ -168,7 +168,7 @@ def test_plan_then_apply(spark, world, tmp_path):
     stages.Pipeline(store, cfg, now()).run(stages.Inputs(harvested), ("source",))
     for k, name in enumerate((recorded.JUDGEMENT, recorded.EXTRACTION, recorded.ESTIMATE, None)):
         known = answers.limit(0) if k == 0 else answers.where(F.split("key", ":")[0].isin([recorded.JUDGEMENT, recorded.EXTRACTION, recorded.ESTIMATE][:k]))
-        scratch = stages.copy_store(store, str(tmp_path / f"plan{k}"))
+        scratch = store.snapshot(str(tmp_path / f"plan{k}"))
         stage, reqs = stages.plan(stages.Pipeline(scratch, cfg, now()), stages.Inputs(answers=known))
         if name is None:
             assert (stage, reqs) == ("ready", None)
