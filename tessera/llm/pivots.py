@@ -39,8 +39,8 @@ from tessera.llm._common import column, longs, small_batches, stored
 
 #: Pivots, and the rows that they are chosen from.
 PIVOTS, SAMPLE = 8, 2048
-#: Anchors that a task holds; rows of a slice, unless the session's partitions ask for smaller ones; rows of a group.
-CHUNK, SLICE, GROUP = 2048, 1 << 18, 256
+#: Anchors that a task holds; most rows of a slice, and how few it has if the session's partitions ask for more slices; rows of a group.
+CHUNK, SLICE, FEW, GROUP = 2048, 1 << 18, 4096, 256
 #: Candidates that a task holds before it keeps the best.
 POOL = 1 << 18
 SCALE = 256
@@ -279,7 +279,8 @@ def hard_negatives(
     pivots = far_apart(augmented(matrix(column(sample, "v"), dim), most), PIVOTS) if n else np.zeros((1, dim + 1))
     table = stored(pivot_table(taken, dim, most, pivots), "pivots")
     chunks = max(1, -(-(n_anchors or 0) // chunk))
-    slices = max(-(-n // slice_rows), int(spark.conf.get("spark.sql.shuffle.partitions")) // chunks, 1)
+    # each slice gives its own best, so slices are not made smaller than what they give is worth
+    slices = max(-(-n // slice_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")) // chunks, -(-n // FEW)), 1)
     asked = table.where(anchor)
     wide = asked.withColumns({"lo": F.array(F.lit(LEAST)), "hi": F.array(F.lit(GREATEST))})
     found = stored(_best(wide, table, dim, most, (chunks, slices), True, positives), "positives")
