@@ -35,44 +35,47 @@ def keyword_rung(papers: DataFrame, config: Config) -> DataFrame:
     return filters.verdict(checked, ~F.col("passed"), status=F.lit(schemas.IRRELEVANT), score=F.lit(0.0), rationale=why, method="KEYWORD").drop("passed", "score", "matched")
 
 
-def cascade(papers: DataFrame, seeds: DataFrame, judgements: DataFrame, config: Config, threshold: float) -> DataFrame:
-    """Verdicts on SEEN papers that carry a ``vector``.
+def gates(papers: DataFrame, seeds: DataFrame, config: Config, threshold: float) -> DataFrame:
+    """SEEN papers that carry a ``vector`` after the rungs that ask no model, with ``similarity`` and ``place``.
 
-    ``judgements``: recorded answers, ``arxiv_id, score, rationale``; only the
-    shortlist is judged, and a paper of it without an answer stays SEEN."""
+    A paper that is still SEEN is of the shortlist, where it has a place, or of the tail behind it."""
     seen = papers.where(F.col("status") == schemas.SEEN)
     first = materialize(keyword_rung(seen, config))  # the cheap rung settles most rows before vectors are touched
-    out = first.where(F.col("status") == schemas.IRRELEVANT)
-    near = materialize(similarity(first.where(F.col("status") == schemas.SEEN), seeds))
+    near = similarity(first.where(F.col("status") == schemas.SEEN), seeds)
     low = F.col("similarity") < threshold
     gated = filters.verdict(near, low, status=F.lit(schemas.IRRELEVANT), score=F.col("similarity"), rationale=F.lit("Below the similarity threshold"), method="EMBEDDING")
-    alive = gated.where(F.col("status") == schemas.SEEN)
-    order = survivor_order(alive, config)
-    top = order.where(F.col("place") < config.relevance.embedding_shortlist)
-    judged = top.join(judgements.select("arxiv_id", F.col("score").alias("_s"), F.col("rationale").alias("_r")), "arxiv_id", "left")
-    told = F.col("_s").isNotNull()
-    verdicts = filters.verdict(
-        judged, told, status=F.when(F.col("_s") >= config.relevance.llm_threshold, schemas.RELEVANT).otherwise(schemas.IRRELEVANT), score=F.col("_s"), rationale=F.col("_r"), method="LLM"
-    )
-    tail = filters.verdict(order.where(F.col("place") >= config.relevance.embedding_shortlist), F.lit(True), status=F.lit(schemas.RELEVANT), score=F.col("similarity"), rationale=F.lit("Beyond the shortlist; kept by similarity"), method="EMBEDDING")
-    names = papers.columns
-    parts = [out, gated.where(F.col("status") == schemas.IRRELEVANT), verdicts, tail]
-    result = parts[0].select(*names)
-    for p in parts[1:]:
-        result = result.unionByName(p.select(*names))
-    return result
-
-
-def survivor_order(alive: DataFrame, config: Config) -> DataFrame:
-    """``alive`` with ``place`` from 0: by similarity, or fused with BM25 against the problem statement."""
-    dense = rank.dense_order("similarity", "published", "arxiv_id")
-    if not config.relevance.use_bm25_rrf:
-        return rank.global_rank(alive, dense, "place")
-    text = X.title_and_abstract("title", "abstract")
-    lexical = rank.bm25(alive, text, config.problem_statement, "arxiv_id", config.relevance.bm25_k1, config.relevance.bm25_b)
-    both = rank.global_rank(alive.join(lexical, "arxiv_id"), dense, "_dense")
-    both = rank.global_rank(both, [F.desc("bm25"), F.asc("arxiv_id")], "_lexical")
-    fused = both.withColumn("_fused", rank.fuse(both, "_dense", "_lexical", config.relevance.rrf_alpha, config.relevance.rrf_k))
-    return rank.global_rank(fused, [F.desc("_fused"), F.asc("arxiv_id")], "place").drop("_dense", "_lexical", "_fused", "bm25")
+    gated = materialize(gated)
+    short = F.broadcast(shortlist(gated.where(F.col("status") == schemas.SEEN), config))  # of the configured length
+    placed = gated.join(short, "arxiv_id", "left")
+    failed = first.where(F.col("status") == schemas.IRRELEVANT)
+    return placed.unionByName(failed.withColumns({"similarity": F.lit(None).cast("double"), "place": F.lit(None).cast("long")}))
+
+
+def verdicts(gated: DataFrame, judgements: DataFrame, config: Config) -> DataFrame:
+    """The papers of :func:`gates` with the judgements on its shortlist; a paper of that without an answer stays SEEN."""
+    told = judgements.select("arxiv_id", F.col("score").alias("_s"), F.col("rationale").alias("_r"))
+    open_ = F.col("status") == schemas.SEEN
+    short = gated.where(open_ & F.col("place").isNotNull()).join(told, "arxiv_id", "left")
+    judged = filters.verdict(
+        short, F.col("_s").isNotNull(), status=F.when(F.col("_s") >= config.relevance.llm_threshold, schemas.RELEVANT).otherwise(schemas.IRRELEVANT), score=F.col("_s"), rationale=F.col("_r"), method="LLM"
+    ).drop("_s", "_r")
+    rest = gated.where(~(open_ & F.col("place").isNotNull()))
+    tail = filters.verdict(rest, open_, status=F.lit(schemas.RELEVANT), score=F.col("similarity"), rationale=F.lit("Beyond the shortlist; kept by similarity"), method="EMBEDDING")
+    return judged.unionByName(tail.select(*judged.columns)).drop("similarity", "place")
 
 
+def cascade(papers: DataFrame, seeds: DataFrame, judgements: DataFrame, config: Config, threshold: float) -> DataFrame:
+    """Verdicts on SEEN papers that carry a ``vector``; ``judgements``: recorded answers, ``arxiv_id, score, rationale``."""
+    return verdicts(materialize(gates(papers, seeds, config, threshold)), judgements, config).select(*papers.columns)
+
+
+def shortlist(alive: DataFrame, config: Config) -> DataFrame:
+    """``arxiv_id, place`` of the papers that are to be judged: by similarity, or fused with BM25 against the problem statement."""
+    c = config.relevance
+    dense = rank.ascending("similarity", "published", "arxiv_id")
+    if not c.use_bm25_rrf:
+        top = alive.select("arxiv_id", F.struct(*[x.alias(f"c{i}") for i, x in enumerate(dense)]).alias("_d")).orderBy("_d").limit(c.embedding_shortlist).collect()  # of the configured length
+        return alive.sparkSession.createDataFrame([(r["arxiv_id"], k) for k, r in enumerate(top)], "arxiv_id string, place long")
+    lexical = rank.bm25(alive, X.title_and_abstract("title", "abstract"), config.problem_statement, "arxiv_id", c.bm25_k1, c.bm25_b)
+    both = alive.select("arxiv_id", "similarity", "published").join(lexical, "arxiv_id")
+    return rank.fused_shortlist(both, dense, [-F.col("bm25"), F.col("arxiv_id")], "arxiv_id", c.embedding_shortlist, c.rrf_alpha, c.rrf_k).select("arxiv_id", "place")

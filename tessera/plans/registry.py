@@ -327,6 +327,21 @@ def rnk_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.round(rank.fuse(both, "a", "b"), 9).alias("fused"))
 
 
+@query(
+    f"""WITH {_BM25}, r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS a FROM documents),
+l AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) - 1 AS b FROM bm),
+f AS (SELECT doc_id, 0.8::DOUBLE / (60 + a + 1) + (1::DOUBLE - 0.8::DOUBLE) / (60 + b + 1) AS fused FROM r JOIN l USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY fused DESC, doc_id) - 1 AS place, round(fused, 9) AS fused FROM f)
+SELECT doc_id, place, fused FROM o WHERE place < 60"""
+)
+def rnk_fused_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bm = rank.bm25(docs, F.col("text"), _problem(spark, sf_dir)).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    both = docs.select("doc_id", "n_chars").join(bm, "doc_id")
+    top = rank.fused_shortlist(both, [-F.col("n_chars"), F.col("doc_id")], [-F.col("bm25"), F.col("doc_id")], "doc_id", 60)
+    return top.select("doc_id", "place", F.round("fused", 9).alias("fused"))
+
+
 @query(
     f"""WITH {_SIM}, o AS (SELECT vec_id, row_number() OVER (ORDER BY round(sim, 6) DESC, vec_id) AS nr FROM s)
 SELECT vec_id, CASE WHEN nr <= 60 THEN 'shortlist' ELSE 'tail' END AS part FROM o"""
