@@ -16,6 +16,9 @@ class Models:
     model: str = ""
     url: str = ""
     key_variable: str = "MODEL_API_KEY"
+    mock_texts: dict[str, str] = field(default_factory=dict)  # what a mock says to a prompt that holds the key
+    mock_answers: dict[str, dict[str, Any]] = field(default_factory=dict)  # a mock's object for each schema
+    mock_default: str = "mock-response"  # fixed value
 
 
 @dataclass(frozen=True)

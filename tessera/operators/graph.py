@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.rank import global_rank
-from tessera.sources.store import materialize
+from tessera.sources.store import Store, materialize
 
 #: Beyond any sum along a path: the value of what is in or behind a cycle.
 _LOST = 1 << 60
@@ -45,6 +46,47 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     raise RuntimeError("components did not settle")
 
 
+class Components:
+    """Components of a growing edge set: harvests add edges, and only the components that they touch change.
+
+    ``nodes`` holds each node with its component as of its first harvest and is only added to; ``moved`` holds
+    what became of components that were joined with others.  New edges are looked up in both and so become edges
+    between components, whose own components are the new ones."""
+
+    def __init__(self, spark: SparkSession, path: str, kind: T.DataType | None = None, buckets: int = 64):
+        """``kind``: the type of nodes, long if not given."""
+        two = lambda a, b: T.StructType([T.StructField(x, kind or T.LongType()) for x in (a, b)])
+        self.store = Store(spark, path, {"nodes": two("node", "first"), "moved": two("first", "root")}, {"nodes": ["node"], "moved": ["first"]}, buckets)
+
+    def roots(self, nodes: DataFrame) -> DataFrame:
+        """``node, root`` for the known ones of ``nodes``; only their buckets are read."""
+        known = self.store.near("nodes", nodes).join(nodes.select("node").distinct(), "node", "left_semi")
+        known = materialize(known)
+        return known.join(self.store.near("moved", known).hint("merge"), "first", "left").select("node", F.coalesce("root", "first").alias("root"))
+
+    def add(self, edges: DataFrame, a: str = "a", b: str = "b") -> int:
+        """Take in the edges; how many components were joined to another or are new."""
+        one = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+        ends = materialize(one.select(F.col("a").alias("node")).union(one.select("b")).distinct())
+        known = materialize(self.roots(ends))
+        side = lambda end, name: known.select(F.col("node").alias(end), F.col("root").alias(name))
+        met = one.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        joined = components(met)  # of components, old and new
+        new = ends.join(known, "node", "left_anti").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("first"))
+        changed = materialize(joined.where("node <> root").select(F.col("node").alias("old"), "root"))
+        # components that were joined before into one that is now joined to another
+        again = self.store.read("moved").join(changed.withColumnRenamed("root", "to"), F.col("root") == F.col("old")).select("first", F.col("to").alias("root"))
+        old = known.select(F.col("root").alias("old")).distinct()
+        now = materialize(changed.join(old, "old", "left_semi").select(F.col("old").alias("first"), "root").unionByName(again))
+        self.store.upsert("moved", now)
+        self.store.append("nodes", new)
+        return changed.count()
+
+    def read(self) -> DataFrame:
+        """``node, root`` of all nodes."""
+        return self.store.read("nodes").join(self.store.read("moved"), "first", "left").select("node", F.coalesce("root", "first").alias("root"))
+
+
 def inside(edges: DataFrame, nodes: DataFrame, id_: str = "id") -> DataFrame:
     """Edges with both ends among the nodes."""
     n = nodes.select(id_).distinct()

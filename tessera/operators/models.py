@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.config import Config
-from tessera.operators.recorded import SCHEMAS, well_formed, zero_answer
+from tessera.operators.recorded import SCHEMAS, STUB, well_formed, zero_answer
 from tessera.sources.http import HttpClient
 
 REMINDER = "\n\nThe answer before was not valid. Give only an object of the schema; leave blank what the text does not support."
@@ -29,21 +29,32 @@ class Client(Protocol):
 
 @dataclass
 class Mock:
-    """Answers by what a prompt contains, else a default text; objects by schema, else zero values."""
+    """Answers as it was told: by a handler of all calls, by what a prompt contains, by schema, else a default text or zero values.
 
-    texts: dict[str, str] = field(default_factory=dict)
+    ``calls`` are those of this object; on executors each task has its own."""
+
+    texts: dict[str, str] | Callable[[str], str] = field(default_factory=dict)
     answers: dict[str, dict[str, Any] | Callable[[str], dict[str, Any]]] = field(default_factory=dict)
-    default: str = "mock-response"
+    default: str = "mock-response"  # fixed value
+    handler: Callable[[str, str, str | None], Any] | None = None  # of kind, prompt and schema; None leaves the call to the rest
     calls: list[tuple[str, str]] = field(default_factory=list)
 
+    def _handled(self, kind: str, prompt: str, schema: str | None) -> Any:
+        self.calls.append((schema or kind, prompt))
+        return self.handler(kind, prompt, schema) if self.handler else None
+
     def complete(self, prompt: str) -> str:
-        self.calls.append(("complete", prompt))
-        return next((v for k, v in self.texts.items() if k in prompt), self.default)
+        said = self._handled("complete", prompt, None)
+        if said is None:
+            said = self.texts(prompt) if callable(self.texts) else next((v for k, v in self.texts.items() if k in prompt), self.default)
+        return str(said)
 
     def structured(self, prompt: str, schema: str) -> dict[str, Any]:
-        self.calls.append((schema, prompt))
-        found = self.answers.get(schema)
-        return found(prompt) if callable(found) else found if found is not None else zero_answer(schema)
+        found = self._handled("structured", prompt, schema)
+        if found is None:
+            told = self.answers.get(schema)
+            found = told(prompt) if callable(told) else told
+        return zero_answer(schema) if found is None else found
 
 
 @dataclass
@@ -73,7 +84,7 @@ def factory(config: Config) -> Callable[[], Client] | None:
     if models.provider in ("recorded", "batch"):
         return None
     if models.provider == "mock":
-        return Mock
+        return lambda: Mock(dict(models.mock_texts), dict(models.mock_answers), models.mock_default)
     if models.provider == "api":
         key = os.environ.get(models.key_variable, "")
         return lambda: Api(models.model, models.url, key)
@@ -81,7 +92,7 @@ def factory(config: Config) -> Callable[[], Client] | None:
 
 
 def answer(client: Client, prompt: str, schema: str) -> dict[str, Any]:
-    """A valid answer: the first, or that of one more attempt with a reminder, or zero values."""
+    """A valid answer: the first, or that of one more attempt with a reminder, or zero values, marked as a stub."""
     for text in (prompt, prompt + REMINDER):
         try:
             found = client.structured(text, schema)
@@ -89,7 +100,7 @@ def answer(client: Client, prompt: str, schema: str) -> dict[str, Any]:
             continue
         if well_formed(found, schema):
             return found
-    return zero_answer(schema)
+    return zero_answer(schema) | {STUB: True}
 
 
 def answers(requests: DataFrame, make: Callable[[], Client]) -> DataFrame:

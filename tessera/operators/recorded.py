@@ -30,6 +30,10 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+#: Marks an answer of zero values that stands for one that no attempt gave.
+STUB = "_stub"
+
+
 class MissingAnswer(RuntimeError):
     """A request has no recorded answer."""
 
@@ -39,18 +43,26 @@ def requests(df: DataFrame, schema: str, cache_key: Column, prompt: Column) -> D
     return df.select(X.request_key(schema, cache_key, prompt).alias("key"), F.lit(schema).alias("schema"), prompt.alias("prompt")).dropDuplicates(["key"])
 
 
+def sound(answers: DataFrame) -> DataFrame:
+    """The recorded answers that are objects whose fields have their schema's kinds; any other counts as none."""
+    odd = F.lit(False)
+    for name, fields in SCHEMAS.items():
+        read = F.from_json("payload", T.StructType([*fields.fields, T.StructField("_odd", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_odd"})
+        odd = F.when(F.startswith("key", F.lit(f"{name}:")), read["_odd"].isNotNull()).otherwise(odd)
+    return answers.where(F.col("payload").rlike(r"^\s*\{") & ~odd)
+
+
 def pending(reqs: DataFrame, answers: DataFrame) -> DataFrame:
-    return look_up_answers(reqs, answers)[1]
+    return look_up_answers(reqs, sound(answers))[1]
 
 
 def answered(reqs: DataFrame, answers: DataFrame, schema: str, strict: bool = False) -> DataFrame:
-    """Answers to ``schema`` requests: ``cache_key`` and the answer's fields; strict: none may be missing."""
-    hit, missing = look_up_answers(reqs.where(F.col("schema") == schema), answers)
+    """Answers to ``schema`` requests: ``cache_key``, the answer's fields, and ``stubbed``, whether zero values stand for them; strict: none may be missing."""
+    hit, missing = look_up_answers(reqs.where(F.col("schema") == schema), sound(answers))
     if strict and (row := missing.select("key").first()):
         raise MissingAnswer(row[0])
-    # a recorded answer that is no object of the schema counts as one of zero values
-    read = F.coalesce(F.from_json("payload", SCHEMAS[schema], {"mode": "PERMISSIVE"}), stub(schema))
-    return hit.select(F.expr("substring(key, locate(':', key) + 1)").alias("cache_key"), read.alias("answer")).select("cache_key", "answer.*")
+    marked = F.coalesce(F.get_json_object("payload", f"$.{STUB}") == "true", F.lit(False))
+    return hit.select(F.expr("substring(key, locate(':', key) + 1)").alias("cache_key"), F.from_json("payload", SCHEMAS[schema]).alias("answer"), marked.alias("stubbed")).select("cache_key", "answer.*", "stubbed")
 
 
 _ZERO = {"double": 0.0, "string": "", "boolean": False}
@@ -73,11 +85,6 @@ def well_formed(found: Any, schema: str) -> bool:
     return True
 
 
-def stub(schema: str) -> Column:
-    """The same as a column."""
-    return F.from_json(F.lit(json.dumps(zero_answer(schema))), SCHEMAS[schema])
-
-
 def relevance_prompt(problem: str) -> Column:
     return F.format_string("Problem:\n%s\n\nTitle: %s\n\nAbstract: %s\n\nIs this paper relevant to the problem?", F.lit(problem), F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
 
@@ -94,7 +101,8 @@ def estimate_prompt(problem: str, e: Column) -> Column:
 def extraction_rows(answers: DataFrame, chunked: DataFrame, now: Column, model: str = "recorded") -> DataFrame:
     """Extractions with their quotes located in the chunks (``paper_id, chunks``).
 
-    A quoted field is grounded even where no chunk holds the quote; its place is null then."""
+    A quoted field is grounded even where no chunk holds the quote; its place is null then.  The model of a stub is
+    ``stub``, and its confidence 0."""
     a = answers.withColumnRenamed("cache_key", "paper_id").join(chunked.select("paper_id", "chunks"), "paper_id", "left")
 
     def place(quote: Column) -> Column:
@@ -102,4 +110,6 @@ def extraction_rows(answers: DataFrame, chunked: DataFrame, now: Column, model:
         return F.struct(c["section"].alias("section"), c["index"].alias("chunk_index"), c["page"].alias("page"), quote.alias("quote"))
 
     located = F.transform_values(F.coalesce("provenance_quotes", F.create_map().cast("map<string,string>")), lambda k, q: place(q))
-    return a.withColumn("provenance", located).drop("provenance_quotes", "chunks").withColumns({"model": F.lit(model), "created_at": now})
+    by = F.when(F.col("stubbed"), "stub").otherwise(model)
+    confidence = F.when(F.col("stubbed"), 0.0).otherwise(F.col("extraction_confidence"))
+    return a.withColumn("provenance", located).withColumns({"model": by, "extraction_confidence": confidence, "created_at": now}).drop("provenance_quotes", "chunks", "stubbed")

@@ -17,6 +17,7 @@ from tessera.plans import render, stages
 from tessera.sources import atom, jsonl, services
 from tessera.sources.http import HttpClient
 from tessera.sources.store import Store, materialize
+from tessera.streaming import harvest
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -60,7 +61,8 @@ def main(argv: list[str] | None = None) -> None:
             spark.dataSource.register(atom.PreprintSource)
             options = {"categories": ",".join(cfg.sourcing.arxiv_categories), "maxResults": str(cfg.sourcing.max_results_per_run), "pageSize": str(cfg.sourcing.page_size), "timeout": str(cfg.sourcing.request_timeout_s)}
             print("query:", category_query(cfg.sourcing.arxiv_categories))
-            inputs.harvested = atom.papers(spark.read.format("preprints").options(**options, **({"since": a.since} if a.since else {})).load())
+            since = a.since or store.get_state(harvest.CURSOR)  # the source itself leaves out what an earlier harvest has seen
+            inputs.harvested = atom.papers(spark.read.format("preprints").options(**options, **({"since": since} if since else {})).load())
     online = not (a.offline or a.feed)
     if online and inputs.harvested is not None:
         inputs.harvested = materialize(inputs.harvested)  # asked for once, however often it is read

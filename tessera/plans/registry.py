@@ -12,7 +12,7 @@ from tessera import schemas
 from tessera.functions import scalars as S
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, rank, recorded, relevance, score, titles
+from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, lexicon, patterns, rank, recorded, relevance, score, titles
 from tessera.plans import render
 from tessera.plans.standin import CONFIG, GATE, NOW, PAPERS_SQL, SEED_LABEL, papers, table, typed_papers, titled
 from tessera.sources import jsonl, store
@@ -155,6 +155,34 @@ def jn_quote_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("conv_id", joins.locate_quote(F.transform("all", lambda x: x["c"]), F.lit("  THE \n re"))["index"].alias("turn"))
 
 
+_FLAT = "trim(regexp_replace({0}, '[ \\t\\n\\x0b\\x0c\\r]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH w AS (SELECT item_id, string_split({_FLAT.format('text')}, ' ') AS w FROM benchmark),
+q AS (SELECT item_id * 1000 + k AS quote_id, lower(array_to_string(w[6 * k + 1:6 * k + 6], ' ')) AS quote FROM w, range(1000) t(k) WHERE 6 * k + 6 <= len(w)),
+d AS (SELECT doc_id, lower({_FLAT.format('text')}) AS hay FROM documents)
+SELECT quote_id, min(doc_id) AS doc_id, count(*) AS n FROM q JOIN d ON contains(hay, quote) GROUP BY quote_id"""
+)
+def jn_quotes_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of six words of the benchmark, one after the other, in all documents."""
+    w = F.split(X.collapse("text"), " ")
+    runs = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w")).select("item_id", "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 6).cast("int") - 1)).alias("k")).where("6 * k + 6 <= size(w) and k < 1000 and k >= 0")
+    quotes = runs.select((F.col("item_id") * 1000 + F.col("k")).alias("quote_id"), F.array_join(F.slice("w", 6 * F.col("k") + 1, 6), " ").alias("quote"))
+    return patterns.first_matches(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), quotes, "quote_id", F.col("quote"))
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({_TOKENS.format("regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g')")}) AS term FROM documents)
+SELECT term, count(*) AS n FROM d WHERE term IN (SELECT term FROM b) GROUP BY term"""
+)
+def flt_terms_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold each word of the benchmark, between the borders that keyword filters ask for."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(X.tokens("text"))).alias("pattern"))
+    found = patterns.occurrences(table(spark, sf_dir, "documents"), "doc_id", X.normalize("text"), terms, bordered=True)
+    return found.groupBy(F.col("pattern").alias("term")).agg(F.count("*").alias("n"))
+
+
 @query(
     """WITH r AS (SELECT 'RelevanceJudgment:' || doc_id AS key FROM documents), a AS (SELECT 'RelevanceJudgment:' || doc_id AS key FROM labels)
 SELECT key FROM r WHERE key NOT IN (SELECT key FROM a)"""
@@ -314,6 +342,15 @@ def rnk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS bm25 FROM bm WHERE score > 0")
+def rnk_bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three harvests into a stored index, the last of which brings back documents of the first."""
+    docs, index = table(spark, sf_dir, "documents"), lexicon.Index(spark, f"{store.scratch(spark)}/index-{uuid.uuid4().hex}")
+    for harvested in (docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 1"), docs.where("doc_id % 3 <> 1")):
+        index.add(harvested, F.col("text"))
+    return index.bm25(_problem(spark, sf_dir)).select(F.col("doc").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
 @query(
     f"""WITH {_BM25}, r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS a FROM documents),
 l AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) - 1 AS b FROM bm)
@@ -618,6 +655,23 @@ def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titled(spark, sf_dir).select("doc_id", "title", F.array("source", "lang").alias("authors"))
 
 
+@query(
+    f"""WITH RECURSIVE {PAPERS_SQL}, {_DOI}, t AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY title) AS root FROM papers WHERE title <> ''),
+e AS (SELECT doc_id AS u, root AS v FROM g WHERE doc_id <> root UNION SELECT doc_id, root FROM t WHERE doc_id <> root),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node)
+SELECT node, min(root) AS root FROM r GROUP BY node"""
+)
+def graph_components_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of equal texts and of equal titles in three harvests."""
+    p = materialize(titled(spark, sf_dir).select("doc_id", "doi", F.nullif("title", F.lit("")).alias("title")))
+    edges = materialize(dedup.key_edges(p, F.col("doi"), "doc_id").unionByName(dedup.key_edges(p, F.md5("title"), "doc_id")))
+    grown = graph.Components(spark, f"{store.scratch(spark)}/components-{uuid.uuid4().hex}")
+    for k in range(3):
+        grown.add(edges.where(F.col("b") % 3 == k))
+    return grown.read()
+
+
 @query()
 def dedup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.fuzzy_pairs(_titled(spark, sf_dir), CONFIG.delivery.title_fuzzy_threshold, "doc_id")

@@ -35,6 +35,7 @@ class Inputs:
     tei: DataFrame | None = None
     html: DataFrame | None = None
     answers: DataFrame | None = None
+    model: Callable[[], models.Client] | None = None  # makes clients, in place of the configured provider
     fetch: Callable | None = None  # bodies of papers by a request; None where nothing is fetched
     requests: list[DataFrame] = field(default_factory=list)  # filled by a planning run
 
@@ -71,10 +72,18 @@ class Pipeline:
     # -------------------------------------------------------------- 2
 
     def _known(self, inputs: Inputs, reqs: DataFrame) -> DataFrame:
-        """Recorded answers, and those that the configured model gives to what is not recorded."""
-        answers = inputs.answers if inputs.answers is not None else self.store.spark.createDataFrame([], schemas.ANSWERS)
-        make = models.factory(self.config)
-        return materialize(answers.unionByName(models.answers(recorded.pending(reqs, answers), make))) if make else answers
+        """Recorded answers, and those that the configured model gives to what is not recorded.
+
+        What a model says is kept in the store's ``answers``, so that no later run asks for it again; a given
+        recording goes before it."""
+        kept = self.store.read("answers")
+        answers = kept if inputs.answers is None else inputs.answers.unionByName(kept.join(inputs.answers.select("key"), "key", "left_anti"))
+        make = inputs.model or models.factory(self.config)
+        if make:
+            said = materialize(models.answers(recorded.pending(reqs, answers), make))
+            self.store.upsert("answers", said)
+            answers = answers.unionByName(said)
+        return answers
 
     def _answers(self, inputs: Inputs, schema: str, reqs: DataFrame) -> DataFrame:
         answers = self._known(inputs, reqs)
@@ -91,14 +100,16 @@ class Pipeline:
         problem = embed.embed(self.store.spark.range(1).select(F.lit(self.config.problem_statement).alias("_text")), "_text").select("vector")
         seeds = self.store.spark.createDataFrame([(s,) for s in self.config.seed_papers], "paper_id string")
         seeds = problem.unionByName(joins.seed_vectors(self.store.read("embeddings"), seeds).select("vector"))
-        reqs = recorded.requests(embedded, recorded.JUDGEMENT, F.col("arxiv_id"), recorded.relevance_prompt(self.config.problem_statement))
+        # only what keywords, gate and order leave on the shortlist is asked about
+        gated = materialize(relevance.gates(embedded, seeds, self.config, relevance.effective_threshold(self.config, embed.name)))
+        short = gated.where((F.col("status") == schemas.SEEN) & F.col("place").isNotNull())
+        reqs = materialize(recorded.requests(short, recorded.JUDGEMENT, F.col("arxiv_id"), recorded.relevance_prompt(self.config.problem_statement)))
         answers = self._known(inputs, reqs)
-        told = recorded.answered(reqs, answers, recorded.JUDGEMENT).select(F.col("cache_key").alias("arxiv_id"), "score", "rationale")
-        threshold = relevance.effective_threshold(self.config, embed.name)
-        out = materialize(relevance.cascade(embedded, seeds, told, self.config, threshold))
-        waiting = reqs.join(out.where(F.col("status") == schemas.SEEN).select(X.request_key(recorded.JUDGEMENT, F.col("arxiv_id"), F.lit("")).alias("key")), "key", "left_semi")
+        waiting = recorded.pending(reqs, answers)
         if self.strict and (row := waiting.select("key").first()):
             raise recorded.MissingAnswer(row[0])
+        told = recorded.answered(reqs, answers, recorded.JUDGEMENT).select(F.col("cache_key").alias("arxiv_id"), "score", "rationale")
+        out = materialize(relevance.verdicts(gated, told, self.config))
         inputs.requests.append(waiting)
         self.store.upsert("papers", out.select(*schemas.PAPERS.names), keep=("created_at",))
         counts = aggregates.stage_counters(out, relevant=F.col("status") == schemas.RELEVANT, irrelevant=F.col("status") == schemas.IRRELEVANT, waiting=F.col("status") == schemas.SEEN).first()
@@ -137,7 +148,7 @@ class Pipeline:
         estimates = None
         if self.config.scoring.llm_estimate_effort:
             reqs = recorded.requests(ready, recorded.ESTIMATE, F.col("arxiv_id"), recorded.estimate_prompt(self.config.problem_statement, F.col("extraction")))
-            told = self._answers(inputs, recorded.ESTIMATE, reqs)
+            told = self._answers(inputs, recorded.ESTIMATE, reqs).drop("stubbed")
             estimates = told.withColumnRenamed("cache_key", "paper_id")
             ready = ready.join(told.select(F.col("cache_key").alias("arxiv_id")), "arxiv_id", "left_semi")
         scored = score.rice(score.estimate(score.signals(ready, self.now, self.config), self.config, estimates), self.config)

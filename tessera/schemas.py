@@ -75,8 +75,8 @@ AUDIT = table("at timestamp, event string, detail string")
 ANSWERS = table("key string, payload string")
 
 #: Keys by table; a table without one is only appended to.
-KEYS = {"papers": ["arxiv_id"], "embeddings": ["paper_id"], "extractions": ["paper_id"], "backlog": ["id"], "dependencies": ["src", "dst", "source"], "state": ["key"]}
-TABLES = {"papers": PAPERS, "embeddings": EMBEDDINGS, "extractions": EXTRACTIONS, "backlog": BACKLOG, "dependencies": EDGES, "state": STATE, "audit_log": AUDIT}
+KEYS = {"papers": ["arxiv_id"], "embeddings": ["paper_id"], "extractions": ["paper_id"], "backlog": ["id"], "dependencies": ["src", "dst", "source"], "state": ["key"], "answers": ["key"]}
+TABLES = {"papers": PAPERS, "embeddings": EMBEDDINGS, "extractions": EXTRACTIONS, "backlog": BACKLOG, "dependencies": EDGES, "state": STATE, "answers": ANSWERS, "audit_log": AUDIT}
 
 
 def violations() -> dict[str, Column]:

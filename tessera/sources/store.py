@@ -61,10 +61,12 @@ class Store:
     #: Newest versions whose files stay.
     KEPT = 2
 
-    def __init__(self, spark: SparkSession, path: str, tables: dict[str, T.StructType] | None = None, keys: dict[str, list[str]] | None = None, buckets: int = 16):
-        """``buckets``: of tables made here, so many that one's rows suit a task; a table keeps the number that it was made with."""
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, T.StructType] | None = None, keys: dict[str, list[str]] | None = None, buckets: int = 16, by: dict[str, list[str]] | None = None):
+        """``buckets``: of tables made here, so many that one's rows suit a task; a table keeps the number that it was made with.
+        ``by``: those of a table's keys that decide the bucket, where it is not all."""
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.tables, self.keys = tables or schemas.TABLES, keys or schemas.KEYS
+        self.by = self.keys | (by or {})
 
     # -------------------------------------------------------------- files and manifests
 
@@ -160,10 +162,17 @@ class Store:
         found = self._rows(name, now["files"].get(str(bucket), []))
         return found.where(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in zip(names, key, strict=True)])).first()
 
+    def near(self, name: str, wanted: DataFrame) -> DataFrame:
+        """The rows of the buckets that the rows of ``wanted`` fall into, by its columns of the table's names; no other file is read."""
+        now, names = self.manifest(name), self.by[name]
+        typed = wanted.select(*[F.col(k).cast(self.tables[name][k].dataType).alias(k) for k in names])
+        buckets = sorted(r[0] for r in typed.select(self._bucket(name, now["buckets"])).distinct().collect())  # numbers of buckets
+        return self._rows(name, [f for k in buckets for f in now["files"].get(str(k), [])])
+
     # -------------------------------------------------------------- writes
 
     def _bucket(self, name: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(*self.keys[name]), F.lit(n)).cast("int").alias("_bucket")
+        return F.pmod(F.xxhash64(*self.by[name]), F.lit(n)).cast("int").alias("_bucket")
 
     def _typed(self, name: str, df: DataFrame) -> DataFrame:
         return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.tables[name].fields])
@@ -250,7 +259,7 @@ class Store:
         """A store at ``path`` with the tables as they are now, of the same files; writes to either don't show in the other.
 
         This store keeps the files until :meth:`drop` of the snapshot."""
-        other = Store(self.spark, path, self.tables, self.keys, self.buckets)
+        other = Store(self.spark, path, self.tables, self.keys, self.buckets, self.by)
         for name in self.tables:
             now = self.manifest(name)
             pin = uuid.uuid4().hex

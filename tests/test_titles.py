@@ -41,7 +41,7 @@ def made(seed, n, first=("the", "a", "on", "x1"), most=12):
     return out + [(n, None, ["C D"]), (n + 1, "", ["C D"]), (n + 2, "?!", ["C D"]), (None, out[0][1], ["C D"]), (n + 3, out[0][1], None), (n + 4, "a", ["C D"]), (n + 5, "A ", ["c d", None])]
 
 
-@pytest.mark.parametrize(("threshold", "block", "seed"), [(0.9, 2048, 1), (0.9, 3, 2), (0.8, 2, 3), (0.6, 2048, 4), (1.0, 2048, 5), (0.97, 1, 6)])
+@pytest.mark.parametrize(("threshold", "block", "seed"), [(0.9, 3, 2), (0.8, 2048, 3), (0.6, 2, 4)])
 def test_pairs_and_groups(spark, threshold, block, seed):
     rows = made(seed, 220)
     df = spark.createDataFrame(rows, "doc_id long, title string, authors array<string>").repartition(3)
