@@ -70,7 +70,13 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: m[1] + m[2][1:], text)
 
 
-FILTERS: dict[str, Callable] = {"trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "length": len, "escape": lambda x: escape(_text(x))}
+FILTERS: dict[str, Callable] = {"trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "length": lambda x: _length(x), "escape": lambda x: escape(_text(x))}
+
+
+def _length(x: Any) -> int:
+    if not isinstance(x, str | list | dict):
+        raise TemplateError("length takes a string, a list or a map")
+    return len(x)
 
 
 def _text(x: Any) -> str:
@@ -345,6 +351,8 @@ def _apply(op: str, a: Any, b: Any) -> Any:
         raise TemplateError("+ takes two strings or two integers")
     if op == "in":
         return a in b if isinstance(b, str | list | dict) else False
+    if op in ("<", ">", "<=", ">=") and not (type(a) is type(b) and isinstance(a, str | int)):
+        raise TemplateError(f"{op} takes two strings or two integers")
     return {"==": lambda: a == b, "!=": lambda: a != b, "<": lambda: a < b, ">": lambda: a > b, "<=": lambda: a <= b, ">=": lambda: a >= b}[op]()
 
 

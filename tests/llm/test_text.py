@@ -151,6 +151,21 @@ def test_chat_round_trip(turns):
     assert learned == "".join(b for a, b in turns if a == "assistant")
 
 
+def test_gif_of_a_huge_screen():
+    """A few bytes that declare gigabytes are malformed, and are found to be so before anything is allocated."""
+    palette = np.zeros((4, 3), np.uint8)
+    small = gif.encode([gif.Frame(0, 0, 4, 4, bytes(16), palette, -1, 0, 0)], 4, 4, palette)
+    screen, frame = bytearray(small), bytearray(small)
+    screen[6:10] = b"\xff\xff\xff\xff"
+    at = small.index(b"\x2c")
+    frame[at + 5 : at + 9] = b"\xff\xff\xff\xff"
+    for data in (screen, frame):
+        with pytest.raises(ValueError):
+            gif.decode(bytes(data))
+    large = gif.encode([gif.Frame(0, 0, 3000, 2000, bytes(6_000_000), palette, -1, 0, 0)], 3000, 2000, palette)
+    assert next(gif.canvases(gif.decode(large)))[1].shape == (2000, 3000, 4)
+
+
 @given(texts)
 def test_escape(text):
     out = chat.escape(text)
@@ -168,6 +183,17 @@ def test_template_language():
             chat.Template(bad)
 
 
+@pytest.mark.parametrize("source", ["{{ 1 < 'a' }}", "{{ x < 1 }}", "{{ 1 >= x }}", "{{ x | length }}", "{{ 3 | length }}", "{{ x + 1 }}", "{{ xs < 1 }}", "{{ 1 in xs and d < d }}", "{{ 'a' | length | length }}"])
+def test_operations_on_wrong_kinds(source):
+    with pytest.raises(chat.TemplateError):
+        chat.Template(source).render([], xs=[1], d={}).text()
+
+
+def test_comparisons_and_lengths_that_hold():
+    t = lambda s, **k: chat.Template(s).render([], **k).text()
+    assert t("{{ 'a' < 'b' }}{{ 2 >= 2 }}{{ x == 1 }}{{ 'é' | length }}{{ xs | length }}{{ d | length }}", xs=[1, 2], d={"k": 1}) == "truetruefalse121"
+
+
 def test_chat_query(spark):
     rows = [(1, 1, "assistant", "hi"), (1, 0, "user", "</s>"), (None, 0, None, None), (2, 0, "user", "x"), (2, 0, "user", "x"), (2, 1, "assistant", None), (2, None, "system", "é")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
