@@ -245,7 +245,10 @@ def decode(data: bytes) -> Gif:
             at += 1
             if not 1 <= least <= 8:
                 raise ValueError("a code size is out of range")
-            samples = lzw_decode(blocks(), least, w * h)
+            stream = blocks()
+            if w * h > 4096 * (8 * len(stream) // (least + 1) + 1):
+                raise ValueError("a frame is larger than its codes can fill")  # none stands for more than 4096 samples
+            samples = lzw_decode(stream, least, w * h)
             samples += bytes(w * h - len(samples))
             if own & 0x40:
                 order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
@@ -258,6 +261,8 @@ def decode(data: bytes) -> Gif:
             raise ValueError("an unknown block")
     if not frames:
         raise ValueError("no frame")
+    if width * height > max(1 << 24, 16 * max(f.width * f.height for f in frames)):
+        raise ValueError("the screen is out of proportion to its frames")
     return Gif(width, height, background, palette, frames)
 
 
