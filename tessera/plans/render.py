@@ -31,17 +31,26 @@ COLUMNS = ("Rank", "Score", "Title", "Impact", "Applic", "Conf", "Effort", "Foun
 ALIGN = ("---:", "---:", "---", "---:", "---:", "---:", "---:", ":--:", "---", "---")
 
 
-def backlog_markdown(items: DataFrame, config: Config) -> str:
-    """The ranked table and the foundational lane of a bounded set of items."""
-    lines = [x["line"] for x in backlog_rows(items).orderBy("place").collect()]
-    lane = items.where("foundational").orderBy(F.desc("score"), "id").select(F.format_string("- **%s** (score %.3f) — %s", X.cell("title"), F.col("score"), X.paper_link("paper_id"))).collect()
-    slots = config.scoring.foundational_reserved_slots
+def backlog_lines(items: DataFrame, config: Config) -> DataFrame:
+    """``place, line`` of the ranked table and the foundational lane, in the order of place."""
+    spark, slots = items.sparkSession, config.scoring.foundational_reserved_slots
+    shown, founded = items.agg(F.count("*"), F.count_if("foundational")).first()
+    # fixed values: headings, notes and column names
     head = [
-        f"# Research backlog — {config.name}", "", f"_{len(lines)} item(s) shown · top_n = {config.delivery.top_n} · {slots} foundational slots reserved._", "",
+        f"# Research backlog — {config.name}", "", f"_{shown} item(s) shown · top_n = {config.delivery.top_n} · {slots} foundational slots reserved._", "",
         "| " + " | ".join(COLUMNS) + " |", "| " + " | ".join(ALIGN) + " |",
     ]
-    tail = ["", "## Foundational lane", "", f"Reserved anti-recency-bias slots: {min(len(lane), slots)} of {slots} filled.", ""]
-    return "\n".join([*head, *lines, *tail, *([x[0] for x in lane] or ["- _No foundational items in the current backlog._"]), ""])
+    tail = ["", "## Foundational lane", "", f"Reserved anti-recency-bias slots: {min(founded, slots)} of {slots} filled.", ""]
+    tail += [] if founded else ["- _No foundational items in the current backlog._"]
+    lane = rank.global_rank(items.where("foundational"), [F.desc("score"), F.asc("id")], "_place")
+    lane = lane.select((shown + len(tail) + 1 + F.col("_place")).alias("place"), F.format_string("- **%s** (score %.3f) — %s", X.cell("title"), F.col("score"), X.paper_link("paper_id")).alias("line"))
+    fixed = [*((k - len(head), x) for k, x in enumerate(head)), *((shown + 1 + k, x) for k, x in enumerate(tail))]
+    return spark.createDataFrame(fixed, "place long, line string").unionByName(backlog_rows(items)).unionByName(lane)
+
+
+def backlog_markdown(items: DataFrame, config: Config) -> str:
+    """The same as one text, for a bounded set of items."""
+    return "".join(f"{x['line']}\n" for x in backlog_lines(items, config).orderBy("place").collect())
 
 
 def digest(items: DataFrame, now: Column, config: Config, window_days: int | None = None) -> dict:

@@ -18,7 +18,7 @@ from tessera.functions import text as X
 from tessera.functions.embedders import embedder
 from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, models, rank, recorded, relevance, score
 from tessera.plans import render
-from tessera.sources import fulltext
+from tessera.sources import delivery, fulltext
 from tessera.sources.store import Store, materialize
 from tessera.streaming import harvest
 
@@ -166,7 +166,7 @@ class Pipeline:
     # -------------------------------------------------------------- 5
 
     def deliver(self, inputs: Inputs) -> int:
-        """Archive lesser copies, then write ``backlog.md``, ``digest.md`` and ``digest.html``."""
+        """Archive lesser copies, then replace ``backlog.md``, ``digest.md`` and ``digest.html``, each whole or not at all."""
         backlog, _ = dedup.dedupe_backlog(self.store.read("backlog"), self.store.read("papers"), self.config.delivery.title_fuzzy_threshold)
         known = self.store.read("backlog").select("id", F.col("status").alias("_was"))
         self.store.upsert("backlog", backlog.join(known, "id").where("status <> _was").drop("_was"))
@@ -175,10 +175,11 @@ class Pipeline:
         made = render.digest(items, self.now, self.config)
         out = Path(self.config.delivery.output_dir)
         out.mkdir(parents=True, exist_ok=True)
-        (out / "backlog.md").write_text(render.backlog_markdown(top, self.config))
-        (out / "digest.md").write_text(made["markdown"])
+        spark = self.store.spark
+        delivery.deliver(render.backlog_lines(top, self.config), out / "backlog.md")
+        delivery.deliver_text(spark, made["markdown"], out / "digest.md")
         if made["html"]:
-            (out / "digest.html").write_text(made["html"])
+            delivery.deliver_text(spark, made["html"], out / "digest.html")
         return len(made["top_items"])
 
 
