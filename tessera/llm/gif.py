@@ -277,8 +277,11 @@ def canvases(gif: Gif) -> Iterator[tuple[int, np.ndarray]]:
         colours = np.full((256, 4), 255, np.uint8)
         colours[:, :3] = 0
         colours[: len(f.palette), :3] = f.palette
-        drawn = numbers != f.transparent
-        area[drawn] = colours[numbers[drawn]]
+        shown, whole = colours.view(np.uint32)[:, 0][numbers], area.view(np.uint32)[..., 0]  # a pixel is one number
+        if f.transparent < 0:
+            whole[:] = shown
+        else:
+            np.copyto(whole, shown, where=numbers != f.transparent)
         yield at, canvas.copy()
         at += f.delay_ms
         if f.disposal == 2:
@@ -289,8 +292,16 @@ def canvases(gif: Gif) -> Iterator[tuple[int, np.ndarray]]:
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Counts of the opaque pixels by equal parts of red, green and blue."""
-    seen = canvas[canvas[..., 3] > 0][:, :3].astype(np.int64) * bins // 256
-    return np.bincount((seen[:, 0] * bins + seen[:, 1]) * bins + seen[:, 2], minlength=bins**3)
+    seen = _opaque(canvas)
+    part = (np.arange(256) * bins // 256).astype(np.uint32)
+    return np.bincount((part * bins * bins)[seen[:, 0]] + (part * bins)[seen[:, 1]] + part[seen[:, 2]], minlength=bins**3)
+
+
+def _opaque(canvas: np.ndarray) -> np.ndarray:
+    """The pixels that something was drawn on, in rows of four bytes."""
+    pixels = canvas.reshape(-1, 4)
+    seen = pixels[:, 3] > 0
+    return pixels if seen.all() else pixels[seen]
 
 
 def decode_column(media: DataFrame, name: str = "media") -> DataFrame:
@@ -319,6 +330,9 @@ def decode_column(media: DataFrame, name: str = "media") -> DataFrame:
 _K = np.arange(256)
 #: Three bits of a byte for red, three for green, two for blue; each channel's parts are those of ``histogram``.
 COLOURS = np.stack([(_K >> 5) * 36, (_K >> 2 & 7) * 36, (_K & 3) * 85], axis=1).astype(np.uint8)
+#: What a channel's value adds to the byte, and the opaque pixel of each byte as one number.
+_RED, _GREEN, _BLUE = ((_K // 36 << 5).astype(np.uint8), (_K // 36 << 2).astype(np.uint8), (_K // 85).astype(np.uint8))
+_PIXELS = np.concatenate([COLOURS, np.full((256, 1), 255, np.uint8)], axis=1).view(np.uint32)[:, 0]
 
 
 def store(payload: bytes) -> bytes:
@@ -333,9 +347,9 @@ def read(data: bytes) -> tuple[bytes, np.ndarray, list[int]]:
     gif = decode(data)
     parts, counts, starts = [], np.zeros(BINS**3, np.int64), []
     for at, canvas in canvases(gif):
-        seen = canvas[canvas[..., 3] > 0][:, :3]
-        number = (seen[:, 0] // 36 << 5) + (seen[:, 1] // 36 << 2) + seen[:, 2] // 85
-        if (COLOURS[number] != seen).any():
+        seen = _opaque(canvas)
+        number = _RED[seen[:, 0]] + _GREEN[seen[:, 1]] + _BLUE[seen[:, 2]]
+        if (_PIXELS[number] != np.ascontiguousarray(seen).view(np.uint32)[:, 0]).any():
             raise ValueError("a colour stands for no byte")
         parts.append(number.tobytes())
         counts += histogram(canvas)
