@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.config import from_dict
 from tessera.functions import scalars as S
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, lexicon, patterns, rank, recorded, relevance, score, titles
+from tessera.operators import aggregates, chunking, dedup, filters, graph, joins, lexicon, models, patterns, rank, recorded, relevance, score, titles
 from tessera.plans import render
 from tessera.plans.standin import CONFIG, GATE, NOW, PAPERS_SQL, SEED_LABEL, papers, table, typed_papers, titled
-from tessera.sources import jsonl, store
+from tessera.sources import fulltext, jsonl, store
 from tessera.sources.html import sections as parse_sections
 from tessera.sources.store import merged, materialize
 from tessera.streaming import harvest
@@ -974,3 +975,111 @@ def stream_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
         events.write.mode("append").parquet(f"{base}/in")
         harvest.distinct_events(spark, f"{base}/in", events.schema, f"{base}/out", f"{base}/checkpoint", late="3650 days")
     return spark.read.parquet(f"{base}/out").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
+
+
+# ------------------------------------------------------------------ scans, point reads, snapshots, whole duplicates, model answers
+
+
+@query(f"WITH {PAPERS_SQL} SELECT doc_id, row_number() OVER (ORDER BY published DESC NULLS LAST, CAST(doc_id AS VARCHAR)) - 1 AS place FROM papers WHERE doc_id % 3 <> 0")
+def store_scan_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of one status, newest first."""
+    own = _store(spark, "scan")
+    status = F.when(F.col("doc_id") % 3 == 0, schemas.IRRELEVANT).otherwise(schemas.SEEN)
+    own.upsert("papers", _typed(papers(spark, sf_dir).select(F.col("doc_id").cast("string").alias("arxiv_id"), "published", status.alias("status")), "papers"))
+    seen = own.read("papers").where(F.col("status") == schemas.SEEN).select("arxiv_id", "published")
+    return rank.global_rank(seen, [F.desc_nulls_last("published"), F.asc("arxiv_id")], "place").select(F.col("arxiv_id").cast("long").alias("doc_id"), "place")
+
+
+@query(f"WITH {PAPERS_SQL}, {_ITEMS} SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS place FROM it WHERE status = 'NEW'")
+def store_scan_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of one status, best first."""
+    own = _store(spark, "scan")
+    own.upsert("backlog", _typed(_items(spark, sf_dir).select("id", "score", "status"), "backlog"))
+    new = own.read("backlog").where(F.col("status") == schemas.NEW).select("id", "score")
+    return rank.global_rank(new, [F.desc("score"), F.asc("id")], "place").select("id", "place")
+
+
+@query(
+    """SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders UNION SELECT max(o_orderkey) FROM orders)"""
+)
+def store_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers by key: the first and the last, and one that is not there."""
+    own, orders = _store(spark, "points"), table(spark, sf_dir, "orders")
+    own.upsert("papers", _typed(orders.select(F.col("o_orderkey").cast("string").alias("arxiv_id"), F.col("o_orderstatus").alias("title")), "papers"))
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    found = [own.get("papers", str(k)) for k in {low, high, high + 1}]
+    return spark.createDataFrame([(int(r["arxiv_id"]), r["title"]) for r in found if r], "id long, status string")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS arxiv_id, o_orderstatus AS before, CASE WHEN o_orderstatus = 'F' THEN 'changed' ELSE o_orderstatus END AS after FROM orders")
+def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot, which later writes to the store don't change, beside the store."""
+    own, orders = _store(spark, "snapped"), table(spark, sf_dir, "orders")
+    rows = lambda df, title: _typed(df.select(F.col("o_orderkey").cast("string").alias("arxiv_id"), title.alias("title")), "papers")
+    own.upsert("papers", rows(orders, F.col("o_orderstatus")))
+    held = own.snapshot(f"{store.scratch(spark)}/snapshot-{uuid.uuid4().hex}")
+    own.upsert("papers", rows(orders.where("o_orderstatus = 'F'"), F.lit("changed")))
+    return held.read("papers").select("arxiv_id", F.col("title").alias("before")).join(own.read("papers").select("arxiv_id", F.col("title").alias("after")), "arxiv_id")
+
+
+_FLAT_TITLE = _TOKENS.format("title")
+
+
+@query(
+    f"""WITH RECURSIVE {PAPERS_SQL}, w AS (SELECT *, array_to_string({_FLAT_TITLE}, ' ') AS t FROM papers WHERE doc_id % 11 <> 0),
+e AS (SELECT doc_id AS u, min(doc_id) OVER (PARTITION BY doi) AS v FROM w
+      UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY t, source) FROM w WHERE t <> ''
+      UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY t, lang) FROM w WHERE t <> ''),
+b AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node),
+c AS (SELECT node AS doc_id, min(root) AS root FROM r GROUP BY node),
+m AS (SELECT w.doc_id, root, row_number() OVER (PARTITION BY root ORDER BY coalesce(citations, -1) DESC, published DESC NULLS LAST, CAST(w.doc_id AS VARCHAR)) AS nr FROM w JOIN c ON c.doc_id = w.doc_id)
+SELECT CAST(k.doc_id AS VARCHAR) AS kept, CAST(m.doc_id AS VARCHAR) AS archived FROM m JOIN m k ON k.root = m.root AND k.nr = 1 WHERE m.nr > 1"""
+)
+def dedup_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which live items' papers go for which: keys, titles of ratio 1 under a shared author, clusters and keepers in one."""
+    p = materialize(typed_papers(spark, sf_dir).drop("doc_id"))
+    items = p.select(F.concat("arxiv_id", F.lit("#1")).alias("id"), F.col("arxiv_id").alias("paper_id"), F.when(F.col("arxiv_id").cast("long") % 11 == 0, schemas.ARCHIVED).otherwise(schemas.NEW).alias("status"))
+    return dedup.dedupe_backlog(_typed(items, "backlog"), p, 1.0)[1]
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'grobid' WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 'html' ELSE 'abstract' END AS source,
+CAST(CASE WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM documents"""
+)
+def txt_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TEI where there is one with sections, else HTML, else the abstract."""
+    docs = titled(spark, sf_dir).select(F.col("doc_id").cast("string").alias("arxiv_id"), "doc_id", "abstract")
+    para = lambda tag: F.concat(F.lit(f"<{tag}>"), F.col("doc_id").cast("string"), F.lit(f"</{tag}>"))
+    tei = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>H</head>'), para("p"), F.lit("</div></body></text></TEI>"))
+    page = F.concat(F.lit("<html><body><h2>One</h2>"), para("p"), F.lit("<h2>Two</h2><p>text</p></body></html>"))
+    bodies = lambda which, body: docs.select("arxiv_id", F.when(which, body).otherwise(F.lit("<TEI/>")).alias("body"))
+    config = from_dict({"extraction": {"use_grobid": True, "prefer_html": True}})
+    found = fulltext.full_texts(docs, config, bodies(F.col("doc_id") % 3 == 0, tei), bodies((F.col("doc_id") % 3 < 2) & (F.col("doc_id") % 2 == 0), page))
+    return found.select(F.col("arxiv_id").cast("long").alias("doc_id"), "source", F.size("sections").cast("long").alias("n"))
+
+
+@query(f"WITH {_SIM} SELECT vec_id, sim >= 0.15 AS passed FROM s")
+def flt_fallback_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate where a simpler embedder stands in for the configured one: the lower of both thresholds."""
+    config = from_dict({"embedding": {"provider": "transformer"}, "relevance": {"embedding_threshold": 0.55}})
+    return _similar(spark, sf_dir).select("vec_id", (F.col("similarity") >= relevance.effective_threshold(config, "hashing")).alias("passed"))
+
+
+@query(
+    f"""WITH {PAPERS_SQL} SELECT CAST(doc_id AS VARCHAR) AS cache_key, CASE WHEN contains('Title: ' || title || chr(10) || chr(10) || 'Abstract: ' || abstract, 'token') THEN 0.9::DOUBLE ELSE 0::DOUBLE END AS score,
+doc_id % 5 = 0 AS stubbed FROM papers WHERE doc_id % 5 <> 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 0::DOUBLE, true FROM papers WHERE doc_id % 5 = 0"""
+)
+def llm_mock_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mock, told by what the prompt holds, answers to a request for each paper; it fails for one in five, which get a stub."""
+    p = titled(spark, sf_dir).withColumn("arxiv_id", F.col("doc_id").cast("string"))
+    prompt = F.concat(F.when(F.col("doc_id") % 5 == 0, "down: ").otherwise(""), recorded.relevance_prompt("p"))
+    reqs = materialize(recorded.requests(p, recorded.JUDGEMENT, F.col("arxiv_id"), prompt))
+
+    def say(asked: str) -> dict:
+        if asked.startswith("down: "):
+            raise OSError("down")
+        return {"is_relevant": "token" in asked, "score": 0.9 if "token" in asked else 0.0, "rationale": ""}
+
+    said = models.answers(reqs, lambda: models.Mock(answers={recorded.JUDGEMENT: say}))
+    return recorded.answered(reqs, materialize(said), recorded.JUDGEMENT).select("cache_key", "score", "stubbed")
