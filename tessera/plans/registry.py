@@ -19,7 +19,7 @@ from tessera.plans.standin import CONFIG, GATE, NOW, PAPERS_SQL, SEED_LABEL, pap
 from tessera.sources import fulltext, jsonl, store
 from tessera.sources.html import sections as parse_sections
 from tessera.sources.store import merged, materialize
-from tessera.streaming import harvest
+from tessera.streaming import harvest, latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -977,6 +977,22 @@ def stream_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
 
 
+@query(
+    """WITH e AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS version, event_id % 2 AS delivery FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+h AS (SELECT user_id, max(version) AS held FROM e WHERE delivery = 0 GROUP BY user_id),
+p AS (SELECT e.*, lag(version) OVER (PARTITION BY e.user_id, delivery ORDER BY version) AS last, CASE WHEN delivery = 1 THEN held END AS held FROM e LEFT JOIN h ON h.user_id = e.user_id),
+b AS (SELECT *, CASE WHEN last IS NULL THEN held WHEN held IS NULL THEN last ELSE greatest(held, last) END AS before FROM p)
+SELECT user_id, version, CASE WHEN before IS NULL THEN 'new' WHEN version > before THEN 'updated' WHEN version = before THEN 'repeated' ELSE 'late' END AS verdict FROM b"""
+)
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries, with a restart between them: what each event does to its user's newest time."""
+    base, events = f"{store.scratch(spark)}/latest-{uuid.uuid4().hex}", table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("version"))
+    for k in range(2):
+        events.where(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{base}/in")
+        latest.follow(spark, f"{base}/in", events.schema, "user_id", "version", f"{base}/out", f"{base}/checkpoint", files_per_batch=1_000_000)
+    return spark.read.parquet(f"{base}/out").select(F.col("key").alias("user_id"), "version", "verdict")
+
+
 # ------------------------------------------------------------------ scans, point reads, snapshots, whole duplicates, model answers
 
 

@@ -228,10 +228,13 @@ class Store:
             return
         files = self._write(name, rows, now["buckets"])
         full = {k for k in files if len(now["files"].get(k, [])) >= self.MANY}
+        spare = [f for k in full for f in files[k]]
         if full:
             whole = self._rows(name, [f for k in full for f in [*now["files"][k], *files[k]]])
             files |= self._write(name, whole.coalesce(1) if name not in self.keys else whole, now["buckets"])
         self._commit(name, now, now["files"] | {k: v if k in full else [*now["files"].get(k, []), *v] for k, v in files.items()})
+        for f in spare:  # their rows are in the one file of the bucket
+            self._delete(f)
 
     def set_status(self, keys: DataFrame, status: str) -> None:
         """Set the status of the papers in ``keys``; a key that is not there is an error."""

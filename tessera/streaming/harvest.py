@@ -35,9 +35,10 @@ def _micros(at: datetime) -> int:
 
 def take(store: Store, batch: DataFrame, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> int:
     """Add the batch's unknown papers, not older than the cursor, as SEEN; then move the cursor."""
+    batch = materialize(batch)
     last = cursor_of(store.get_state(CURSOR))
     since = F.timestamp_micros(F.lit(_micros(last))) if last else F.lit(None).cast("timestamp")
-    fresh = prepare(new_rows(batch.where(filters.since(F.col("published"), since)), store.read("papers")))
+    fresh = prepare(new_rows(batch.where(filters.since(F.col("published"), since)), store.near("papers", batch)))  # the buckets of the batch's ids alone
     fresh = fresh.withColumn("status", F.lit(schemas.SEEN))
     missing = [f for f in schemas.PAPERS.fields if f.name not in fresh.columns]
     fresh = fresh.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})

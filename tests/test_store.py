@@ -115,3 +115,5 @@ def test_many_small_appends_become_one_file(spark, store, monkeypatch):
     for k in range(6):
         store.log("e", {"n": k}, F.lit("2026-01-01").cast("timestamp"))
     assert store.read("audit_log").count() == 6 and len(held(store, "audit_log")) <= 4
+    kept = {f for v in store.versions("audit_log") for files in store._load(store._manifest_path("audit_log", v))["files"].values() for f in files}
+    assert on_disk(store, "audit_log") == kept
