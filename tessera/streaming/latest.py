@@ -2,7 +2,7 @@
 
 Each row of the stream is ``new``, ``updated``, ``repeated`` or ``late`` (older than the version that the key has),
 decided by state that is kept by key and survives restarts; a micro-batch touches the state of its own keys
-and nothing else.  State goes ``ttl`` after a key's last change, if one is given."""
+and nothing else.  A key's rows of one micro-batch are held together, so batches are bounded by their files.  State goes ``ttl`` after a key's last change, if one is given."""
 
 from __future__ import annotations
 
