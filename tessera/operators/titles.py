@@ -154,12 +154,14 @@ def fuzzy_edges(papers: DataFrame, threshold: float, id_: str = "arxiv_id", bloc
 
     Of two papers the ratio is that of the title of the lesser id to the other's."""
     members, groups = title_groups(papers, id_)
+    equal = members.join(groups.select("title", "author", "lo").hint("merge"), ["title", "author"]).where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    if threshold == 1:  # only equal titles have it
+        return equal.distinct()
     links = materialize(similar_groups(groups, threshold, block))
     side = lambda k: groups.select(F.col("title").alias(k), "author", F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")).hint("merge")
     met = links.join(side("x"), ["x", "author"]).join(side("y"), ["y", "author"])
     # some paper of the one group precedes some paper of the other, or follows one
     holds = (F.col("forward") & (F.col("lox") < F.col("hiy"))) | (F.col("backward") & (F.col("loy") < F.col("hix")))
-    equal = members.join(groups.select("title", "author", "lo").hint("merge"), ["title", "author"]).where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
     return met.where(holds & (F.col("lox") != F.col("loy"))).select(F.least("lox", "loy").alias("a"), F.greatest("lox", "loy").alias("b")).unionByName(equal).distinct()
 
 

@@ -64,6 +64,21 @@ def test_copies_cost_no_pairs(spark):
     assert edges.count() == 1000 and {r["root"] for r in graph.components(edges).collect()} == {0}
 
 
+def test_ratio_of_one_compares_no_titles(spark, monkeypatch):
+    """Only equal titles have it, so unlike ones of a first word never meet."""
+    rows = made(5, 220)
+    df = spark.createDataFrame(rows, "doc_id long, title string, authors array<string>")
+    monkeypatch.setattr(titles, "candidates", lambda *_: pytest.fail("titles were compared"))
+    want, root = plain_pairs(rows, 1.0), {}
+    for a, b in sorted(want):
+        root.setdefault(a, a)
+        root[b] = min(root.get(b, b), root[a])
+    for _ in rows:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    assert dict(graph.components(titles.fuzzy_edges(df, 1.0, "doc_id")).collect()) == root and len(root) > 20
+
+
 def test_no_titles(spark):
     df = spark.createDataFrame([], "doc_id long, title string, authors array<string>")
     assert titles.fuzzy_pairs(df, 0.9, "doc_id").count() == 0 and titles.fuzzy_edges(df, 0.9, "doc_id").count() == 0
