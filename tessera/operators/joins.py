@@ -11,7 +11,7 @@ from tessera.functions import text as X
 
 def new_rows(harvested: DataFrame, stored: DataFrame, key: str = "arxiv_id") -> DataFrame:
     """Harvested rows not stored yet; of one key's rows in a harvest, one."""
-    return harvested.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+    return harvested.dropDuplicates([key]).join(stored.select(key).hint("merge"), key, "left_anti")  # a stored column of few bytes may be many rows
 
 
 def seed_vectors(embeddings: DataFrame, seeds: DataFrame, key: str = "paper_id") -> DataFrame:

@@ -6,7 +6,8 @@ it was, of two writers at once the second fails, and a reader keeps the files th
 for two further versions; who reads longer takes a snapshot.
 Parquet has no MERGE, so an upsert joins the new rows with the rows of the buckets that their
 keys fall into, and only these buckets get new files.  A snapshot is a copy of manifests.
-The driver holds file names, not rows."""
+The driver holds file names, not rows: few bytes of compressed files may be many rows, so joins with what a
+table holds are never broadcast."""
 
 from __future__ import annotations
 
@@ -219,7 +220,7 @@ class Store:
         """Add rows whose key is not there yet; what is there stays where it lies."""
         keys = self.keys[name]
         _, rows, _, old = self._touched(name, self._typed(name, rows).dropDuplicates(keys))
-        self.append(name, rows.join(old.select(*keys), keys, "left_anti"))
+        self.append(name, rows.join(old.select(*keys).hint("merge"), keys, "left_anti"))
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add files; buckets that have many are written anew as one, with the new rows."""
@@ -239,11 +240,11 @@ class Store:
     def set_status(self, keys: DataFrame, status: str) -> None:
         """Set the status of the papers in ``keys``; a key that is not there is an error."""
         now, keys, buckets, papers = self._touched("papers", keys.select("arxiv_id").distinct())
-        missing = keys.join(papers, "arxiv_id", "left_anti").limit(1).collect()
+        missing = keys.join(papers.hint("merge"), "arxiv_id", "left_anti").limit(1).collect()
         if missing:
             raise KeyError(missing[0][0])
         hit = keys.withColumn("hit", F.lit(True))
-        self._rewrite("papers", now, buckets, papers.join(hit, "arxiv_id", "left").withColumn("status", F.when(F.col("hit"), status).otherwise(F.col("status"))).drop("hit"))
+        self._rewrite("papers", now, buckets, papers.join(hit.hint("merge"), "arxiv_id", "left").withColumn("status", F.when(F.col("hit"), status).otherwise(F.col("status"))).drop("hit"))
 
     def put_state(self, key: str, value: str) -> None:
         self.upsert("state", self.spark.createDataFrame([(key, value)], schemas.STATE))
@@ -286,7 +287,7 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     """The rows of ``new`` by key, those of ``old`` that have none, and ``keep`` columns from ``old`` where it has them."""
     o, n = old.alias("o"), new.dropDuplicates(keys).withColumn("_new", F.lit(True)).alias("n")
     on = reduce(lambda a, b: a & b, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys])
-    both = o.join(n, on, "full_outer")
+    both = o.join(n.hint("merge"), on, "full_outer")
     fresh = F.coalesce(F.col("n._new"), F.lit(False))
 
     def value(c: str) -> Column:
