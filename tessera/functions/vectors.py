@@ -48,18 +48,18 @@ def bucket(token: str, dim: int) -> tuple[int, float]:
 
 
 class _Buckets:
-    """Buckets and signs of tokens, remembered per worker up to a bound."""
+    """Buckets and signs of tokens, remembered per worker up to a bound of about 30 MB."""
 
-    def __init__(self, dim: int, most: int = 500_000):
+    def __init__(self, dim: int, most: int = 100_000):
         self.dim, self.most = dim, most
-        self.words: dict[str, list[tuple[int, float]]] = {}
+        self.words: dict[str, bytes] = {}
 
-    def word(self, w: str) -> list[tuple[int, float]]:
-        """Of a word and, from three letters on, of its trigrams between borders."""
+    def word(self, w: str) -> bytes:
+        """Of a word and, from three letters on, of its trigrams between borders: twice the bucket, and one more for a plus."""
         found = self.words.get(w)
         if found is None:
             grams = [f"c:{p[k : k + 3]}" for p in (f"#{w}#",) for k in range(len(w))] if len(w) >= 3 else []
-            found = [bucket(g, self.dim) for g in (w, *grams)]
+            found = np.array([2 * at + (sign > 0) for at, sign in (bucket(g, self.dim) for g in (w, *grams))], np.int32).tobytes()
             if len(self.words) < self.most:
                 self.words[w] = found
         return found
@@ -74,13 +74,22 @@ def hash_embed(df: DataFrame, tokens: str, dim: int = 256, name: str = "vector")
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets(dim)
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
+            for b in _slices(whole, tokens):
                 yield pa.RecordBatch.from_arrays([*b.columns, _embedded(b.column(tokens), known)], [*b.schema.names, name])
 
     return df.mapInArrow(embed, StructType([*df.schema.fields, StructField(name, ArrayType(FloatType()))]))
 
 
+def _slices(whole: pa.RecordBatch, tokens: str, most: int = 100_000, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of so many rows, and of so many tokens where a row doesn't hold more."""
+    n = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(tokens)), 0).to_numpy(zero_copy_only=False))
+    at, before = 0, 0
+    while at < whole.num_rows:
+        end = min(at + rows, max(at + 1, int(np.searchsorted(n, before + most, "right"))))
+        yield whole.slice(at, end - at)
+        at, before = end, n[end - 1] if end else 0
+
+
 def _embedded(lists: pa.Array, known: _Buckets) -> pa.Array:
     dim, rows = known.dim, len(lists)
     n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -89,12 +98,12 @@ def _embedded(lists: pa.Array, known: _Buckets) -> pa.Array:
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(rows), n)
     parts = [known.word(w) for w in names]
-    size = np.array([len(p) for p in parts], np.int64)
-    flat = np.array([x for p in parts for x in p]).reshape(-1, 2)
+    size = np.array([len(p) // 4 for p in parts], np.int64)
+    flat = np.frombuffer(b"".join(parts), np.int32)
     where, each = np.concatenate([[0], np.cumsum(size)]), size[codes]
     at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each - where[codes], each)
-    cell = np.repeat(doc, each) * dim + flat[at, 0].astype(np.int64)
-    out = np.bincount(cell, flat[at, 1], rows * dim)
+    cell = np.repeat(doc, each) * dim + flat[at] // 2
+    out = np.bincount(cell, flat[at] % 2 * 2.0 - 1, rows * dim)
     inside = np.flatnonzero(doc[1:] == doc[:-1])
     pairs, back = np.unique(codes[inside] * np.int64(max(len(names), 1)) + codes[inside + 1], return_inverse=True)
     hashed = np.array([bucket(f"{names[p // len(names)]}_{names[p % len(names)]}", dim) for p in pairs.tolist()]).reshape(-1, 2)
