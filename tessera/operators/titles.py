@@ -1,12 +1,12 @@
-"""Similar titles: a prefix-filtered join with a proven bound for the Ratcliff/Obershelp ratio.
+"""Similar titles: a join by first word, author and length with proven bounds for the Ratcliff/Obershelp ratio.
 
 The ratio of titles of ``m`` and ``n`` letters is ``2 M / (m + n)``, where the ``M`` matching letters stand in the
 same order in both.  So a ratio of ``t`` leaves at most ``m - t (m + n) / 2`` letters of the one unmatched,
 and ``n - t (m + n) / 2`` of the other.  An unmatched letter spoils at most ``q`` of its title's runs of ``q``
 letters, and an unmatched letter of the other title at most ``q - 1`` of them.  As the lengths differ by the factor
-``(2 - t) / t`` at most, a title of ``m`` letters loses at most ``slope(q, t) * m`` of its runs to any partner, and
-of two partners each holds a run of the other's among the rarest ``slope * length + 1`` of its own.  Titles meet by
-first word, author and such a run.  Short titles, which might lose all their runs, meet by letters.
+``(2 - t) / t`` at most, a title of ``m`` letters loses at most ``slope(q, t) * m`` of its runs to any partner.
+Titles meet by first word, author and a step of lengths of that factor; letters, runs and the longest common
+subsequence, which is no shorter than ``M``, rule out most pairs.
 
 Equal titles under one author are one group throughout, named by its least and greatest id, and a key that many
 groups share is dealt into blocks, so that no task holds all of its pairs."""
@@ -20,16 +20,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tessera.functions import text as X
 from tessera.sources.store import materialize
 
-#: What title words hold; runs are numbers in this base, so the table of their counts is of fixed size.
+#: What title words hold.
 ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789"
 BASE = len(ALPHABET)
 #: Groups of a key that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 512
 
 
 # ------------------------------------------------------------------ bounds
@@ -65,88 +64,106 @@ def title_groups(papers: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
     return members, materialize(groups.join(names.hint("merge"), "title").select("title", "t", "block", "author", "lo", "hi"))
 
 
-def _codes(t: Column, q: int) -> Column:
-    """The title's distinct runs of ``q`` letters as numbers; those of one letter lie below the others."""
-    letters = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.instr(F.lit(ALPHABET), F.substring(t, i, F.lit(1))) - 1)
-    if q == 1:
-        return F.array_distinct(letters)
-    tails = [F.slice(letters, k + 1, F.greatest(F.length(t) - q + 1, F.lit(0))) for k in range(q)]
-    out = tails[0]
-    for tail in tails[1:]:
-        out = F.zip_with(out, tail, lambda a, b: a * BASE + b)
-    return F.array_distinct(F.transform(out, lambda c: c + BASE))
-
-
-def rare_runs(titles: DataFrame, threshold: float) -> DataFrame:
-    """``title, code`` of ``title, t``: the rarest runs of each title, so many that two partners share one."""
-    q, short = run_length(threshold)
-    n = F.length("t")
-    kinds = [(q, n >= short)] if q == 1 else [(q, n >= short), (1, n < short * (2 - threshold) / threshold + 1)]
-    found = [titles.where(which).select("title", _codes(F.col("t"), k).alias("codes"), F.floor(slope(k, threshold) * n + 1e-9).cast("int").alias("lost")) for k, which in kinds]
-    runs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    counts = runs.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-    every = titles.sparkSession.range(BASE + BASE**q).select(F.col("id").cast("int").alias("code")).join(counts, "code", "left")
-    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("code", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("rarity"))
-    ordered = F.array_sort(F.transform("codes", lambda c: F.struct(F.get("rarity", c).alias("n"), c.alias("code"))))
-    rarest = runs.join(F.broadcast(table)).select("title", F.explode(F.slice(ordered, F.lit(1), F.col("lost") + 1)).alias("x"))  # table: one row of fixed size
-    return rarest.select("title", "x.code")
+def letter_counts(t: Column) -> Column:
+    """How often each letter of the alphabet stands in the title."""
+    return F.transform(F.sequence(F.lit(1), F.lit(BASE)), lambda i: F.length(t) - F.length(F.replace(t, F.substring(F.lit(ALPHABET), i, F.lit(1)), F.lit(""))))
 
 
 # ------------------------------------------------------------------ the join
 
 
-def title_ratio(least: float = 0.0):
-    """A column function of two strings: their Ratcliff/Obershelp similarity, 0 where it is under ``least``.
-
-    It is not symmetric, so the order of the arguments counts.  Two upper bounds, by
-    lengths and by letters, settle most pairs before the costly comparison."""
-
-    @F.pandas_udf(DoubleType())
-    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        m = difflib.SequenceMatcher(None)
-        for x, y in batches:
+class _Title:
+    """What is kept of a title while it is compared with many: its runs and the places of its letters."""
+
+    def __init__(self, t: str, q: int, keeps: float):
+        self.t, self.n, self.runs = t, len(t), {t[k : k + q] for k in range(len(t) - q + 1)}
+        self.least = len(self.runs) - math.floor(keeps * self.n + 1e-9)
+        self.places: dict[str, int] = {}
+        for k, x in enumerate(t):
+            self.places[x] = self.places.get(x, 0) | 1 << k
+
+    def common(self, y: str, least: float) -> bool:
+        """Whether the longest common subsequence has ``least`` letters; the matching letters of a ratio are a common one.
+
+        After ``k`` letters of ``y``, no more than those that may stay unmatched are, and the others lie
+        among as many first letters of this title and those that it may leave unmatched."""
+        same = next((k for k, (a, b) in enumerate(zip(self.t, y, strict=False)) if a != b), min(self.n, len(y)))
+        if same >= least:
+            return True
+        full, spare, loose = (1 << self.n) - 1, self.n - least, len(y) - least
+        v, every = full - ((1 << same) - 1), max(16, len(y) // 8)  # a common head is matched as it stands
+        for k in range(same + 1, len(y) + 1):
+            u = v & self.places.get(y[k - 1], 0)
+            v = ((v + u) | (v - u)) & full
+            if k % every == 0:
+                head = min(self.n, math.floor(k + spare + 1e-9))
+                if head - (v & ((1 << head) - 1)).bit_count() < k - loose - 1e-9:
+                    return False
+                if self.n - v.bit_count() >= least:
+                    return True
+        return self.n - v.bit_count() >= least - 1e-9
+
+
+def title_ratios(least: float):
+    """A column function of two strings: whether their Ratcliff/Obershelp similarity reaches ``least``, in this and in the other order.
+
+    It is not symmetric.  Upper bounds by runs and by the longest common subsequence settle most pairs before
+    the costly comparison."""
+    q, short = run_length(least)
+    keeps = slope(q, least)
+
+    @F.pandas_udf("forward boolean, backward boolean")
+    def ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        m, known = difflib.SequenceMatcher(None), _Title("", q, keeps)
+        for xs, ys in batches:
             out = []
-            for p, q in zip(x, y, strict=True):
-                if m.b != q:
-                    m.set_seq2(q)
-                m.set_seq1(p)
-                near = m.real_quick_ratio() >= least and m.quick_ratio() >= least
-                out.append(m.ratio() if near else 0.0)
-            yield pd.Series(out, dtype="float64")
-
-    return ratio
+            for x, y in zip(xs, ys, strict=True):
+                if known.t != x:
+                    known = _Title(x, q, keeps)
+                near = min(len(x), len(y)) < short or len(known.runs & {y[k : k + q] for k in range(len(y) - q + 1)}) >= known.least
+                if not near or not known.common(y, least * (len(x) + len(y)) / 2):
+                    out.append((False, False))
+                    continue
+                m.set_seqs(x, y)
+                forward = m.ratio() >= least
+                m.set_seqs(y, x)
+                out.append((forward, m.ratio() >= least))
+            yield pd.DataFrame(out, columns=["forward", "backward"])
+
+    return ratios
 
 
 def candidates(groups: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """``x, y, author`` with ``x < y``: titles that share first word, author and a rare run, and whose lengths allow the ratio."""
-    met = groups.groupBy("block", "author").agg(F.count("*").alias("_m")).where("_m > 1").select("block", "author")
-    own = materialize(groups.join(met.hint("merge"), ["block", "author"]).select("title", "t", "block", "author"))
-    runs = rare_runs(own.select("title", "t").dropDuplicates(["title"]), threshold)
-    key = ["block", "author", "code"]
-    keyed = own.select("title", "block", "author", F.length("t").alias("n")).join(runs.hint("merge"), "title")
-    sized = keyed.groupBy(*key).agg(F.count("*").alias("_m")).where("_m > 1").select(*key, F.ceil(F.col("_m") / block).cast("int").alias("blocks"))
-    dealt = keyed.join(sized.hint("merge"), key)
-    left = dealt.select(*key, F.pmod(F.xxhash64("title"), F.col("blocks")).cast("int").alias("salt"), F.col("title").alias("x"), F.col("n").alias("nx"))
-    right = dealt.select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("title").alias("y"), F.col("n").alias("ny"))
-    near = 2 * F.least("nx", "ny") >= threshold * (F.col("nx") + F.col("ny"))
-    return left.join(right.hint("merge"), [*key, "salt"]).where((F.col("x") < F.col("y")) & near).select("x", "y", "author").distinct()
+    """``x, y, author, tx, ty`` with ``x < y``: titles that share first word and author, and whose lengths and letters allow the ratio.
+
+    Lengths that allow it differ by the factor ``(2 - t) / t`` at most, so with steps of that factor a title
+    meets those of its own step and of the next."""
+    factor = (2 - threshold) / threshold
+    step = F.floor(F.log(F.length("t").cast("double")) / (math.log(factor) * (1 + 1e-9))).cast("int") if factor > 1 else F.length("t")
+    key = ["block", "author", "step"]
+    own = materialize(groups.select("title", "t", "block", "author", step.alias("step"), F.length("t").alias("n"), letter_counts(F.col("t")).alias("l")))
+    sized = own.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = own.join(sized.hint("merge"), key)
+    left = dealt.select(*key, F.pmod(F.xxhash64("title"), F.col("blocks")).cast("int").alias("salt"), *[F.col(c).alias(f"_{c}x") for c in ("title", "t", "n", "l")])
+    met = own.withColumn("step", F.explode(F.array("step", F.col("step") - 1))).join(sized.hint("merge"), key)
+    right = met.select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), *[F.col(c).alias(f"_{c}y") for c in ("title", "t", "n", "l")])
+    once = (F.col("_nx") < F.col("_ny")) | ((F.col("_nx") == F.col("_ny")) & (F.col("_titlex") < F.col("_titley")))
+    # bounds by whole numbers of letters that are a hair low never rule out a pair of the ratio
+    both = F.lit(threshold) * (F.col("_nx") + F.col("_ny")) - 1e-9
+    shared = F.aggregate(F.zip_with("_lx", "_ly", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    pairs = left.join(right.hint("merge"), [*key, "salt"]).where(once & (2 * F.col("_nx") >= both)).where(2 * shared >= both)
+    ahead = F.col("_titlex") < F.col("_titley")
+    pick = lambda c, first, name: F.when(ahead, F.col(f"_{c}{first}")).otherwise(F.col(f"_{c}{'y' if first == 'x' else 'x'}")).alias(name)
+    return pairs.select(pick("title", "x", "x"), pick("title", "y", "y"), "author", pick("t", "x", "tx"), pick("t", "y", "ty"))
 
 
 def similar_groups(groups: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """``x, y, author, forward, backward``: whether the ratio of the titles reaches the threshold in this and in the other order."""
     if not 0 < threshold <= 1:
         raise ValueError("a ratio's threshold lies over 0 and at most at 1")
-    found = materialize(candidates(groups, threshold, block))
-    names = groups.select("title", "t").dropDuplicates(["title"])
-    counts = F.transform(F.sequence(F.lit(1), F.lit(BASE)), lambda i: F.length("t") - F.length(F.replace("t", F.substring(F.lit(ALPHABET), i, F.lit(1)), F.lit(""))))
-    names = materialize(names.withColumn("letters", counts))
-    side = lambda k: names.select(F.col("title").alias(k), F.col("t").alias(f"t{k}"), F.col("letters").alias(f"l{k}")).hint("merge")
-    pairs = found.select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y")
-    shared = F.aggregate(F.zip_with("lx", "ly", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    likely = materialize(pairs.where(2 * shared >= threshold * (F.length("tx") + F.length("ty"))).select("x", "y", "tx", "ty"))
-    ratio = title_ratio(threshold)
-    judged = likely.select("x", "y", (ratio("tx", "ty") >= threshold).alias("forward"), (ratio("ty", "tx") >= threshold).alias("backward")).where("forward or backward")
-    return found.join(judged.hint("merge"), ["x", "y"])
+    found = candidates(groups, threshold, block).groupBy("x", "y").agg(F.collect_set("author").alias("authors"), F.first("tx").alias("tx"), F.first("ty").alias("ty"))
+    judged = materialize(found.select("x", "y", "authors", title_ratios(threshold)("tx", "ty").alias("r")).where("r.forward or r.backward"))
+    return judged.select("x", "y", F.explode("authors").alias("author"), "r.forward", "r.backward")
 
 
 def fuzzy_edges(papers: DataFrame, threshold: float, id_: str = "arxiv_id", block: int = BLOCK) -> DataFrame:

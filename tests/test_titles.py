@@ -79,6 +79,31 @@ def test_ratio_of_one_compares_no_titles(spark, monkeypatch):
     assert dict(graph.components(titles.fuzzy_edges(df, 1.0, "doc_id")).collect()) == root and len(root) > 20
 
 
+def test_common_letters_are_the_longest_subsequence():
+    rng = random.Random(6)
+    for _ in range(300):
+        x, y = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, 60))) for _ in range(2))
+        y = x[: rng.randint(0, len(x))] + y
+        best = [0] * (len(y) + 1)
+        for a in x:
+            row = [0]
+            for k, b in enumerate(y):
+                row.append(best[k] + 1 if a == b else max(row[k], best[k + 1]))
+            best = row
+        known = titles._Title(x, 1, 1.0)
+        assert known.common(y, best[-1]) and not known.common(y, best[-1] + 0.5)
+
+
+def test_titles_meet_once_by_letters(spark):
+    """Titles of like runs and unlike letters never reach the comparison, and a pair of two authors reaches it once."""
+    rows = [(k, f"the model of {'abcdefghij'[k % 10] * 12} and graphs", ["A", "B"]) for k in range(200)] + [(200, "the model of aaaaaaaaaaab and graphs", ["A", "B"])]
+    df = spark.createDataFrame(rows, "doc_id long, title string, authors array<string>")
+    _, groups = titles.title_groups(df, "doc_id")
+    met = titles.candidates(groups, 0.9)
+    assert met.count() == 2 and met.select("x", "y").distinct().count() == 1  # the last title and the first, under either author
+    assert titles.fuzzy_edges(df, 0.9, "doc_id").count() == 191
+
+
 def test_no_titles(spark):
     df = spark.createDataFrame([], "doc_id long, title string, authors array<string>")
     assert titles.fuzzy_pairs(df, 0.9, "doc_id").count() == 0 and titles.fuzzy_edges(df, 0.9, "doc_id").count() == 0
