@@ -140,12 +140,37 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, id_: str = "id") -> D
 
     Sorting by level gives a valid order of any number of nodes."""
     one = nodes.select(F.col(id_).alias("src")).distinct()
-    links = inside(edges, nodes, id_).select("src", "dst").distinct().withColumn("w", F.lit(1))
-    rows = one.select("src", F.lit(None).cast(links.schema["dst"].dataType).alias("dst"), F.lit(0).alias("w")).unionByName(links)
+    links = inside(edges, nodes, id_).select("src", "dst").distinct()
+    core, outer = peeled(links)
+    constants = one.join(outer[-1].select("src").hint("merge"), "src", "left_anti") if outer else one
+    for layer in outer[:-1]:
+        constants = constants.join(layer.select("src").hint("merge"), "src", "left_anti")
+    rows = constants.select("src", F.lit(None).cast(links.schema["dst"].dataType).alias("dst"), F.lit(0).alias("w")).unionByName(core.withColumn("w", F.lit(1)))
     found = propagate(rows, one.count())
+    for layer in reversed(outer):  # what a layer points to has its level by now
+        met = layer.join(found.select(F.col("id").alias("dst"), "value").hint("merge"), "dst", "left").groupBy("src")
+        level = F.when(F.count("value") == F.count("*"), F.max("value") + 1)
+        found = materialize(found.unionByName(met.agg(level.alias("value")).withColumnRenamed("src", "id")))
     return found.select(F.col("id").alias(id_), F.col("value").cast("int").alias("level"))
 
 
+def peeled(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The links that a level may wait for, and layers of links of nodes that nothing points to, the outermost first.
+
+    The level of such a node follows in one step from those of the nodes it points to, so it takes part in no round.
+    Layers are taken off while each holds most of what is left, so their number grows with the logarithm of the links."""
+    outer = []
+    while True:
+        used = links.select(F.col("dst").alias("src")).distinct().withColumn("_used", F.lit(True))
+        marked = links.join(used.hint("merge"), "src", "left")
+        n, inner = marked.agg(F.count("*"), F.count("_used")).first()
+        if not n or 2 * inner > n:
+            return links, outer
+        marked = materialize(marked)
+        outer.append(marked.where("_used is null").select("src", "dst"))
+        links = marked.where("_used").select("src", "dst")
+
+
 def topological_order(nodes: DataFrame, edges: DataFrame, id_: str = "id", position: str = "position") -> DataFrame:
     """``id_, place`` in the exact order: always the earliest node by ``position`` of those whose dependencies are placed; cycles last.
 

@@ -85,6 +85,29 @@ def test_long_ring_and_its_tail(spark, rounds):
     assert len(rounds) < 20
 
 
+@pytest.mark.parametrize("cycles", [0, 3])
+def test_what_nothing_points_to_takes_no_round(spark, monkeypatch, cycles):
+    """A small deep core under many nodes, and more on top of these."""
+    rng = random.Random(7)
+    core = made(3, 30, 2, cycles)
+    edges = core + [(k, rng.randrange(30)) for k in range(30, 400) for _ in range(3)] + [(k, rng.randrange(30, 400)) for k in range(400, 2500) for _ in range(2)]
+    given = []
+    real = graph.propagate
+    monkeypatch.setattr(graph, "propagate", lambda rows, most: given.append(rows.where("dst is not null").count()) or real(rows, most))
+    nodes = spark.range(2600)
+    got = dict(graph.topological_levels(nodes, spark.createDataFrame(edges, "src long, dst long")).collect())
+    core_ids = list(range(30))
+    want = plain_levels(core_ids, [e for e in core if e[1] < 30])
+    points = {}
+    for s, d in edges:
+        if s >= 30 and d < 2600:
+            points.setdefault(s, set()).add(d)
+    for k in range(30, 2600):
+        below = [want[d] for d in points.get(k, ())]
+        want[k] = None if None in below else 1 + max(below, default=-1)
+    assert got == want and given[0] <= len(core)
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], "id string, position long")
     edges = spark.createDataFrame([("a", "b")], "src string, dst string")
