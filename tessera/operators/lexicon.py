@@ -2,7 +2,8 @@
 
 Postings lie in buckets by term and carry their document's length, so a query is a read of its terms' buckets
 and one aggregate; document frequencies are counts of the postings read.  The number of
-documents and of tokens is kept as a sum a harvest.  A document that is there already is not added again."""
+documents and of tokens is kept as a sum a harvest.  A harvest moves what a document holds of each term, once
+by document and once by term.  A document that is there already is not added again."""
 
 from __future__ import annotations
 
@@ -14,6 +15,15 @@ from tessera.functions import text as X
 from tessera.sources.store import Store, materialize
 
 
+def term_counts(words: Column) -> Column:
+    """``term, tf`` of each word of an array, in order; made inside the row, so nothing is shuffled."""
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  (x is computed once)
+    run = lambda w, starts: F.transform(starts, lambda at, k: F.struct(w[at].alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(w)) - at).alias("tf")))
+    first = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda at: (at == 0) | (w[at] != F.get(w, at - 1)))
+    counted = bound(F.sort_array(words), lambda w: bound(first(w), lambda starts: run(w, starts)))
+    return F.when(F.size(words) > 0, counted).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str, key: T.DataType | None = None, buckets: int = 64):
         """``key``: the type of document ids, long if not given."""
@@ -25,16 +35,18 @@ class Index:
 
     def add(self, docs: DataFrame, text: Column, key: str = "doc_id") -> int:
         """Add the documents whose id is not there yet; how many.  Of rows of one id, one is taken."""
-        given = docs.select(F.col(key).alias("doc"), X.tokens(text).alias("tokens")).where("doc is not null").dropDuplicates(["doc"])
-        given = materialize(given)
-        new = materialize(given.join(self.store.near("docs", given).select("doc"), "doc", "left_anti"))
-        batch, n, tokens = new.agg(F.bit_xor(F.xxhash64("doc")), F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+        counted = docs.select(F.col(key).alias("doc"), X.tokens(text).alias("_w")).where("doc is not null").select("doc", F.size("_w").alias("dl"), term_counts(F.col("_w")).alias("_t"))
+        # tokens hold no space, so a text's terms are one string; rows are numbered, to take the same one of an id at each reading
+        given = materialize(counted.select("doc", "dl", F.array_join("_t.term", " ").alias("terms"), F.col("_t.tf").alias("tf"), F.monotonically_increasing_id().alias("row")))
+        one = given.groupBy("doc").agg(F.min_by("dl", "row").alias("dl"), F.min("row").alias("row"))
+        new = materialize(one.join(self.store.near("docs", given).select("doc").hint("merge"), "doc", "left_anti"))
+        batch, n, tokens = new.agg(F.bit_xor(F.xxhash64("doc")), F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if n:
-            terms = new.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-            self.store.append("postings", terms.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf")))
+            rows = given.where("dl > 0").join(new.select("doc", "row").hint("merge"), ["doc", "row"], "left_semi")
+            self.store.append("postings", rows.select("doc", "dl", F.inline(F.arrays_zip(F.split("terms", " ").alias("term"), "tf"))))
             # documents are named last: an add that was lost on the way is made again with the same effect
             self.store.upsert("harvests", self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(n).alias("docs"), F.lit(tokens).alias("tokens")))
-            self.store.append("docs", new.select("doc", F.size("tokens").alias("dl")))
+            self.store.append("docs", new.select("doc", "dl"))
         return n
 
     def postings(self, query: str) -> DataFrame:

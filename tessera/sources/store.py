@@ -163,9 +163,13 @@ class Store:
         found = self._rows(name, now["files"].get(str(bucket), []))
         return found.where(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in zip(names, key, strict=True)])).first()
 
-    def near(self, name: str, wanted: DataFrame) -> DataFrame:
-        """The rows of the buckets that the rows of ``wanted`` fall into, by its columns of the table's names; no other file is read."""
-        now, names = self.manifest(name), self.by[name]
+    def near(self, name: str, wanted: DataFrame, now: dict[str, Any] | None = None) -> DataFrame:
+        """The rows of the buckets that the rows of ``wanted`` fall into, by its columns of the table's names; no other file is read.
+
+        ``now``: the manifest to read by, the newest if not given."""
+        now, names = now or self.manifest(name), self.by[name]
+        if not now["files"]:
+            return self._rows(name, [])
         typed = wanted.select(*[F.col(k).cast(self.tables[name][k].dataType).alias(k) for k in names])
         buckets = sorted(r[0] for r in typed.select(self._bucket(name, now["buckets"])).distinct().collect())  # numbers of buckets
         return self._rows(name, [f for k in buckets for f in now["files"].get(str(k), [])])
@@ -213,8 +217,8 @@ class Store:
 
     def upsert(self, name: str, rows: DataFrame, keep: tuple[str, ...] = ()) -> None:
         """Replace rows by key; the columns in ``keep`` hold their first value (``created_at``, say)."""
-        now, rows, buckets, old = self._touched(name, self._typed(name, rows).dropDuplicates(self.keys[name]))
-        self._rewrite(name, now, buckets, merged(old, rows, self.keys[name], keep))
+        now, rows, buckets, old = self._touched(name, self._typed(name, rows))
+        self._rewrite(name, now, buckets, merged(old, rows, self.keys[name], keep))  # one of a key's rows is taken in the shuffle of the join
 
     def insert_new(self, name: str, rows: DataFrame) -> None:
         """Add rows whose key is not there yet; what is there stays where it lies."""
@@ -222,12 +226,18 @@ class Store:
         _, rows, _, old = self._touched(name, self._typed(name, rows).dropDuplicates(keys))
         self.append(name, rows.join(old.select(*keys).hint("merge"), keys, "left_anti"))
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add files; buckets that have many are written anew as one, with the new rows."""
-        now, rows = self.manifest(name), materialize(self._typed(name, rows))
-        if rows.isEmpty():
-            return
+    def append(self, name: str, rows: DataFrame, now: dict[str, Any] | None = None) -> int:
+        """Add files; buckets that have many are written anew as one, with the new rows.  How many rows were added.
+
+        ``rows`` are computed once and moved once, to their buckets.  ``now``: the manifest that they were chosen by, the newest if
+        not given; if another writer has made a version since, this is a :class:`Conflict`."""
+        now, rows = now or self.manifest(name), self._typed(name, rows)
         files = self._write(name, rows, now["buckets"])
+        n = self._rows(name, [f for one in files.values() for f in one]).count()
+        if not n:
+            for f in [f for one in files.values() for f in one]:
+                self._delete(f)
+            return 0
         full = {k for k in files if len(now["files"].get(k, [])) >= self.MANY}
         spare = [f for k in full for f in files[k]]
         if full:
@@ -236,6 +246,7 @@ class Store:
         self._commit(name, now, now["files"] | {k: v if k in full else [*now["files"].get(k, []), *v] for k, v in files.items()})
         for f in spare:  # their rows are in the one file of the bucket
             self._delete(f)
+        return n
 
     def set_status(self, keys: DataFrame, status: str) -> None:
         """Set the status of the papers in ``keys``; a key that is not there is an error."""
