@@ -33,19 +33,20 @@ def _micros(at: datetime) -> int:
     return (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
 
 
-def take(store: Store, batch: DataFrame, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> int:
-    """Add the batch's unknown papers, not older than the cursor, as SEEN; then move the cursor."""
-    batch = materialize(batch)
+def take(store: Store, batch: DataFrame, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, stored: bool = False) -> int:
+    """Add the batch's unknown papers, not older than the cursor, as SEEN; then move the cursor.
+
+    ``stored``: the batch is read from files that stay as they are, so it need not be written for its further uses.
+    Papers are added to their buckets; what is there is not moved."""
+    batch = batch if stored else materialize(batch)
     last = cursor_of(store.get_state(CURSOR))
     since = F.timestamp_micros(F.lit(_micros(last))) if last else F.lit(None).cast("timestamp")
-    fresh = prepare(new_rows(batch.where(filters.since(F.col("published"), since)), store.near("papers", batch)))  # the buckets of the batch's ids alone
+    now = store.manifest("papers")
+    fresh = prepare(new_rows(batch.where(filters.since(F.col("published"), since)), store.near("papers", batch, now)))  # the buckets of the batch's ids alone
     fresh = fresh.withColumn("status", F.lit(schemas.SEEN))
     missing = [f for f in schemas.PAPERS.fields if f.name not in fresh.columns]
     fresh = fresh.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
-    fresh = materialize(fresh)
-    n = fresh.count()
-    if n:
-        store.upsert("papers", fresh, keep=("created_at",))
+    n = store.append("papers", fresh.dropDuplicates(["arxiv_id"]), now)  # the rows lie by key already, unless prepare moves them
     newest = batch.agg(F.unix_micros(F.max("published"))).first()[0]
     if newest is not None and (last is None or newest > _micros(last)):
         store.put_state(CURSOR, (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=newest)).isoformat(" "))

@@ -2,12 +2,15 @@
 
 import random
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import graph, lexicon, patterns, rank
+from tessera.sources import store
+from tessera.streaming import harvest
 
 
 def scores(df, key):
@@ -106,3 +109,63 @@ def test_untouched_components_stay(spark, tmp_path):
     assert add((0, 3), (1, 2)) == 0 and add((3, 10)) == 1
     assert {r["root"] for r in grown.read().where("node in (0, 1, 2, 3, 10, 11)").collect()} == {0}
     assert grown.read().where("node <> root").count() == 100 + 2
+
+
+# ------------------------------------------------------------------ what a harvest moves
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    texts = [(1, "b a b c a b"), (2, ""), (3, None), (4, "x")]
+    df = spark.createDataFrame(texts, "id long, text string").select("id", lexicon.term_counts(X.tokens("text")).alias("t"))
+    assert {r["id"]: [tuple(x) for x in r["t"]] for r in df.collect()} == {1: [("a", 2), ("b", 3), ("c", 1)], 2: [], 3: [], 4: [("x", 1)]}
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_add_keeps_no_words_twice(spark, tmp_path, monkeypatch):
+    """What is stored on the way holds each term of a document once, and postings are computed once."""
+    kept = []
+    real = store.materialize
+
+    def noting(df):
+        out = real(df)
+        kept.append(out)
+        return out
+
+    monkeypatch.setattr(lexicon, "materialize", noting)
+    monkeypatch.setattr(store, "materialize", noting)
+    df = spark.createDataFrame([(1, "abcdef " * 500), (2, "abcdef"), (2, "abcdef"), (None, "x")], "doc_id long, text string")
+    index = lexicon.Index(spark, str(tmp_path / "i"), buckets=4)
+    assert index.add(df, F.col("text")) == 2
+    held = [str(r).count("abcdef") for out in kept for r in out.collect()]
+    assert max(held) == 1 and sum(held) == 3
+    assert {(r["doc"], r["tf"], r["dl"]) for r in index.postings("abcdef").collect()} == {(1, 500, 500), (2, 1, 1)}
+
+
+def test_a_harvest_leaves_what_is_there(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path / "s"), buckets=2)
+    made = lambda ids, day: spark.createDataFrame([(str(k), datetime(2024, 1, day)) for k in ids], "arxiv_id string, published timestamp")
+    held = lambda: {f for files in own.manifest("papers")["files"].values() for f in files}
+    assert harvest.take(own, made(range(10), 1)) == 10
+    before = held()
+    assert harvest.take(own, made([*range(5, 15), 14], 2)) == 5
+    assert before < held()  # the papers of the first harvest were not written again
+    assert harvest.take(own, made(range(15), 2)) == 0 and own.read("papers").count() == 15 and own.read("papers").select("arxiv_id").distinct().count() == 15
+
+
+def test_one_paper_for_an_id_that_enrichment_repeats(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path / "s"), buckets=2)
+    one = spark.createDataFrame([("1", datetime(2024, 1, 1))], "arxiv_id string, published timestamp")
+    assert harvest.take(own, one, lambda df: df.unionByName(df)) == 1 and own.read("papers").count() == 1
+
+
+def test_a_writer_in_between_is_a_conflict(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path / "s"), buckets=2)
+    one = spark.createDataFrame([("1", datetime(2024, 1, 1))], "arxiv_id string, published timestamp")
+
+    def prepare(df):
+        harvest.take(store.Store(spark, str(tmp_path / "s")), one)
+        return df
+
+    with pytest.raises(store.Conflict):
+        harvest.take(own, one, prepare)
+    assert own.read("papers").count() == 1
