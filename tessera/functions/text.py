@@ -56,17 +56,21 @@ def words(text: Column | str) -> Column:
 
 def hash_tokens(text: Column | str) -> Column:
     """Words, word bigrams and padded character trigrams of words of three letters or more."""
-    w = tokens(text)
-    bigrams = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return hash_terms(tokens(text))
 
-    def grams(x: Column) -> Column:
-        padded = F.concat(F.lit("#"), x, F.lit("#"))
-        return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.lit("c:"), F.substring(padded, i, F.lit(3))))
 
-    long = F.filter(w, lambda x: F.length(x) >= 3)
-    return F.concat(w, bigrams, F.flatten(F.transform(long, grams)))
+def hash_terms(w: Column | str) -> Column:
+    """The same of an array of words as :func:`tokens` makes them.
+
+    Words hold no space, so bigrams and trigrams are written by one replacement each over all words in one string."""
+    w = _c(w)
+    flat = F.array_join(w, " ")
+    pairs = F.regexp_replace(flat, r"(\S++) (?=(\S++))(?:\S++\z)?", "$1_$2 ")  # the last word goes with the last pair
+    bigrams = F.slice(F.split(pairs, " "), F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))
+    long = F.rtrim(F.regexp_replace(flat, r"(?<!\S)\S{1,2}(?: |\z)", ""))
+    padded = F.concat(F.lit("#"), F.replace(long, F.lit(" "), F.lit("# #")), F.lit("#"))
+    grams = F.rtrim(F.regexp_replace(padded, r"(?=(\S{3}))\S(?:\S\S(?: |\z))?", "c:$1 "))  # a word's last two go with its last trigram
+    return F.concat(w, bigrams, F.array_remove(F.split(grams, " "), "##"))  # that is left where no word is long
 
 
 def strip_version(id_: Column | str) -> Column:

@@ -1,10 +1,13 @@
 """What a task or the driver holds at once, and borders between the operators and the SQL."""
 
+import re
 from datetime import datetime
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import joins, models, recorded
 from tessera.plans import registry
@@ -63,3 +66,16 @@ def test_pages_are_parsed_a_few_at_a_time(spark):
     assert max(p.num_rows for p in parts) == 64 and pa.Table.from_batches(parts).column("id").to_pylist() == 2 * list(range(300))
     df = spark.range(300).repartition(1).select("id", F.concat(F.lit("<h1>t</h1>"), F.col("id").cast("string")).alias("html"))
     assert {r["sections"][0]["text"] for r in html.sections(df, "html").collect()} == {str(k) for k in range(300)}
+
+
+def test_hash_tokens_split_a_text_once(spark):
+    texts = ["", None, "a", "ab", "abc", "To be, or not to BE: ab abcd x1 y", "xyz a", "a xyz", "é9 ##", "aa bb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", X.hash_tokens("text").alias("t"))
+
+    def plain_tokens(text):
+        w = re.findall("[a-z0-9]+", (text or "").lower())
+        return w + [f"{a}_{b}" for a, b in pairwise(w)] + [f"c:{f'#{x}#'[k : k + 3]}" for x in w if len(x) > 2 for k in range(len(x))]
+
+    assert {r["id"]: r["t"] for r in df.collect()} == {k: plain_tokens(t) for k, t in enumerate(texts)}
+    told = registry.queries()["txt_hash_tokens"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("regexp_extract_all") == 1
