@@ -96,13 +96,46 @@ def lzw_encode(data: bytes, least: int = LEAST_BITS) -> bytes:
     return _bits(c, widths)
 
 
+def _stood_for(codes: np.ndarray, clear: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Samples, ``most`` at least if there are so many, of the codes behind a clear code; where each code's begin, and how many they are.
+
+    The k-th entry is what the k-th code stands for and one sample more, which is the one that follows in the output.  So
+    each sample is a literal or a copy of one before it, and chains of copies are followed by doubling steps."""
+    n = len(codes)
+    ref = codes - (clear + 2)
+    copies = ref >= 0
+    if (ref >= np.arange(n)).any():
+        raise ValueError("a code is not in the table")
+    up = np.append(np.where(copies, ref, n), n)  # the n-th stands for nothing
+    length = np.append(np.ones(n, np.int64), 0)
+    while up.min(initial=n) < n:
+        length += length[up]
+        up = up[up]
+    length = length[:n]
+    ends = np.cumsum(length)
+    first = ends - length
+    if n and ends[-1] > most:
+        n = int(np.searchsorted(ends, most)) + 1
+    literal = ~copies[:n]
+    back = np.where(literal, 0, first[np.maximum(ref[:n], 0)] - first[:n])
+    total = int(ends[n - 1]) if n else 0
+    source = np.arange(total) + np.repeat(back, length[:n])
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    samples = np.zeros(total, np.uint8)
+    samples[first[:n][literal]] = codes[:n][literal]
+    return samples[source], first, length
+
+
 def lzw_decode(stream: bytes, least: int, most: int) -> bytes:
     """Samples of a code stream, ``most`` at most; a stream that ends early gives what it holds."""
     clear, end = 1 << least, (1 << least) + 1
-    base = [bytes([k]) if k < clear else b"" for k in range(clear + 2)]
     data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     bits, at, since = 8 * len(stream), 0, 1  # `since`: codes since a clear code, with it
-    table, last = list(base), b""
+    whole: list[bytes] | None = None  # the table, once it is full
     out: list[bytes] = []
     made = 0
     while made < most and at < bits:
@@ -117,34 +150,22 @@ def lzw_decode(stream: bytes, least: int, most: int) -> bytes:
         codes = ((data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (start & 7)) & ((1 << width) - 1)
         special = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(special[0]) if len(special) else n
-        done, numbers = len(out), codes[:stop].tolist()
-        if numbers and not last:
-            if numbers[0] >= clear:
-                raise ValueError("a code is not in the table")
-            last = table[numbers[0]]
-            out.append(last)
-            del numbers[0]
-        fresh = 4096 - len(table)  # so many codes still add an entry
-        put, add = out.append, table.append
-        for code in numbers[:fresh]:
-            try:
-                entry = table[code]
-            except IndexError:
-                if code != len(table):
-                    raise ValueError("a code is not in the table") from None
-                entry = last + last[:1]
-            add(last + entry[:1])
-            put(entry)
-            last = entry
-        out.extend(map(table.__getitem__, numbers[fresh:]))
-        last = out[-1] if out else last
-        made += sum(map(len, out[done:]))
+        if since == 1:
+            samples, first, length = _stood_for(codes[:stop], clear, most - made)
+            out.append(samples.tobytes())
+            if stop == 4096 and len(samples) < most - made:
+                own = out[-1]
+                whole = [bytes([k]) if k < clear else b"" for k in range(clear + 2)]
+                whole += [own[a : a + k + 1] for a, k in zip(first[: 4096 - len(whole)].tolist(), length.tolist(), strict=False)]
+        else:
+            out.append(b"".join(map(whole.__getitem__, codes[:stop].tolist())))
+        made += len(out[-1])
         if stop == n:
             at, since = int(ends[-1]), since + n
         elif codes[stop] == end:
             break
         else:
-            at, since, table, last = int(ends[stop]), 1, list(base), b""
+            at, since = int(ends[stop]), 1
     return b"".join(out)[:most]
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -579,3 +580,32 @@ def test_reading_malformed_media(spark):
     out = {r["doc_id"]: r for r in gif.read_column(df).collect()}
     assert out[1]["media_bytes"] is None and out[2]["media_bytes"] == 6
     assert all(out[k]["payload_bytes"] is None and out[k]["feature"] is None for k in (1, 2, 3)) and out[4]["payload_bytes"] == 576
+
+
+def test_lzw_segment_is_decoded_without_a_loop_over_codes():
+    codes = np.array([97, 258, 259, 98, 258])  # an entry that is used in the turn that makes it, twice
+    samples, first, length = gif._stood_for(codes, 256, 100)
+    assert samples.tobytes() == b"aaaaaabaa" and first.tolist() == [0, 1, 3, 6, 7] and length.tolist() == [1, 2, 3, 1, 2]
+    assert gif._stood_for(codes, 256, 2)[0].tobytes() == b"aaa"
+    for bad in ([258], [97, 259], [97, 258, 260]):
+        with pytest.raises(ValueError):
+            gif._stood_for(np.array(bad), 256, 100)
+
+
+@pytest.mark.parametrize("most", [1, 9000, 59_999, 60_000])
+def test_lzw_table_that_stays_full(most):
+    rng = random.Random(5)
+    data = bytes(rng.choices(range(16), k=60_000))
+    table, codes, last = {}, [16], data[0]
+    for b in data[1:]:
+        if (last, b) in table:
+            last = table[last, b]
+            continue
+        codes.append(last)
+        if len(table) < 4096 - 18:
+            table[last, b] = 18 + len(table)
+        last = b
+    codes = np.array([*codes, last, 17])
+    widths = gif._widths(4)[np.minimum(np.arange(len(codes)), 4095)]
+    widths[0] = 5
+    assert gif.lzw_decode(gif._bits(codes, widths), 4, most) == data[:most]
