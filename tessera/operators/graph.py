@@ -93,6 +93,11 @@ def inside(edges: DataFrame, nodes: DataFrame, id_: str = "id") -> DataFrame:
     return edges.where("src <> dst").join(n.withColumnRenamed(id_, "src"), "src", "left_semi").join(n.withColumnRenamed(id_, "dst"), "dst", "left_semi")
 
 
+def led(key: Column, path: Column) -> Column:
+    """The key of what builds on ``key`` by way of ``path``: both are descending lists; what of the key is less than the path's first leaves."""
+    return F.concat(F.filter(key, lambda x: x > F.get(path, F.lit(0))), path)
+
+
 def propagate(rows: DataFrame, most: int) -> DataFrame:
     """``id, value``: the greatest of a node's constants and of ``w`` plus the value of each node ``dst`` that it points to.
 
@@ -100,39 +105,50 @@ def propagate(rows: DataFrame, most: int) -> DataFrame:
     a cycle.  In each round a node takes up the values of settled nodes, and looks through nodes that point to one
     node only: what these point to takes their place, so paths through them double and a chain takes rounds by the
     logarithm of its length.  Other nodes take a round for each node on the longest path that is left.  ``most``
-    bounds the sum of ``w`` over a path without cycles; what exceeds it has gone round one."""
+    bounds the sum of ``w`` over a path without cycles; what exceeds it has gone round one.
+
+    If ``rows`` have ``path`` too, so has the result: the greatest of a node's constant paths and of those of the nodes that
+    it points to, each :func:`led` by the link's.  In or behind a cycle it means nothing."""
     lost = F.lit(_LOST)
-    state, before, found = materialize(rows.select("src", "dst", F.col("w").cast("long").alias("w"))), None, []
+    paths = "path" in rows.columns
+    also = lambda *names: [F.col(x) for x in names if paths]
+    state, before, found = materialize(rows.select("src", "dst", F.col("w").cast("long").alias("w"), *also("path"))), None, []
     while True:
-        constant = F.max(F.when(F.col("dst").isNull(), F.col("w")))
-        info = state.groupBy("src").agg(F.count("dst").alias("k"), constant.alias("c"), F.max("dst").alias("to"), F.max(F.when(F.col("dst").isNotNull(), F.col("w"))).alias("by"))
-        found.append(info.where("k = 0").select(F.col("src").alias("id"), F.col("c").alias("value")))
+        no, yes = F.col("dst").isNull(), F.col("dst").isNotNull()
+        parts = [F.max(F.when(no, F.col("path"))).alias("cp"), F.max(F.when(yes, F.col("path"))).alias("bp")] if paths else []
+        info = state.groupBy("src").agg(F.count("dst").alias("k"), F.max(F.when(no, F.col("w"))).alias("c"), F.max("dst").alias("to"), F.max(F.when(yes, F.col("w"))).alias("by"), *parts)
+        if paths:  # sorted and put together once a round
+            info = materialize(info)
+        found.append(info.where("k = 0").select(F.col("src").alias("id"), F.col("c").alias("value"), *[x.alias("path") for x in also("cp")]))
         if len(found) == 16:  # keeps the plan short
             found = [materialize(reduce(DataFrame.unionByName, found))]
         # a node that points to a settled one only is as good as settled; nothing may be led to a node that leaves now
-        ends = info.where("k = 0").select(F.col("src").alias("to"), F.when(F.col("c") >= lost, lost).otherwise(F.col("c")).alias("end"))
+        ends = info.where("k = 0").select(F.col("src").alias("to"), F.when(F.col("c") >= lost, lost).otherwise(F.col("c")).alias("end"), *[x.alias("ep") for x in also("cp")])
         seen = info.where("k < 2").join(ends, "to", "left")
-        value = F.when(F.col("end").isNotNull(), F.greatest("c", F.least(F.col("end") + F.col("by"), lost))).otherwise(F.col("c"))
-        seen = seen.select(F.col("src").alias("dst"), F.when(F.col("end").isNotNull(), 0).otherwise(F.col("k")).alias("k"), value.alias("c"), "to", "by")
+        ended = F.col("end").isNotNull()
+        value = F.when(ended, F.greatest("c", F.least(F.col("end") + F.col("by"), lost))).otherwise(F.col("c"))
+        path = [F.when(ended, F.greatest(x, led(F.col("ep"), F.col("bp")))).otherwise(x).alias("cp") for x in also("cp")]
+        seen = seen.select(F.col("src").alias("dst"), F.when(ended, 0).otherwise(F.col("k")).alias("k"), value.alias("c"), "to", "by", *path, *also("bp"))
         met = state.where("dst is not null").join(seen, "dst", "left")
-        step = lambda dst, w: F.struct(dst.alias("dst"), w.alias("w"))
+        step = lambda dst, w, by: F.struct(dst.alias("dst"), w.alias("w"), *[(x if by is None else led(F.col(by), x)).alias("path") for x in also("path")])
         none = F.lit(None).cast(state.schema["dst"].dataType)
         known = F.when(F.col("c") >= lost, lost).otherwise(F.col("w") + F.col("c"))
-        through = F.when(F.col("k") == 1, step(F.col("to"), F.col("w") + F.col("by"))).when(F.col("k").isNull(), step(F.col("dst"), F.col("w")))
-        steps = F.array_compact(F.array(F.when(F.col("c").isNotNull(), step(none, known)), through))
-        moved = met.select("src", F.explode(steps).alias("x")).select("src", "x.dst", "x.w")
+        through = F.when(F.col("k") == 1, step(F.col("to"), F.col("w") + F.col("by"), "bp")).when(F.col("k").isNull(), step(F.col("dst"), F.col("w"), None))
+        steps = F.array_compact(F.array(F.when(F.col("c").isNotNull(), step(none, known, "cp")), through))
+        moved = met.select("src", F.explode(steps).alias("x")).select("src", "x.*")
         round_ = F.col("dst").isNotNull() & (F.col("w") > most)
-        moved = moved.select("src", F.when(~round_, F.col("dst")).alias("dst"), F.when(round_, lost).otherwise(F.col("w")).alias("w"))
-        kept = info.where("k > 0 and c is not null").select("src", none.alias("dst"), F.col("c").alias("w"))
-        state = materialize(moved.unionByName(kept).groupBy("src", "dst").agg(F.max("w").alias("w")))
+        moved = moved.select("src", F.when(~round_, F.col("dst")).alias("dst"), F.when(round_, lost).otherwise(F.col("w")).alias("w"), *also("path"))
+        kept = info.where("k > 0 and c is not null").select("src", none.alias("dst"), F.col("c").alias("w"), *[x.alias("path") for x in also("cp")])
+        state = materialize(moved.unionByName(kept).groupBy("src", "dst").agg(F.max("w").alias("w"), *[F.max(x).alias("path") for x in also("path")]))
         links, *now = state.agg(F.count("dst"), F.count("*"), F.sum(F.xxhash64("src", "dst", "w").cast("decimal(38,0)"))).first()
         if not links or now == before:
             break
         before = now
-    found.append(state.groupBy("src").agg(F.count("dst").alias("k"), F.max("w").alias("value")).select(F.col("src").alias("id"), F.when(F.col("k") == 0, F.col("value")).otherwise(lost).alias("value")))
+    rest = state.groupBy("src").agg(F.count("dst").alias("k"), F.max("w").alias("value"), *[F.max(x).alias("path") for x in also("path")])
+    found.append(rest.select(F.col("src").alias("id"), F.when(F.col("k") == 0, F.col("value")).otherwise(lost).alias("value"), *also("path")))
     # what was lost on the way, or stands still in a cycle, has the greatest value
-    out = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.max("value").alias("value"))
-    return materialize(out.select("id", F.when(F.col("value") < lost, F.col("value")).alias("value")))
+    out = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.max("value").alias("value"), *[F.max(x).alias("path") for x in also("path")])
+    return materialize(out.select("id", F.when(F.col("value") < lost, F.col("value")).alias("value"), *also("path")))
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, id_: str = "id") -> DataFrame:
@@ -177,31 +193,25 @@ def topological_order(nodes: DataFrame, edges: DataFrame, id_: str = "id", posit
     Let ``m`` be the latest node among a node and all it builds on.  Nodes of a lesser ``m`` come first, since they never
     wait for a later node.  Of the nodes that share ``m``, this one comes first; the others all build on it, and among
     themselves the same rule holds again, with the dependencies inside the group.  So the nodes' lists of their ``m`` in
-    such groups, compared from the left, give the order.  Each depth of groups is one propagation over what is left,
-    and no node's list is longer than a descent of positions along a path."""
+    such groups, compared from the left, give the order.  A node's list is the greatest of those of the nodes it points to,
+    cut before the first that is earlier than itself, and itself: these cuts add up along a path (:func:`led`), and a
+    greater list never leads to a lesser one, so one propagation finds all lists.  No list is longer than a descent of
+    positions along a path."""
     first = nodes.groupBy(id_).agg(F.min(position).alias("_at"))
     named = materialize(global_rank(first, [F.asc_nulls_last("_at"), F.asc(id_)], "_n").select(F.col(id_).alias("_id"), "_n"))
-    ends = inside(edges, nodes, id_).select("src", "dst").distinct()
-    side = lambda end, name: named.select(F.col("_id").alias(end), F.col("_n").alias(name))
-    links = materialize(ends.join(side("src", "s"), "src").join(side("dst", "d"), "dst").select("s", "d"))
+    side = lambda end, name: named.select(F.col("_id").alias(end), F.col("_n").alias(name)).hint("merge")
+    ends = edges.where("src <> dst").select("src", "dst").distinct()
+    links = materialize(ends.join(side("src", "s"), "src").join(side("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst")))
     n = named.count()
-    constants = lambda x, w: x.select(F.col("s").alias("src"), F.lit(None).cast("long").alias("dst"), w.alias("w"))
-    pointing = lambda x, w: x.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.lit(w).alias("w"))
-    left = named.select(F.col("_n").alias("s"))
-    sound = propagate(constants(left, F.lit(0)).unionByName(pointing(links, 1)), n)
-    whole = sound.where("value is not null").select(F.col("id").alias("s"))
-    left = materialize(whole.withColumn("key", F.array().cast("array<bigint>")))
-    links = materialize(links.join(whole, "s", "left_semi").join(whole.withColumnRenamed("s", "d"), "d", "left_semi"))
-    placed = [sound.where("value is null").select(F.col("id").alias("s"), F.array(F.lit(n), F.col("id")).alias("key"))]
-    while not left.isEmpty():
-        latest = propagate(constants(left, F.col("s")).unionByName(pointing(links, 0)), n)
-        marked = materialize(left.join(latest.withColumnRenamed("id", "s"), "s").select("s", F.concat("key", F.array("value")).alias("key"), "value"))
-        placed.append(marked.where("s = value").select("s", "key"))
-        if len(placed) == 16:
-            placed = [materialize(reduce(DataFrame.unionByName, placed))]
-        inner = marked.where("s <> value")
-        left = inner.select("s", "key")
-        side = lambda name, value: inner.select(F.col("s").alias(name), F.col("value").alias(value))
-        links = materialize(links.join(side("s", "vs"), "s").join(side("d", "vd"), "d").where("vs = vd").select("s", "d"))
-    ranked = global_rank(reduce(DataFrame.unionByName, placed), [F.asc("key")], "place")
-    return ranked.join(named.withColumnRenamed("_n", "s"), "s").select(F.col("_id").alias(id_), "place")
+    core, outer = peeled(links)
+    constants = core.select("src").union(core.select("dst")).distinct().select("src", F.lit(None).cast("long").alias("dst"), F.lit(0).alias("w"))
+    found = propagate(constants.unionByName(core.withColumn("w", F.lit(1))).withColumn("path", F.array("src")), n)
+    lost = F.array(F.lit(n), F.col("src"))  # after all that are placed
+    found = found.withColumnRenamed("id", "src").select("src", F.when(F.col("value").isNull(), lost).otherwise(F.col("path")).alias("key"))
+    for k, layer in enumerate(reversed(outer), 1):  # what a layer points to has its list by now, or builds on nothing
+        met = layer.join(found.withColumnRenamed("src", "dst").hint("merge"), "dst", "left")
+        top = met.groupBy("src").agg(F.max(F.coalesce("key", F.array("dst"))).alias("key"))
+        keys = top.select("src", F.when(F.get("key", F.lit(0)) == n, lost).otherwise(led(F.col("key"), F.array("src"))).alias("key"))
+        found = found.unionByName(keys if k == len(outer) else materialize(keys))
+    keyed = named.join(found.withColumnRenamed("src", "_n").hint("merge"), "_n", "left").select("_id", F.coalesce("key", F.array("_n")).alias("key"))
+    return global_rank(keyed, [F.asc("key")], "place").select(F.col("_id").alias(id_), "place")

@@ -112,3 +112,21 @@ def test_nothing(spark):
     none = spark.createDataFrame([], "id string, position long")
     edges = spark.createDataFrame([("a", "b")], "src string, dst string")
     assert graph.topological_levels(none.select("id"), edges).count() == 0 and graph.topological_order(none, edges).count() == 0
+
+
+@pytest.mark.parametrize("cycles", [0, 3])
+def test_the_order_takes_one_propagation(spark, monkeypatch, cycles):
+    """Positions that fall along runs, and nodes on top of these that nothing points to."""
+    rng = random.Random(11)
+    core = [(k, k - 1) for k in range(1, 30)] + [(k, rng.randrange(k)) for k in range(1, 60) for _ in range(2)] + [(k, rng.randrange(60)) for k in range(cycles)]
+    edges = core + [(k, rng.randrange(60)) for k in range(60, 300) for _ in range(2)] + [(k, rng.randrange(60, 300)) for k in range(300, 900)] + [(5, 5), (7, 5000)]
+    ids = [*range(59, -1, -1)]  # what builds on others comes first
+    for k in range(60, 920):
+        ids.insert(rng.randrange(len(ids) + 1), k)
+    called = []
+    real = graph.propagate
+    monkeypatch.setattr(graph, "propagate", lambda rows, most: called.append(1) or real(rows, most))
+    nodes = spark.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "id long, position long")
+    got = [r["id"] for r in graph.topological_order(nodes, spark.createDataFrame(edges, "src long, dst long")).orderBy("place").collect()]
+    assert got == [x for part in plain_order(ids, edges) for x in part]
+    assert len(called) == 1
