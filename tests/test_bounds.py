@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import joins, models, recorded
-from tessera.plans import registry
+from tessera.plans import registry, standin
 from tessera.sources import html
 from tessera.sources.store import merged
 
@@ -79,3 +79,23 @@ def test_hash_tokens_split_a_text_once(spark):
     assert {r["id"]: r["t"] for r in df.collect()} == {k: plain_tokens(t) for k, t in enumerate(texts)}
     told = registry.queries()["txt_hash_tokens"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert told.count("regexp_extract_all") == 1
+
+
+def test_orders_of_papers_are_dealt_to_all_partitions(spark, tmp_path):
+    """However few bytes their ids take; joined by bytes, one task would sort them all."""
+    n, threshold = int(spark.conf.get("spark.sql.shuffle.partitions")), "spark.sql.autoBroadcastJoinThreshold"
+    ids = spark.range(3000)
+    for name, columns in {
+        "documents": ["id AS doc_id", "'a' AS text", "'en' AS lang", "'s' AS source"],
+        "orders": ["id AS o_orderkey", "timestamp '1998-01-01' AS o_orderdate"],
+        "lineitem": ["id AS l_orderkey", "id AS l_partkey", "1.0d AS l_quantity", "'R' AS l_returnflag"],
+    }.items():
+        ids.selectExpr(*columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set(threshold, "-1")
+    try:
+        for columns in (["doc_id", "published"], ["doc_id", "published", "citations"]):
+            rows = standin.papers(spark, str(tmp_path)).select(*columns).rdd
+            sizes = rows.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+            assert len(sizes) == n and sum(sizes) == 3000 and max(sizes) < 2 * 3000 / n
+    finally:
+        spark.conf.unset(threshold)
