@@ -139,3 +139,30 @@ def test_bound_holds(a, data, t):
     salt = data.draw(st.integers(0, 5))
     rare = lambda s: sorted({s[k : k + q] for k in range(len(s) - q + 1)}, key=lambda g: hash((g, salt)))[: int(titles.slope(q, t) * len(s) + 1e-9) + 1]
     assert set(rare(a)) & set(rare(b))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(["abc ", "etaoin shrdlu", "eeeeeetttttaaaooo nnn xqzj"]), st.integers(1, 420), st.randoms(use_true_random=False), st.sampled_from([0.6, 0.9, 0.95, None]))
+def test_settled_as_by_difflib(letters, n, rng, t):
+    """Long titles too, of which difflib leaves out the frequent letters."""
+    x = "".join(rng.choice(letters) for _ in range(n))
+    y = list(x)
+    for _ in range(rng.randint(0, n // 7 + 1)):
+        at = rng.randrange(len(y) + 1)
+        y[at : at + rng.randint(0, 2)] = rng.choice(["", rng.choice(letters)])
+    y = "".join(y) or "a"
+    ratio = difflib.SequenceMatcher(None, x, y).ratio()
+    t = t or ratio or 0.5
+    assert titles._Title(x).reaches(titles._Title(y), t) == (ratio >= t)
+
+
+def test_pairs_of_copies_are_not_moved(spark):
+    """Pairs are made where they are handed over: each comes once, under two authors and for papers whose id is repeated, and only pairs of such ids are compared."""
+    rows = made(7, 120) + [(k, "The same long title of all of them", ["C D", "G"]) for k in range(500, 540)]
+    rows += [(500, "the same long title of all of then", ["C D"]), (501, "The same long title of all of them", ["Ann B", "C D"]), (501, "The same long title of all of them", ["G", "c d"])]
+    df = spark.createDataFrame(rows, "doc_id long, title string, authors array<string>").repartition(3)
+    pairs = titles.fuzzy_pairs(df, 0.9, "doc_id")
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == plain_pairs(rows, 0.9)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "Aggregate" not in plan.split("Generate")[0]
