@@ -10,7 +10,7 @@ Titles meet by first word, author and a step of lengths of that factor, in cells
 runs near their own place and letters rule out nearly all pairs that are not similar.
 
 Equal titles under one author are one group throughout, named by its least and greatest id.  A pair that met is never a
-row of a shuffle: a cell gives its similar pairs."""
+row of a shuffle: a cell gives its similar pairs, or only links that connect what they connect."""
 
 from __future__ import annotations
 
@@ -35,6 +35,8 @@ ALPHABET = np.frombuffer(b" abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
 BLOCK, LETTERS = 512, 100_000
 #: Papers of a block whose pairs with another block are made at once.
 IDS = 1024
+#: Titles of which a task remembers what they are linked with.
+KNOWN = 100_000
 #: Rows that a task hands over at once.
 ROWS = 4096
 
@@ -280,6 +282,25 @@ def _similar(batches: Iterator[pd.DataFrame], t: float) -> Iterator[tuple]:
                 yield x.name, y.name, y.author, forward, backward
 
 
+def _links(batches: Iterator[pd.DataFrame], t: float) -> Iterator[tuple]:
+    """Links between groups that connect what the similar ones connect: titles that are connected already are not compared."""
+    known: dict = {}
+
+    def root(a):
+        while (b := known.setdefault(a, a)) != a:
+            known[a] = a = known.setdefault(b, b)
+        return a
+
+    for y, near in _met(batches, t):
+        if len(known) > KNOWN:
+            known.clear()  # its links are handed over; only comparisons are lost
+        for x in near:
+            a, b = root(x.lo), root(y.lo)
+            if a != b and ((x.lo < y.hi and x.reaches(y, t)) or (y.lo < x.hi and y.reaches(x, t))):
+                known[a] = b
+                yield min(x.lo, y.lo), max(x.lo, y.lo)
+
+
 # ------------------------------------------------------------------ the join
 
 
@@ -322,7 +343,7 @@ def similar_groups(groups: DataFrame, threshold: float, block: int = BLOCK) -> D
 
 
 def fuzzy_edges(papers: DataFrame, threshold: float, id_: str = "arxiv_id", block: int = BLOCK) -> DataFrame:
-    """``a, b``: edges that connect what similar titles connect, about one for each member and pair of groups, not one for each pair of papers.
+    """``a, b``: edges that connect what similar titles connect, about one for each member and each group of a cell, not one for each pair.
 
     Of two papers the ratio is that of the title of the lesser id to the other's."""
     members, groups = title_groups(papers, id_)
@@ -330,10 +351,7 @@ def fuzzy_edges(papers: DataFrame, threshold: float, id_: str = "arxiv_id", bloc
     equal = members.select("id", "title", F.explode("authors").alias("author")).join(least, ["title", "author"]).where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
     if threshold == 1:  # only equal titles have it
         return equal.distinct()
-    links = materialize(similar_groups(groups, threshold, block))
-    side = lambda k: groups.select(F.col("title").alias(k), "author", F.col("lo").alias(f"lo{k}")).hint("merge")
-    met = links.join(side("x"), ["x", "author"]).join(side("y"), ["y", "author"]).where("lox <> loy")
-    return met.select(F.least("lox", "loy").alias("a"), F.greatest("lox", "loy").alias("b")).unionByName(equal).distinct()
+    return _compared(groups, threshold, block, _links, _found(groups, "a b")).unionByName(equal).distinct()
 
 
 def fuzzy_pairs(papers: DataFrame, threshold: float, id_: str = "arxiv_id", block: int = BLOCK) -> DataFrame:

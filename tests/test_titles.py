@@ -4,6 +4,7 @@ import difflib
 import random
 import re
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,3 +167,15 @@ def test_pairs_of_copies_are_not_moved(spark):
     assert len(found) == len(set(found)) and set(found) == plain_pairs(rows, 0.9)
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union") and "Aggregate" not in plan.split("Generate")[0]
+
+
+def test_linked_titles_are_not_compared(spark, monkeypatch):
+    """Three hundred unlike titles that are all similar: about a link and a comparison each, no pairs."""
+    rows = [(k, f"the long title of all of these many papers number {k:03d}", ["A"]) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, authors array<string>")
+    edges = titles.fuzzy_edges(df, 0.9, "doc_id")
+    assert edges.count() == 299 and {r["root"] for r in graph.components(edges).collect()} == {0}
+    compared, reaches = [], titles._Title.reaches
+    monkeypatch.setattr(titles._Title, "reaches", lambda x, y, t: compared.append(1) or reaches(x, y, t))
+    cell = pd.DataFrame([(0, 0, True, t, k, k, k, "a") for k, t, _ in rows], columns=["cell", "salt", "own", "t", "lo", "hi", "title", "author"])
+    assert len(list(titles._links(iter([cell]), 0.9))) == 299 and len(compared) < 600
